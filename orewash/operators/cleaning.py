@@ -41,8 +41,8 @@ def clean_timestamps(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 def clean(df: DataFrame, spec: DatasetSpec | None, tokens: Sequence[str] = NULL_TOKENS) -> DataFrame:
     """Null tokens, trimming, timestamps and numbers for the canonical columns of ``spec``, in one projection.
 
-    Works on raw text and on columns that already have their type; other columns keep their type. Without a spec
-    the frame is returned as it is.
+    Works on raw text and on columns that already have their type. Other columns get null tokens and trimming only,
+    the engine's own (``_`` prefix) nothing. Without a spec the frame is returned as it is.
     """
     if spec is None:
         return df
@@ -50,6 +50,8 @@ def clean(df: DataFrame, spec: DatasetSpec | None, tokens: Sequence[str] = NULL_
 
     def column(field):
         value = F.col(field.name)
+        if field.name.startswith("_"):
+            return value
         want = target.get(field.name)
         if isinstance(want, (NumericType, TimestampType)):
             return typed(value, field.dataType, want).alias(field.name)

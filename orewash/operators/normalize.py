@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StringType
 
-from orewash.functions import text_of, typed
+from orewash.functions import blank_to_null, text_of, typed
 from orewash.operators.columns import known_only, stripped_names, with_missing, without_junk
-from orewash.operators.split import FAULTS, Split, by_faults, fault, fault_list
+from orewash.operators.split import FAULTS, Split, by_faults, fault_text
 from orewash.specs import CORRUPT, DatasetSpec
 
 
+def _has_value(column: str, dtype: DataType) -> Column:
+    return blank_to_null(text_of(F.col(column), dtype), StringType()).isNotNull()
+
+
 def flagged(df: DataFrame, spec: DatasetSpec, flag_uncastable: bool = False) -> DataFrame:
-    """Canonical columns with their types, the corrupt-line column, and the list of structural faults per row.
+    """Canonical columns with their types, the corrupt-line column, and the structural faults of each row.
 
     Faults: ``corrupt`` (a line that could not be parsed) and ``missing:<column>`` for required columns, judged on
     the value as it arrived. ``flag_uncastable`` adds ``uncastable:<column>`` where a value was there but could not
@@ -25,17 +30,14 @@ def flagged(df: DataFrame, spec: DatasetSpec, flag_uncastable: bool = False) ->
     now = {f.name: f.dataType for f in df.schema.fields}
     cast = {f.name: typed(F.col(f.name), now[f.name], f.dataType) for f in spec.schema.fields}
 
-    faults = [fault(F.col(CORRUPT).isNotNull(), "corrupt")]
-    faults += [fault(F.col(c).isNull(), f"missing:{c}") for c in spec.required]
+    rules = [("corrupt", F.col(CORRUPT).isNotNull())]
+    rules += [(f"missing:{c}", F.col(c).isNull()) for c in spec.required]
     if flag_uncastable:
-        faults += [
-            fault(F.trim(text_of(F.col(c), now[c])).isNotNull() & cast[c].isNull(), f"uncastable:{c}")
-            for c in spec.columns
-        ]
+        rules += [(f"uncastable:{c}", _has_value(c, now[c]) & cast[c].isNull()) for c in spec.columns]
     return df.select(
         *(expr.alias(name) for name, expr in cast.items()),
         CORRUPT,
-        fault_list(faults).alias(FAULTS),
+        fault_text(rules).alias(FAULTS),
     )
 
 

@@ -5,22 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orewash.operators.split import FAULTS, Split, by_faults, fault, fault_list
+from orewash.operators.split import FAULTS, Split, by_faults, fault_text
 from orewash.specs import CORRUPT, DatasetSpec
 
 
-def row_faults(columns: list[str], spec: DatasetSpec | None) -> Column:
-    """The fault codes of a cleaned row; a rule on a column that is not there treats it as null."""
+def row_rules(columns: list[str], spec: DatasetSpec | None) -> list[tuple[str, Column]]:
+    """Fault codes and when they hold for a cleaned row; a rule on a column that is not there treats it as null."""
     if spec is None:
-        return fault_list([])
+        return []
     have = set(columns)
     value = {c: F.col(c) if c in have else F.lit(None) for c in (*spec.trusted, *spec.non_negative)}
-    faults = [fault(F.col(CORRUPT).isNotNull(), "corrupt")] if CORRUPT in have else []
-    faults += [fault(value[c].isNull(), f"missing:{c}") for c in spec.trusted]
-    faults += [fault(value[c].try_cast("double") < 0, f"negative:{c}") for c in spec.non_negative]
-    return fault_list(faults)
+    rules = [("corrupt", F.col(CORRUPT).isNotNull())] if CORRUPT in have else []
+    rules += [(f"missing:{c}", value[c].isNull()) for c in spec.trusted]
+    rules += [(f"negative:{c}", value[c].try_cast("double") < 0) for c in spec.non_negative]
+    return rules
+
+
+def judged(df: DataFrame, spec: DatasetSpec | None) -> DataFrame:
+    """Add the faults of each row under the rules of ``spec``."""
+    return df.withColumn(FAULTS, fault_text(row_rules(df.columns, spec)))
 
 
 def quarantine(df: DataFrame, spec: DatasetSpec | None) -> Split:
     """Rows that pass the rules of ``spec``, and rows that do not with their ``reason``."""
-    return by_faults(df.withColumn(FAULTS, row_faults(df.columns, spec)))
+    return by_faults(judged(df, spec))

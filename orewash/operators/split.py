@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FAULTS = "_faults"
+FAULTS = "_faults"  # comma-separated fault codes of a row, "" for none
 
 
 class Split(NamedTuple):
@@ -15,20 +16,20 @@ class Split(NamedTuple):
     rejected: DataFrame
 
 
-def fault(condition: Column, code: str) -> Column:
-    """``code`` where ``condition`` is true, else null (also where it is unknown)."""
-    return F.when(condition, F.lit(code))
+def fault_text(rules: Iterable[tuple[str, Column]], earlier: Column | None = None) -> Column:
+    """The codes of the rules that hold for a row, after those in ``earlier``; each code once.
 
-
-def fault_list(faults: list[Column]) -> Column:
-    """The faults that apply to a row, as an array of codes."""
-    return F.array_compact(F.array(*faults)) if faults else F.array().cast("array<string>")
+    A rule whose outcome is unknown does not hold. Plain text, so that the projection stays in generated code.
+    """
+    if earlier is None:
+        return F.concat_ws(",", *(F.when(holds, code) for code, holds in rules))
+    fresh = [F.when(holds & ~F.contains(earlier, F.lit(code)), code) for code, holds in rules]
+    return F.concat_ws(",", F.nullif(earlier, F.lit("")), *fresh)
 
 
 def by_faults(df: DataFrame) -> Split:
-    """Split on an empty fault list. ``rejected`` keeps the codes as one text column, ``reason``."""
-    clean = F.size(FAULTS) == 0
+    """Split on the absence of faults. ``rejected`` keeps the codes in the column ``reason``."""
     return Split(
-        good=df.where(clean).drop(FAULTS),
-        rejected=df.where(~clean).withColumn("reason", F.array_join(FAULTS, ",")).drop(FAULTS),
+        good=df.where(F.col(FAULTS) == "").drop(FAULTS),
+        rejected=df.where(F.col(FAULTS) != "").withColumnRenamed(FAULTS, "reason"),
     )

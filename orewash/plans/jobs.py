@@ -118,7 +118,7 @@ def silver_dataset(
 
     kept = read_silver(spark, layout.silver(spec.name), spec, stringly=stringly)
     measured = measures(kept.select(*silver.measured_columns(spec)), spec)
-    extra = spark.createDataFrame([("quarantined_rows", str(rejected))], "metric string, value string")
+    extra = spark.range(1).select(F.lit("quarantined_rows").alias("metric"), F.lit(str(rejected)).alias("value"))
     write_metrics(as_metrics(measured).union(extra), layout.metrics, spec)
 
     accepted = kept.count()

@@ -9,16 +9,16 @@ from orewash.operators.cleaning import clean
 from orewash.operators.columns import locked, with_event_date
 from orewash.operators.dedupe import latest_per_key
 from orewash.operators.normalize import flagged
-from orewash.operators.quarantine import row_faults
+from orewash.operators.quarantine import judged, row_rules
 from orewash.operators.scd import latest_snapshot, merge_partial
-from orewash.operators.split import FAULTS, Split, by_faults, fault
+from orewash.operators.split import FAULTS, Split, by_faults, fault_text
 from orewash.specs import CORRUPT, DatasetSpec
 
 REFUSED = "_refused"  # 1 when a row has faults, else 0
 
 
 def _mark(df: DataFrame) -> DataFrame:
-    return df.withColumn(REFUSED, (F.size(FAULTS) > 0).cast("int"))
+    return df.withColumn(REFUSED, (F.col(FAULTS) != "").cast("int"))
 
 
 def staged(raw: DataFrame, spec: DatasetSpec, flag_uncastable: bool = False) -> DataFrame:
@@ -28,10 +28,8 @@ def staged(raw: DataFrame, spec: DatasetSpec, flag_uncastable: bool = False) ->
     contest for keys, so their row rules apply here too. One projection over ``raw``, no shuffle.
     """
     df = clean(flagged(raw, spec, flag_uncastable), spec)
-    late = row_faults(df.columns, spec) if spec.snapshot else F.array_compact(
-        F.array(fault(F.col(spec.key).isNull(), f"missing:{spec.key}"))
-    )
-    return _mark(df.withColumn(FAULTS, F.array_union(FAULTS, late)))
+    late = row_rules(df.columns, spec) if spec.snapshot else [(f"missing:{spec.key}", F.col(spec.key).isNull())]
+    return _mark(df.withColumn(FAULTS, fault_text(late, earlier=F.col(FAULTS))))
 
 
 def contested(rows: DataFrame, spec: DatasetSpec) -> DataFrame:
@@ -43,7 +41,7 @@ def contested(rows: DataFrame, spec: DatasetSpec) -> DataFrame:
     if spec.snapshot:
         return fit
     winners = latest_per_key(fit.drop(CORRUPT, FAULTS, REFUSED), spec.key, spec.order_by)
-    return _mark(winners.withColumn(FAULTS, row_faults(winners.columns, spec)))
+    return _mark(judged(winners, spec))
 
 
 def finished(winners: DataFrame, spec: DatasetSpec, partial: bool = False, stringly: bool = False) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,15 +47,32 @@ def judged(files: DataFrame) -> DataFrame:
     )
 
 
+def _canonical_uri(path: Column) -> Column:
+    """Local paths come as ``file:/x`` from listings and ``file:///x`` from file metadata."""
+    return F.regexp_replace(path, "^file:/+", "file:///")
+
+
+def _with_empty(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """Add the files of length zero. Scans pass over those, but the frame's list of input files names them."""
+    names = spark.createDataFrame([(unquote(name),) for name in files.inputFiles()], "name string")
+    named = names.join(files, _canonical_uri(F.col("name")) == _canonical_uri(F.col("path")), "left")
+    return named.select(
+        _canonical_uri(F.col("name")).alias("path"), F.coalesce("length", F.lit(0).cast("bigint")).alias("length")
+    )
+
+
 def landing_audit(spark: SparkSession, folder: str, dataset: str, probe: bool = False) -> DataFrame:
     """A manifest of the files in ``folder``: ``(path, dataset, format, length, verdict, reason)``.
 
-    ``probe`` also opens every valid file and marks those from which nothing can be read. Text is probed by scanning
-    its opening block, Parquet by its footer; both as Spark jobs that skip what is damaged.
+    Files that Spark treats as hidden (names starting with ``_`` or ``.``) are never read and not listed. ``probe``
+    also opens every valid file and marks those from which nothing can be read. Text is probed by scanning its
+    opening block, Parquet by its footer; both as Spark jobs that skip what is damaged.
     """
     files = listing(spark, folder)
     if files is None:
-        files = spark.createDataFrame([], "path string, length bigint, modificationTime timestamp")
+        files = spark.createDataFrame([], "path string, length bigint")
+    else:
+        files = _with_empty(spark, files)
     manifest = judged(files).select("path", F.lit(dataset).alias("dataset"), "format", "length", "verdict", "reason")
     return _probed(spark, manifest, folder) if probe else manifest
 
@@ -69,8 +87,7 @@ def _probed(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
         .distinct()
         .select(F.try_url_decode("file_path").alias("opened"))
     )
-    # The listing writes local paths as file:/x, file metadata as file:///x.
-    same = F.regexp_replace("path", "^file:/+", "file:///") == F.regexp_replace("opened", "^file:/+", "file:///")
+    same = F.col("path") == _canonical_uri(F.col("opened"))
     unread = (F.col("verdict") == "valid") & F.col("opened").isNull()
     return (
         manifest.join(opened, same, "left")

@@ -184,12 +184,12 @@ def landing_sources(
     whole = isinstance(folder, str)
     to_sniff = ["loose"] if one_header and whole else ["csv", "loose"]
 
-    present = {r["kind"] for r in kinds.select("kind").distinct().collect()}
-    paths: dict[str, list[str]] = {k: [] for k in present}
-    listed = [k for k in present if k in to_sniff or not whole]
-    if listed:
-        for row in kinds.where(F.col("kind").isin(listed)).collect():  # names only, like Spark's own file index
-            paths[row["kind"]].append(row["path"])
+    # Names only, as in Spark's own file index; and those only where files must be told apart one by one.
+    path = F.when(F.col("kind").isin(to_sniff), F.col("path")) if whole else F.col("path")
+    paths: dict[str, list[str]] = {}
+    for row in kinds.select("kind", path.alias("path")).distinct().collect():
+        paths.setdefault(row["kind"], []).append(row["path"])
+    present = set(paths)
 
     def json_source(where: str | Sequence[str], glob: str | None) -> Source:
         lines = _reader(spark, glob, skip_damaged).text(where if isinstance(where, str) else list(where))

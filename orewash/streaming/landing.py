@@ -12,11 +12,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import ArrayType, DateType, StringType, StructField, StructType
+from pyspark.sql.types import DateType, StringType, StructField, StructType
 
 from orewash.operators.columns import locked, with_event_date
 from orewash.operators.dedupe import latest_per_key, union_by_name
-from orewash.operators.quarantine import row_faults
+from orewash.operators.quarantine import judged
 from orewash.operators.split import FAULTS, by_faults
 from orewash.plans.silver import REFUSED, staged
 from orewash.scratch import written
@@ -27,7 +27,7 @@ _FILES = "path string, modificationTime timestamp, length bigint, content binary
 
 
 def _store_schema(spec: DatasetSpec) -> StructType:
-    fields = [*spec.schema.fields, StructField(FAULTS, ArrayType(StringType())), StructField("event_date", DateType())]
+    fields = [*spec.schema.fields, StructField(FAULTS, StringType()), StructField("event_date", DateType())]
     return StructType(fields)
 
 
@@ -49,7 +49,7 @@ def _contenders(rows: DataFrame, spec: DatasetSpec) -> DataFrame:
         blank = {f.name: F.lit(None).cast(f.dataType) for f in spec.schema.fields
                  if f.name not in (spec.key, spec.order_by, *spec.snapshot)}
         fit = fit.withColumns({spec.order_by: F.coalesce(spec.order_by, unknown), **blank})
-    fit = with_event_date(fit.withColumn(FAULTS, row_faults(fit.columns, spec)))
+    fit = with_event_date(judged(fit, spec))
     return fit.select(*_store_schema(spec).fieldNames())
 
 
@@ -96,7 +96,7 @@ def absorb(spark: SparkSession, paths: list[str], batch: int, store: str, spec:
         if won is None:
             return
         won.write.mode("overwrite").parquet(pending)
-        noted = spark.createDataFrame([(batch,)], "batch bigint")
+        noted = spark.range(1).select(F.lit(batch).cast("bigint").alias("batch"))
         noted.write.mode("overwrite").parquet(f"{store}/pending_batch")
     (
         spark.read.schema(_store_schema(spec)).parquet(pending)
@@ -135,7 +135,7 @@ def landing_stream(
 def stored_silver(spark: SparkSession, store: str, spec: DatasetSpec) -> DataFrame:
     """The silver table as of the last absorbed batch."""
     winners = _read_store(spark, store, spec)
-    return locked(winners.where(F.size(FAULTS) == 0).drop(FAULTS), spec)
+    return locked(winners.where(F.col(FAULTS) == "").drop(FAULTS), spec)
 
 
 def stored_rejects(spark: SparkSession, store: str, spec: DatasetSpec) -> DataFrame:
