@@ -46,7 +46,7 @@ def blank_to_null(col: Column, dtype: DataType, tokens: Sequence[str] = NULL_TOK
         bare = F.trim(col)
         return F.when(~bare.isin(*tokens), bare if trim else col)
     if isinstance(dtype, (FloatType, DoubleType)):
-        return F.when(~F.isnan(col), col) if "NaN" in tokens else col
+        return F.nanvl(col, F.lit(None).cast(dtype)) if "NaN" in tokens else col
     return col
 
 
@@ -56,7 +56,7 @@ def double_of(col: Column, dtype: DataType) -> Column:
         number = col.cast("double")
     else:
         number = F.replace(text_of(col, dtype), F.lit(","), F.lit("")).try_cast("double")
-    return F.when(~F.isnan(number), number)
+    return F.nanvl(number, F.lit(None).cast("double"))
 
 
 def integer_of(col: Column, dtype: DataType) -> Column:
@@ -67,11 +67,15 @@ def integer_of(col: Column, dtype: DataType) -> Column:
 
 
 def timestamp_of(col: Column, dtype: DataType, formats: Sequence[str] = TIMESTAMP_FORMATS) -> Column:
-    """A point in time: Spark's own reading first, then each of ``formats``."""
+    """A point in time: Spark's own reading first, then each of ``formats``.
+
+    A failed attempt at a format is costly, so texts without a digit are not put through them.
+    """
     if isinstance(dtype, _TEMPORAL):
         return col.cast("timestamp")
     text = text_of(col, dtype)
-    return F.coalesce(text.try_cast("timestamp"), *(F.try_to_timestamp(text, F.lit(f)) for f in formats))
+    attempts = [F.when(text.rlike("[0-9]"), F.try_to_timestamp(text, F.lit(f))) for f in formats]
+    return F.coalesce(text.try_cast("timestamp"), *attempts)
 
 
 def typed(col: Column, now: DataType, target: DataType) -> Column:

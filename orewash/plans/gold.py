@@ -5,6 +5,9 @@ once. That equals aggregating each and full-joining, with one shuffle instead of
 join; both inputs are combined map-side first, so a hot user or date costs one row per map task. Like a join, a
 null key on one side never meets a null key on the other.
 
+Each mart can be built on its own from silver, or (the ``…_of`` functions) from :func:`user_days`, one compact
+aggregate that serves them all, so that a job building everything scans silver once for it.
+
 ``scale`` sums money exactly, as decimals with that many places; by default money is summed as double.
 """
 
@@ -19,13 +22,12 @@ from orewash.operators.joins import attach
 from orewash.specs import gold_schema
 
 
-def _total(amount: str, scale: int | None) -> Column:
-    value = F.col(amount) if scale is None else F.col(amount).cast(f"decimal(18,{scale})")
-    return F.sum(value).cast("double")
+def _sum(amount: str, scale: int | None) -> Column:
+    return F.sum(F.col(amount) if scale is None else F.col(amount).cast(f"decimal(18,{scale})"))
 
 
-def _mean(amount: str, scale: int | None) -> Column:
-    return F.avg(amount) if scale is None else F.try_divide(_total(amount, scale), F.count(amount))
+def _mean(total: Column, count: Column) -> Column:
+    return F.try_divide(total.cast("double"), count)
 
 
 def _day(column: str) -> Column:
@@ -46,10 +48,9 @@ def dim_status(transactions: DataFrame) -> DataFrame:
     return transactions.where("status is not null").select("status").distinct()
 
 
-def dim_date(events: DataFrame, transactions: DataFrame) -> DataFrame:
-    """Every date that an event or transaction has, the unknown date included, with calendar attributes."""
+def _calendar(dates: DataFrame) -> DataFrame:
     date = F.col("date")
-    return events.select(_day("ts")).union(transactions.select(_day("created_at"))).distinct().select(
+    return dates.select(
         "date",
         F.year(date).alias("year"),
         F.month(date).alias("month"),
@@ -60,6 +61,11 @@ def dim_date(events: DataFrame, transactions: DataFrame) -> DataFrame:
     )
 
 
+def dim_date(events: DataFrame, transactions: DataFrame) -> DataFrame:
+    """Every date that an event or transaction has, the unknown date included, with calendar attributes."""
+    return _calendar(events.select(_day("ts")).union(transactions.select(_day("created_at"))).distinct())
+
+
 def _user_columns(users: DataFrame) -> DataFrame:
     return users.select(
         "user_id",
@@ -85,99 +91,165 @@ def fact_transactions(transactions: DataFrame, users: DataFrame, salts: int = 1)
     return conform(joined, gold_schema("fact_transactions"))
 
 
-def _stacked(events: DataFrame, transactions: DataFrame, at: bool = False) -> DataFrame:
-    """Events and transactions as ``(user_id, date, is_event, amount)``, with the event time on request."""
+def _stacked(events: DataFrame, transactions: DataFrame) -> DataFrame:
+    """Events and transactions under common columns; Spark prunes those that are not asked for."""
     event_side = events.select(
-        "user_id", _day("ts"), F.lit(True).alias("is_event"), F.lit(None).cast("double").alias("amount"),
-        *([F.col("ts").alias("at")] if at else []),
+        "user_id", _day("ts"), F.lit(True).alias("is_event"), F.col("ts").alias("event_at"),
+        F.lit(None).cast("double").alias("amount"), F.lit(None).cast("string").alias("status"),
     )
     tx_side = transactions.select(
-        "user_id", _day("created_at"), F.lit(False).alias("is_event"), "amount",
-        *([F.lit(None).cast("timestamp").alias("at")] if at else []),
+        "user_id", _day("created_at"), F.lit(False).alias("is_event"), F.lit(None).cast("timestamp").alias("event_at"),
+        "amount", "status",
     )
     return event_side.union(tx_side)
 
 
-def _side(*keys: str) -> Column:
-    """Null, or for rows with a null key the side they come from: the two sides stay apart there."""
-    any_null = F.lit(False)
-    for key in keys:
-        any_null = any_null | F.col(key).isNull()
-    return F.when(any_null, F.col("is_event")).alias("side")
-
+def _side(unknown: Column, side: Column) -> Column:
+    """Null, or for rows with an unknown key the side they come from: the two sides stay apart there."""
+    return F.when(unknown, side).alias("side")
 
-def fact_user_activity(
-    events: DataFrame, transactions: DataFrame, users: DataFrame | None = None, scale: int | None = None
-) -> DataFrame:
-    """Per user and day: event count, transaction count, revenue and mean amount, 0 where there is none.
 
-    ``users`` adds nothing to the rows; joined by its distinct ids, it is dropped from the plan by Spark.
-    """
-    daily = (
+def user_days(events: DataFrame, transactions: DataFrame, scale: int | None = None) -> DataFrame:
+    """Per user and day, all that the activity fact and the marts need: counts, money and the span of events."""
+    unknown = F.col("user_id").isNull() | F.col("date").isNull()
+    return (
         _stacked(events, transactions)
-        .groupBy("user_id", "date", _side("user_id", "date"))
+        .groupBy("user_id", "date", _side(unknown, F.col("is_event")))
         .agg(
-            F.count_if("is_event").alias("events_count"),
-            F.count_if(~F.col("is_event")).alias("transactions_count"),
-            F.coalesce(_total("amount", scale), F.lit(0.0)).alias("total_revenue"),
-            F.coalesce(_mean("amount", scale), F.lit(0.0)).alias("avg_transaction_amount"),
+            F.count_if("is_event").alias("events"),
+            F.min("event_at").alias("first_event"),
+            F.max("event_at").alias("last_event"),
+            F.count_if(~F.col("is_event")).alias("transactions"),
+            F.count_if(F.col("status") == "delivered").alias("delivered"),
+            F.count("amount").alias("amounts"),
+            _sum("amount", scale).alias("money"),
         )
-        .drop("side")
     )
+
+
+def activity_of(days: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """Per user and day: event count, transaction count, revenue and mean amount, 0 where there is none.
+
+    ``users`` adds nothing to the rows; joined by its distinct ids, it is dropped from the plan by Spark.
+    """
     if users is not None:
-        daily = daily.join(users.select("user_id").distinct(), "user_id", "left")
-    return conform(daily, gold_schema("fact_user_activity"))
+        days = days.join(users.select("user_id").distinct(), "user_id", "left")
+    return conform(
+        days.select(
+            "user_id",
+            "date",
+            F.col("events").alias("events_count"),
+            F.col("transactions").alias("transactions_count"),
+            F.coalesce(F.col("money").cast("double"), F.lit(0.0)).alias("total_revenue"),
+            F.coalesce(_mean(F.col("money"), F.col("amounts")), F.lit(0.0)).alias("avg_transaction_amount"),
+        ),
+        gold_schema("fact_user_activity"),
+    )
 
 
-def daily_revenue(transactions: DataFrame, scale: int | None = None) -> DataFrame:
+def revenue_of(days: DataFrame) -> DataFrame:
     """Per day: transactions, revenue, mean amount and how many were delivered."""
     return conform(
-        transactions.groupBy(_day("created_at")).agg(
-            F.count("*").alias("transaction_count"),
-            _total("amount", scale).alias("total_revenue"),
-            _mean("amount", scale).alias("avg_amount"),
-            F.count_if(F.col("status") == "delivered").alias("delivered_count"),
+        days.where("transactions > 0")
+        .groupBy("date")
+        .agg(
+            F.sum("transactions").alias("transaction_count"),
+            F.sum("money").cast("double").alias("total_revenue"),
+            _mean(F.sum("money"), F.sum("amounts")).alias("avg_amount"),
+            F.sum("delivered").alias("delivered_count"),
         ),
         gold_schema("daily_revenue"),
     )
 
 
-def daily_active_users(events: DataFrame, transactions: DataFrame) -> DataFrame:
+def active_of(days: DataFrame) -> DataFrame:
     """Per day: distinct users with events, with transactions, and with either; unknown users are not counted.
 
     The row of the unknown date has its total, but 0 for either source.
     """
-    known_date = F.col("date").isNotNull()
-    per_user = (
-        _stacked(events, transactions)
-        .groupBy("date", "user_id")
-        .agg(F.bool_or("is_event").alias("by_event"), F.bool_or(~F.col("is_event")).alias("by_tx"))
+    per_user = days.groupBy("date", "user_id").agg(
+        F.bool_or(F.col("events") > 0).alias("by_event"), F.bool_or(F.col("transactions") > 0).alias("by_tx")
     )
-    known_user = F.col("user_id").isNotNull()
+    counted = F.col("date").isNotNull() & F.col("user_id").isNotNull()
     return conform(
         per_user.groupBy("date").agg(
-            F.count_if(known_date & known_user & F.col("by_event")).alias("event_active_users"),
-            F.count_if(known_date & known_user & F.col("by_tx")).alias("tx_active_users"),
+            F.count_if(counted & F.col("by_event")).alias("event_active_users"),
+            F.count_if(counted & F.col("by_tx")).alias("tx_active_users"),
             F.count("user_id").alias("total_active_users"),
         ),
         gold_schema("daily_active_users"),
     )
 
 
-def user_ltv(events: DataFrame, transactions: DataFrame, scale: int | None = None) -> DataFrame:
+def _ltv(per_user: DataFrame) -> DataFrame:
+    lifetime = per_user.withColumn("total_revenue", F.col("total_revenue").cast("double")).withColumns(
+        {
+            "event_count": F.nullif("event_count", F.lit(0)),
+            "transaction_count": F.nullif("transaction_count", F.lit(0)),
+            "ltv": F.coalesce("total_revenue", F.lit(0.0)),
+        }
+    )
+    return conform(lifetime, gold_schema("user_ltv"))
+
+
+def ltv_of(days: DataFrame) -> DataFrame:
     """Per user: event count and span, transaction count and revenue, null on a side the user lacks; ``ltv`` is
     revenue, or 0."""
-    per_user = (
-        _stacked(events, transactions, at=True)
-        .groupBy("user_id", _side("user_id"))
-        .agg(
-            F.nullif(F.count_if("is_event"), F.lit(0)).alias("event_count"),
-            F.min("at").alias("first_event"),
-            F.max("at").alias("last_event"),
-            F.nullif(F.count_if(~F.col("is_event")), F.lit(0)).alias("transaction_count"),
-            _total("amount", scale).alias("total_revenue"),
+    return _ltv(
+        days.groupBy("user_id", _side(F.col("user_id").isNull(), F.col("side"))).agg(
+            F.sum("events").alias("event_count"),
+            F.min("first_event").alias("first_event"),
+            F.max("last_event").alias("last_event"),
+            F.sum("transactions").alias("transaction_count"),
+            F.sum("money").alias("total_revenue"),
         )
     )
+
+
+def dates_of(days: DataFrame) -> DataFrame:
+    """The date dimension of the days that have events or transactions."""
+    return _calendar(days.select("date").distinct())
+
+
+def fact_user_activity(
+    events: DataFrame, transactions: DataFrame, users: DataFrame | None = None, scale: int | None = None
+) -> DataFrame:
+    """:func:`activity_of` straight from silver."""
+    return activity_of(user_days(events, transactions, scale), users)
+
+
+def daily_revenue(transactions: DataFrame, scale: int | None = None) -> DataFrame:
+    """:func:`revenue_of` straight from silver, with one aggregation by day."""
+    money = _sum("amount", scale)
     return conform(
-        per_user.withColumn("ltv", F.coalesce("total_revenue", F.lit(0.0))), gold_schema("user_ltv")
+        transactions.groupBy(_day("created_at")).agg(
+            F.count("*").alias("transaction_count"),
+            money.cast("double").alias("total_revenue"),
+            _mean(money, F.count("amount")).alias("avg_amount"),
+            F.count_if(F.col("status") == "delivered").alias("delivered_count"),
+        ),
+        gold_schema("daily_revenue"),
+    )
+
+
+def daily_active_users(events: DataFrame, transactions: DataFrame) -> DataFrame:
+    """:func:`active_of` straight from silver."""
+    per_user = _stacked(events, transactions).select(
+        "date", "user_id", F.col("is_event").cast("int").alias("events"), (~F.col("is_event")).cast("int").alias("transactions")
+    )
+    return active_of(per_user)
+
+
+def user_ltv(events: DataFrame, transactions: DataFrame, scale: int | None = None) -> DataFrame:
+    """:func:`ltv_of` straight from silver, with one aggregation by user."""
+    return _ltv(
+        _stacked(events, transactions)
+        .groupBy("user_id", _side(F.col("user_id").isNull(), F.col("is_event")))
+        .agg(
+            F.count_if("is_event").alias("event_count"),
+            F.min("event_at").alias("first_event"),
+            F.max("event_at").alias("last_event"),
+            F.count_if(~F.col("is_event")).alias("transaction_count"),
+            _sum("amount", scale).alias("total_revenue"),
+        )
     )

@@ -153,7 +153,11 @@ def gold_job(
     salts: int | None = None,
     stringly: bool = False,
 ) -> None:
-    """All gold tables from silver. Facts come last, so that ``user_ltv`` can tell how skewed their join key is."""
+    """All gold tables from silver.
+
+    Silver is scanned once for a per-user-and-day table in the shared folder, which all the marts come from. The two
+    wide facts follow, when ``user_ltv`` can tell how skewed their join key is (or ``salts`` says so).
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     frames = {n: voids_to_text(df) for n, df in read_silver_tables(spark, layout.root + "/silver", stringly).items()}
     events, users, transactions = (frames[s.name] for s in (EVENTS, USERS, TRANSACTIONS))
@@ -161,23 +165,30 @@ def gold_job(
     if bad:
         log.warning("%d events have no %s; gold is built all the same", bad, EVENTS.key)
 
-    def salted() -> int:
-        return salts_for(read_gold(spark, layout.gold, "user_ltv")) if salts is None else salts
-
-    builders = {
+    wanted = set(tables)
+    from_days = {
+        "dim_date": gold.dates_of,
+        "fact_user_activity": lambda days: gold.activity_of(days, users),
+        "daily_revenue": gold.revenue_of,
+        "daily_active_users": gold.active_of,
+        "user_ltv": gold.ltv_of,
+    }
+    if wanted & set(from_days):
+        days = written(gold.user_days(events, transactions), "user-days")
+        for table, build in from_days.items():
+            if table in wanted:
+                write_gold(build(days), layout.gold, table)
+
+    if salts is None and wanted & {"fact_events", "fact_transactions"}:
+        salts = salts_for(read_gold(spark, layout.gold, "user_ltv"))
+    others = {
         "dim_users": lambda: gold.dim_users(users),
         "dim_country": lambda: gold.dim_country(events),
         "dim_status": lambda: gold.dim_status(transactions),
-        "dim_date": lambda: gold.dim_date(events, transactions),
-        "fact_user_activity": lambda: gold.fact_user_activity(events, transactions, users),
-        "daily_revenue": lambda: gold.daily_revenue(transactions),
-        "daily_active_users": lambda: gold.daily_active_users(events, transactions),
-        "user_ltv": lambda: gold.user_ltv(events, transactions),
-        "fact_events": lambda: gold.fact_events(events, users, salted()),
-        "fact_transactions": lambda: gold.fact_transactions(transactions, users, salted()),
+        "fact_events": lambda: gold.fact_events(events, users, salts),
+        "fact_transactions": lambda: gold.fact_transactions(transactions, users, salts),
     }
-    wanted = set(tables)
-    for table, build in builders.items():
+    for table, build in others.items():
         if table in wanted:
             write_gold(build(), layout.gold, table)
 

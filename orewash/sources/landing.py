@@ -68,7 +68,8 @@ def file_kind(path: Column) -> Column:
 def first_lines(spark: SparkSession, paths: Sequence[str], skip_damaged: bool = False) -> DataFrame:
     """The first non-blank line of every file, ``(path, line)``.
 
-    Only the opening block of each file is read, and each task reduces it to one line per file before the shuffle.
+    Only the opening block of each file is kept, and each task reduces it to one line per file before the shuffle.
+    Collecting the block starts makes Spark aggregate in a hash table; text alone it would sort first.
     """
     lines = _reader(spark, None, skip_damaged).text(list(paths)).select(
         "value", "_metadata.file_path", "_metadata.file_block_start"
@@ -77,7 +78,9 @@ def first_lines(spark: SparkSession, paths: Sequence[str], skip_damaged: bool =
     return (
         opening.withColumn("at", F.monotonically_increasing_id())
         .groupBy(F.col("file_path").alias("path"))
-        .agg(F.min_by("value", "at").alias("line"))
+        .agg(F.min_by("value", "at").alias("line"), F.collect_set("file_block_start").alias("starts"))
+        .where(F.size("starts") == 1)
+        .select("path", "line")
     )
 
 

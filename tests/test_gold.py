@@ -98,3 +98,14 @@ def test_facts_keep_unmatched_rows(spark):
     assert got["5"].event_date is None and got["1"].event_date == D1
     facts = gold.fact_transactions(tx, users)
     assert facts.count() == 4 and facts.schema.simpleString() == gold_schema("fact_transactions").simpleString()
+
+
+def test_marts_from_user_days_are_the_same(spark):
+    events, tx = frames(spark)
+    for scale in (None, 2):
+        days = gold.user_days(events, tx, scale)
+        assert rows(gold.activity_of(days)) == rows(gold.fact_user_activity(events, tx))
+        assert rows(gold.revenue_of(days)) == rows(gold.daily_revenue(tx))
+        assert rows(gold.active_of(days)) == rows(gold.daily_active_users(events, tx))
+        assert rows(gold.ltv_of(days)) == rows(gold.user_ltv(events, tx))
+        assert rows(gold.dates_of(days)) == rows(gold.dim_date(events, tx))
