@@ -25,7 +25,7 @@ from orewash.sinks.files import (
 )
 from orewash.sinks.warehouse import load_warehouse
 from orewash.sources.audit import landing_audit, routed
-from orewash.sources.landing import landing_frames
+from orewash.sources.landing import file_kind, landing_frames
 from orewash.sources.silver import read_silver, read_silver_tables
 from orewash.specs import EVENTS, GOLD_DDL, GOLD_MUST_EXIST, SPECS, TRANSACTIONS, USERS, DatasetSpec
 
@@ -36,27 +36,17 @@ MAX_SALTS = 64
 
 @dataclass(frozen=True)
 class Layout:
-    """Where the layers live under one root."""
+    """Where the layers live; each dataset or table is a folder below its layer."""
 
-    root: str
+    landing: str
+    silver: str
+    quarantine: str
+    metrics: str
+    gold: str
 
-    def landing(self, name: str) -> str:
-        return f"{self.root}/landing/{name}"
-
-    def silver(self, name: str) -> str:
-        return f"{self.root}/silver/{name}"
-
-    @property
-    def quarantine(self) -> str:
-        return f"{self.root}/quarantine"
-
-    @property
-    def metrics(self) -> str:
-        return f"{self.root}/metrics"
-
-    @property
-    def gold(self) -> str:
-        return f"{self.root}/gold"
+    @classmethod
+    def under(cls, root: str) -> Layout:
+        return cls(*(f"{root}/{layer}" for layer in ("landing", "silver", "quarantine", "metrics", "gold")))
 
 
 @dataclass(frozen=True)
@@ -73,6 +63,20 @@ def _by_refused(df: DataFrame) -> dict[int, int]:
     return {r[silver.REFUSED]: r["count"] for r in df.groupBy(silver.REFUSED).count().collect()}
 
 
+def admitted_files(spark: SparkSession, layout: Layout, spec: DatasetSpec, probe: bool = False) -> str | list[str]:
+    """What to read for a dataset: its landing folder, or a list of files if some in it are not to be read.
+
+    Files turned away by the landing audit are listed, with the reason, under ``quarantine/files/<dataset>``.
+    """
+    folder = f"{layout.landing}/{spec.name}"
+    valid, turned_away = routed(written(landing_audit(spark, folder, spec.name, probe), f"audit-{spec.name}"))
+    turned_away.write.mode("overwrite").parquet(f"{layout.quarantine}/files/{spec.name}")
+    stray = turned_away.where(file_kind(F.col("path")).isNotNull() & (F.col("length") > 0))
+    if stray.isEmpty():
+        return folder
+    return [r["path"] for r in valid.select("path").collect()]  # names, like Spark's own file index
+
+
 def silver_dataset(
     spark: SparkSession,
     layout: Layout,
@@ -86,16 +90,13 @@ def silver_dataset(
 
     Text is parsed once and kept as a columnar table in the shared folder, partitioned by fate; so is the outcome
     of the contest for keys. Silver, quarantine and the counts are read from those, and the metrics from silver as
-    written: exact also when executors were lost on the way. With ``skip_damaged`` the files passed over are listed
-    under ``quarantine/_files/<dataset>``.
+    written: exact also when executors were lost on the way. ``skip_damaged`` passes over files that cannot be read
+    instead of failing on them.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    landing = layout.landing(spec.name)
-    frames = landing_frames(spark, landing, spec, one_header, skip_damaged)
+    admitted = admitted_files(spark, layout, spec, probe=skip_damaged)
+    frames = landing_frames(spark, admitted, spec, one_header, skip_damaged)
     require_rows({"load": len(frames)}, spec.name)
-    if skip_damaged:
-        turned_away = routed(landing_audit(spark, landing, spec.name, probe=True)).rejected
-        turned_away.write.mode("overwrite").parquet(f"{layout.quarantine}/_files/{spec.name}")
 
     rows = union_by_name(*(silver.staged(frame, spec) for frame in frames))
     rows = written(rows, f"staged-{spec.name}", silver.REFUSED)
@@ -114,9 +115,9 @@ def silver_dataset(
     rejected = staged.get(1, 0) + judged.get(1, 0)
     if rejected:
         append_quarantine(silver.refused(rows, winners, spec), layout.quarantine, spec)
-    write_silver(silver.finished(winners, spec, partial), layout.silver(spec.name), spec, stringly)
+    write_silver(silver.finished(winners, spec, partial), f"{layout.silver}/{spec.name}", spec, stringly)
 
-    kept = read_silver(spark, layout.silver(spec.name), spec, stringly=stringly)
+    kept = read_silver(spark, f"{layout.silver}/{spec.name}", spec, stringly=stringly)
     measured = measures(kept.select(*silver.measured_columns(spec)), spec)
     extra = spark.range(1).select(F.lit("quarantined_rows").alias("metric"), F.lit(str(rejected)).alias("value"))
     write_metrics(as_metrics(measured).union(extra), layout.metrics, spec)
@@ -159,7 +160,7 @@ def gold_job(
     wide facts follow, when ``user_ltv`` can tell how skewed their join key is (or ``salts`` says so).
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    frames = {n: voids_to_text(df) for n, df in read_silver_tables(spark, layout.root + "/silver", stringly).items()}
+    frames = {n: voids_to_text(df) for n, df in read_silver_tables(spark, layout.silver, stringly).items()}
     events, users, transactions = (frames[s.name] for s in (EVENTS, USERS, TRANSACTIONS))
     bad = check_not_null(events, EVENTS.key).first()["bad"]
     if bad:
@@ -194,12 +195,11 @@ def gold_job(
 
 
 def run_all(
-    spark: SparkSession, root: str, database: str, location: str | None = None, **options
+    spark: SparkSession, layout: Layout, database: str, location: str | None = None, **options
 ) -> dict[str, SilverCounts]:
     """Landing to warehouse; every layer is checked to be there before the next one starts."""
-    layout = Layout(root)
     counts = silver_job(spark, layout, **options)
-    require_outputs(spark, [layout.silver(name) for name in SPECS])
+    require_outputs(spark, [f"{layout.silver}/{name}" for name in SPECS])
     gold_job(spark, layout, stringly=options.get("stringly", False))
     require_outputs(spark, [f"{layout.gold}/{table}" for table in GOLD_MUST_EXIST])
     load_warehouse(spark, layout.gold, database, location)

@@ -82,11 +82,11 @@ def landing(spark, tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def done(spark, landing):
-    return run_all(spark, landing, "lake_gold", f"{landing}/warehouse")
+    return run_all(spark, Layout.under(landing), "lake_gold", f"{landing}/warehouse")
 
 
 def test_landing_to_warehouse(spark, landing, done):
-    layout = Layout(landing)
+    layout = Layout.under(landing)
     for name, spec in SPECS.items():
         count = done[name]
         assert isinstance(count, SilverCounts)
@@ -97,7 +97,7 @@ def test_landing_to_warehouse(spark, landing, done):
         raw = RAW[name](spark, SF)
         raw = raw.drop(CORRUPT) if CORRUPT in raw.columns else raw
         lazy = silver(raw, spec)
-        written = read_silver(spark, layout.silver(name), spec)
+        written = read_silver(spark, f"{layout.silver}/{name}", spec)
         # CSV cannot tell an empty text from none; both are null after cleaning.
         assert written.exceptAll(lazy.good).count() == 0 and lazy.good.exceptAll(written).count() == 0
         bad = spark.read.parquet(f"{layout.quarantine}/{name}")
@@ -116,7 +116,7 @@ def test_landing_to_warehouse(spark, landing, done):
 
 
 def test_gold_invariants(spark, landing, done):
-    layout = Layout(landing)
+    layout = Layout.under(landing)
     gold = {t: read_gold(spark, layout.gold, t) for t in GOLD_DDL}
     revenue = gold["daily_revenue"].agg(F.sum("total_revenue")).first()[0]
     assert gold["user_ltv"].agg(F.sum("ltv")).first()[0] == pytest.approx(revenue)
@@ -131,7 +131,7 @@ def test_gold_invariants(spark, landing, done):
 
 
 def test_gold_again_with_salts_is_the_same(spark, landing, done):
-    layout = Layout(landing)
+    layout = Layout.under(landing)
     before = read_gold(spark, layout.gold, "fact_transactions").collect()
     gold_job(spark, layout, tables=["fact_transactions"], salts=5)
     after = read_gold(spark, layout.gold, "fact_transactions").collect()
@@ -139,7 +139,7 @@ def test_gold_again_with_salts_is_the_same(spark, landing, done):
 
 
 def test_pruned_silver_scan(spark, landing, done):
-    path = Layout(landing).silver("events")
+    path = Layout.under(landing).silver + "/events"
     some = read_silver(spark, path, EVENTS, since=dt.date(2024, 1, 10), until=dt.date(2024, 1, 12))
     assert {r[0] for r in some.select("event_date").distinct().collect()} <= {dt.date(2024, 1, d) for d in (10, 11, 12)}
     assert some.count() > 0
@@ -150,27 +150,42 @@ def test_stringly_and_damaged_options(spark, landing, done, tmp_path):
     root = str(tmp_path)
     write_mixed_landing(inputs.raw_users(spark, SF), f"{root}/landing/users", USERS)
     (tmp_path / "landing" / "users" / "zz.csv.gz").write_bytes(b"not gzip at all")
-    count = silver_dataset(spark, Layout(root), USERS, skip_damaged=True, stringly=True)
+    count = silver_dataset(spark, Layout.under(root), USERS, skip_damaged=True, stringly=True)
     assert count.accepted == done["users"].accepted
-    stored = spark.read.parquet(Layout(root).silver("users"))
+    stored = spark.read.parquet(f"{root}/silver/users")
     assert set(dict(stored.drop("event_date").dtypes).values()) == {"string"}
-    typed = read_silver(spark, Layout(root).silver("users"), USERS, stringly=True)
-    assert typed.exceptAll(read_silver(spark, Layout(landing).silver("users"), USERS)).count() == 0
-    (turned_away,) = spark.read.parquet(f"{root}/quarantine/_files/users").collect()
+    typed = read_silver(spark, f"{root}/silver/users", USERS, stringly=True)
+    assert typed.exceptAll(read_silver(spark, f"{landing}/silver/users", USERS)).count() == 0
+    (turned_away,) = spark.read.parquet(f"{root}/quarantine/files/users").collect()
     assert turned_away["path"].endswith("zz.csv.gz") and turned_away["verdict"] == "unreadable"
 
 
+def test_files_turned_away_by_name_are_not_read(spark, tmp_path):
+    folder = tmp_path / "landing" / "users"
+    folder.mkdir(parents=True)
+    (folder / "a.json").write_text('{"user_id":"1"}\n')
+    (folder / "b.bin").write_text("junk")
+    spark.sql("select '2' user_id").write.parquet(str(tmp_path / "p"))
+    (file,) = (tmp_path / "p").glob("*.parquet")
+    file.rename(folder / "export.parquet")
+    assert silver_dataset(spark, Layout.under(str(tmp_path)), USERS).accepted == 1
+    turned_away = spark.read.parquet(f"{tmp_path}/quarantine/files/users")
+    assert sorted((r["path"].rsplit("/", 1)[1], r["reason"]) for r in turned_away.collect()) == [
+        ("b.bin", "extension not accepted"), ("export.parquet", "parquet without part-")
+    ]
+
+
 def test_empty_steps_stop_the_job(spark, tmp_path):
     with pytest.raises(EmptyStepError, match="'load' of dataset 'events'"):
-        silver_job(spark, Layout(str(tmp_path)))
+        silver_job(spark, Layout.under(str(tmp_path)))
     folder = tmp_path / "landing" / "events"
     folder.mkdir(parents=True)
     (folder / "a.json").write_text('{"event_id":"1"}\n')
     with pytest.raises(EmptyStepError, match="'normalize'"):
-        silver_dataset(spark, Layout(str(tmp_path)), EVENTS)
+        silver_dataset(spark, Layout.under(str(tmp_path)), EVENTS)
     (folder / "a.json").write_text('{"event_id":"1","user_id":"u","ts":"junk"}\n')
     with pytest.raises(EmptyStepError, match="'quarantine'"):
-        silver_dataset(spark, Layout(str(tmp_path)), EVENTS)
+        silver_dataset(spark, Layout.under(str(tmp_path)), EVENTS)
 
 
 def test_output_checks(spark, tmp_path):
