@@ -74,8 +74,8 @@ def timestamp_of(col: Column, dtype: DataType, formats: Sequence[str] = TIMESTAM
     if isinstance(dtype, _TEMPORAL):
         return col.cast("timestamp")
     text = text_of(col, dtype)
-    attempts = [F.when(text.rlike("[0-9]"), F.try_to_timestamp(text, F.lit(f))) for f in formats]
-    return F.coalesce(text.try_cast("timestamp"), *attempts)
+    attempts = F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in formats))
+    return F.coalesce(text.try_cast("timestamp"), F.when(text.rlike("[0-9]"), attempts))
 
 
 def typed(col: Column, now: DataType, target: DataType) -> Column:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType, StringType, TimestampType
+from pyspark.sql.types import DataType, NumericType, StringType, TimestampType
 
-from orewash.functions import blank_to_null, double_of, timestamp_of, typed
-from orewash.specs import NULL_TOKENS, DatasetSpec
+from orewash.functions import blank_to_null, double_of, text_of, timestamp_of, typed
+from orewash.specs import CORRUPT, NULL_TOKENS, DatasetSpec
 
 
 def null_tokens(df: DataFrame, tokens: Sequence[str] = NULL_TOKENS) -> DataFrame:
@@ -38,23 +38,25 @@ def clean_timestamps(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return df.withColumns({c: timestamp_of(F.col(c), types[c]) for c in columns if c in types})
 
 
+def clean_value(col: Column, now: DataType, target: DataType | None, tokens: Sequence[str] = NULL_TOKENS) -> Column:
+    """One value: times and numbers read leniently, texts trimmed and rid of null tokens."""
+    if isinstance(target, (NumericType, TimestampType)):
+        return typed(col, now, target)
+    return blank_to_null(col if target is None else text_of(col, now), now if target is None else target, tokens)
+
+
 def clean(df: DataFrame, spec: DatasetSpec | None, tokens: Sequence[str] = NULL_TOKENS) -> DataFrame:
     """Null tokens, trimming, timestamps and numbers for the canonical columns of ``spec``, in one projection.
 
     Works on raw text and on columns that already have their type. Other columns get null tokens and trimming only,
-    the engine's own (``_`` prefix) nothing. Without a spec the frame is returned as it is.
+    the corrupt-line column nothing. Without a spec the frame is returned as it is.
     """
     if spec is None:
         return df
     target = {f.name: f.dataType for f in spec.schema.fields}
-
-    def column(field):
-        value = F.col(field.name)
-        if field.name.startswith("_"):
-            return value
-        want = target.get(field.name)
-        if isinstance(want, (NumericType, TimestampType)):
-            return typed(value, field.dataType, want).alias(field.name)
-        return blank_to_null(value, field.dataType, tokens).alias(field.name)
-
-    return df.select(*(column(f) for f in df.schema.fields))
+    return df.select(
+        *(
+            f.name if f.name == CORRUPT else clean_value(F.col(f.name), f.dataType, target.get(f.name), tokens).alias(f.name)
+            for f in df.schema.fields
+        )
+    )

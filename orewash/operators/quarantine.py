@@ -2,30 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orewash.operators.split import FAULTS, Split, by_faults, fault_text
+from orewash.operators.normalize import corrupt_rule, missing_rules
+from orewash.operators.split import Rules, Split, by_faults, judged
 from orewash.specs import CORRUPT, DatasetSpec
 
 
-def row_rules(columns: list[str], spec: DatasetSpec | None) -> list[tuple[str, Column]]:
-    """Fault codes and when they hold for a cleaned row; a rule on a column that is not there treats it as null."""
+def row_rules(values: Mapping[str, Column], spec: DatasetSpec | None) -> Rules:
+    """The rules of ``spec`` on clean values by column name; a column that is not there counts as null."""
     if spec is None:
         return []
-    have = set(columns)
-    value = {c: F.col(c) if c in have else F.lit(None) for c in (*spec.trusted, *spec.non_negative)}
-    rules = [("corrupt", F.col(CORRUPT).isNotNull())] if CORRUPT in have else []
-    rules += [(f"missing:{c}", value[c].isNull()) for c in spec.trusted]
-    rules += [(f"negative:{c}", value[c].try_cast("double") < 0) for c in spec.non_negative]
+    nothing = F.lit(None)
+    rules = corrupt_rule() if CORRUPT in values else []
+    rules += missing_rules((c, values.get(c, nothing)) for c in spec.trusted)
+    rules += [(f"negative:{c}", values.get(c, nothing).try_cast("double") < 0) for c in spec.non_negative]
     return rules
 
 
-def judged(df: DataFrame, spec: DatasetSpec | None) -> DataFrame:
-    """Add the faults of each row under the rules of ``spec``."""
-    return df.withColumn(FAULTS, fault_text(row_rules(df.columns, spec)))
-
-
 def quarantine(df: DataFrame, spec: DatasetSpec | None) -> Split:
     """Rows that pass the rules of ``spec``, and rows that do not with their ``reason``."""
-    return by_faults(judged(df, spec))
+    return by_faults(judged(df, row_rules({c: F.col(c) for c in df.columns}, spec)))

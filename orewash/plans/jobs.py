@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from orewash.operators.columns import voids_to_text
 from orewash.operators.dedupe import union_by_name
 from orewash.operators.quality import as_metrics, check_not_null, measures, require_rows
+from orewash.operators.split import REFUSED
 from orewash.plans import gold, silver
 from orewash.scratch import written
 from orewash.sinks.files import (
@@ -60,7 +61,7 @@ class SilverCounts:
 
 
 def _by_refused(df: DataFrame) -> dict[int, int]:
-    return {r[silver.REFUSED]: r["count"] for r in df.groupBy(silver.REFUSED).count().collect()}
+    return {r[REFUSED]: r["count"] for r in df.groupBy(REFUSED).count().collect()}
 
 
 def admitted_files(spark: SparkSession, layout: Layout, spec: DatasetSpec, probe: bool = False) -> str | list[str]:
@@ -99,7 +100,7 @@ def silver_dataset(
     require_rows({"load": len(frames)}, spec.name)
 
     rows = union_by_name(*(silver.staged(frame, spec) for frame in frames))
-    rows = written(rows, f"staged-{spec.name}", silver.REFUSED)
+    rows = written(rows, f"staged-{spec.name}", REFUSED)
     staged = _by_refused(rows)
     loaded, fit = sum(staged.values()), staged.get(0, 0)
     require_rows({"load": loaded, "normalize": fit}, spec.name)
@@ -108,7 +109,7 @@ def silver_dataset(
     if spec.snapshot:
         judged = {0: fit}
     else:
-        winners = written(winners, f"winners-{spec.name}", silver.REFUSED)
+        winners = written(winners, f"winners-{spec.name}", REFUSED)
         judged = _by_refused(winners)
     require_rows({"dedupe": sum(judged.values()), "quarantine": judged.get(0, 0)}, spec.name)
 

@@ -5,31 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orewash.operators.cleaning import clean
+from orewash.operators.cleaning import clean_value
 from orewash.operators.columns import locked, with_event_date
 from orewash.operators.dedupe import latest_per_key
-from orewash.operators.normalize import flagged
-from orewash.operators.quarantine import judged, row_rules
+from orewash.operators.normalize import aligned, corrupt_rule, missing_rules, uncastable_rules
+from orewash.operators.quarantine import row_rules
 from orewash.operators.scd import latest_snapshot, merge_partial
-from orewash.operators.split import FAULTS, Split, by_faults, fault_text
+from orewash.operators.split import FAULTS, REFUSED, Split, by_faults, judged, verdict
 from orewash.specs import CORRUPT, DatasetSpec
 
-REFUSED = "_refused"  # 1 when a row has faults, else 0
-
-
-def _mark(df: DataFrame) -> DataFrame:
-    return df.withColumn(REFUSED, (F.col(FAULTS) != "").cast("int"))
-
 
 def staged(raw: DataFrame, spec: DatasetSpec, flag_uncastable: bool = False) -> DataFrame:
     """Typed, clean canonical columns with the faults that bar a row from competing for its key.
 
-    Those are structural faults and a key that turns out to be a null token. Datasets that merge a history have no
-    contest for keys, so their row rules apply here too. One projection over ``raw``, no shuffle.
+    Those are structural faults, judged on the values as they arrived, and a key that turns out to be a null token.
+    Datasets that merge a history have no contest for keys, so all their row rules apply here. It is one projection
+    over ``raw``, and kept small: generated methods beyond 8000 bytes are never compiled by the JVM.
     """
-    df = clean(flagged(raw, spec, flag_uncastable), spec)
-    late = row_rules(df.columns, spec) if spec.snapshot else [(f"missing:{spec.key}", F.col(spec.key).isNull())]
-    return _mark(df.withColumn(FAULTS, fault_text(late, earlier=F.col(FAULTS))))
+    df = aligned(raw, spec)
+    now = {f.name: f.dataType for f in df.schema.fields}
+    tidy = {f.name: clean_value(F.col(f.name), now[f.name], f.dataType) for f in spec.schema.fields}
+    late = row_rules(tidy, spec) if spec.snapshot else missing_rules([(spec.key, tidy[spec.key])])
+    codes = {code for code, _ in late}
+    early = missing_rules((c, F.col(c)) for c in spec.required)
+    rules = corrupt_rule() + late + [(code, holds) for code, holds in early if code not in codes]
+    if flag_uncastable:
+        rules += uncastable_rules(df, tidy)
+    return df.select(*(value.alias(name) for name, value in tidy.items()), CORRUPT, *verdict(rules))
 
 
 def contested(rows: DataFrame, spec: DatasetSpec) -> DataFrame:
@@ -41,7 +43,7 @@ def contested(rows: DataFrame, spec: DatasetSpec) -> DataFrame:
     if spec.snapshot:
         return fit
     winners = latest_per_key(fit.drop(CORRUPT, FAULTS, REFUSED), spec.key, spec.order_by)
-    return _mark(judged(winners, spec))
+    return judged(winners, row_rules({c: F.col(c) for c in winners.columns}, spec))
 
 
 def finished(winners: DataFrame, spec: DatasetSpec, partial: bool = False, stringly: bool = False) -> DataFrame:
@@ -57,10 +59,10 @@ def finished(winners: DataFrame, spec: DatasetSpec, partial: bool = False, strin
 
 def refused(rows: DataFrame, winners: DataFrame, spec: DatasetSpec) -> DataFrame:
     """All rejected rows, before and after the contest, with their ``reason``."""
-    early = by_faults(rows.where(F.col(REFUSED) == 1).drop(REFUSED)).rejected
+    early = by_faults(rows).rejected
     if spec.snapshot:
         return early
-    late = by_faults(winners.where(F.col(REFUSED) == 1).drop(REFUSED)).rejected
+    late = by_faults(winners).rejected
     return early.unionByName(late, allowMissingColumns=True)
 
 

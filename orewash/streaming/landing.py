@@ -12,13 +12,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import DateType, StringType, StructField, StructType
+from pyspark.sql.types import DateType, IntegerType, StringType, StructField, StructType
 
 from orewash.operators.columns import locked, with_event_date
 from orewash.operators.dedupe import latest_per_key, union_by_name
-from orewash.operators.quarantine import judged
-from orewash.operators.split import FAULTS, by_faults
-from orewash.plans.silver import REFUSED, staged
+from orewash.operators.quarantine import row_rules
+from orewash.operators.split import FAULTS, REFUSED, by_faults, judged
+from orewash.plans.silver import staged
 from orewash.scratch import written
 from orewash.sources.landing import landing_frames
 from orewash.specs import CORRUPT, UNKNOWN_DATE, DatasetSpec
@@ -27,7 +27,8 @@ _FILES = "path string, modificationTime timestamp, length bigint, content binary
 
 
 def _store_schema(spec: DatasetSpec) -> StructType:
-    fields = [*spec.schema.fields, StructField(FAULTS, StringType()), StructField("event_date", DateType())]
+    fate = [StructField(FAULTS, StringType()), StructField(REFUSED, IntegerType())]
+    fields = [*spec.schema.fields, *fate, StructField("event_date", DateType())]
     return StructType(fields)
 
 
@@ -49,7 +50,7 @@ def _contenders(rows: DataFrame, spec: DatasetSpec) -> DataFrame:
         blank = {f.name: F.lit(None).cast(f.dataType) for f in spec.schema.fields
                  if f.name not in (spec.key, spec.order_by, *spec.snapshot)}
         fit = fit.withColumns({spec.order_by: F.coalesce(spec.order_by, unknown), **blank})
-    fit = with_event_date(judged(fit, spec))
+    fit = with_event_date(judged(fit, row_rules({c: F.col(c) for c in fit.columns}, spec)))
     return fit.select(*_store_schema(spec).fieldNames())
 
 
@@ -59,7 +60,7 @@ def _merged(spark: SparkSession, paths: list[str], batch: int, store: str, spec:
     if not frames:
         return None
     rows = written(union_by_name(*(staged(f, spec) for f in frames)), f"arrived-{spec.name}", REFUSED)
-    early = by_faults(rows.where(F.col(REFUSED) == 1).drop(REFUSED)).rejected
+    early = by_faults(rows).rejected
     early.write.mode("overwrite").parquet(f"{store}/refused/batch={batch}")
 
     new = _contenders(rows, spec)
@@ -135,7 +136,7 @@ def landing_stream(
 def stored_silver(spark: SparkSession, store: str, spec: DatasetSpec) -> DataFrame:
     """The silver table as of the last absorbed batch."""
     winners = _read_store(spark, store, spec)
-    return locked(winners.where(F.col(FAULTS) == "").drop(FAULTS), spec)
+    return locked(by_faults(winners).good, spec)
 
 
 def stored_rejects(spark: SparkSession, store: str, spec: DatasetSpec) -> DataFrame:
