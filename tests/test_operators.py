@@ -276,3 +276,32 @@ def test_empty_steps_are_named():
     quality.require_rows({"load": 3}, "events")
     with pytest.raises(quality.EmptyStepError, match="'dedupe'.*'events'"):
         quality.require_rows({"load": 3, "dedupe": 0, "quarantine": 0}, "events")
+
+
+def test_skewed_fact_join_is_split_or_salted(spark, tmp_path):
+    facts = spark.range(0, 200_000, 1, 8).select(
+        F.when(F.col("id") % 5 < 2, "hot").otherwise(F.col("id").cast("string")).alias("k"),
+        F.sha2(F.col("id").cast("string"), 256).alias("fact"),
+    )
+    dim = spark.range(20_000).select(F.col("id").cast("string").alias("k"), F.lit("x").alias("v"))
+    settings = {
+        "spark.sql.shuffle.partitions": "32",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200k",
+    }
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        seen = {}
+        for salts in (1, 16):
+            joined = attach(facts, dim, "k", "fact", salts)
+            out = joined.agg(F.count("*"), F.count("v"), F.sum(F.xxhash64("k", "fact", "v").cast("decimal(38,0)")))
+            seen[salts] = (out.collect(), out._jdf.queryExecution().executedPlan().toString())
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+    assert seen[1][0] == seen[16][0]
+    assert "skew=true" in seen[1][1]  # unsalted: the hot partition is split at run time
+    assert "_salt" in seen[16][1].split("Exchange")[1]  # salted: the shuffle key includes the salt
