@@ -1,21 +1,41 @@
-"""Joins from large fact frames to a dimension."""
+"""Joins from large fact frames to a dimension, safe against keys that hold much of the facts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+SALTS = 64
+
+
+def heavy_keys(counts: DataFrame, key: str, columns: Sequence[str], share: float = 1 / 200) -> list:
+    """The keys that hold more than ``share`` of any of ``columns``, from one row of counts per key.
+
+    There are at most ``1 / share`` of them per column, however large the data.
+    """
+    total = counts.agg(*(F.sum(c).alias(c) for c in columns)).first()
+    heavy = F.lit(False)
+    for c in columns:
+        heavy = heavy | (F.col(c) > (total[c] or 0) * share)
+    return [r[0] for r in counts.where(heavy).select(key).distinct().collect()]
+
 
-def attach(facts: DataFrame, dimension: DataFrame, key: str, spread_by: str, salts: int = 1) -> DataFrame:
+def attach(facts: DataFrame, dimension: DataFrame, key: str, spread_by: str, heavy: Sequence = ()) -> DataFrame:
     """``facts`` left-joined to ``dimension`` on ``key``; facts without a match keep nulls.
 
-    With one salt this is a plain join: Spark broadcasts the dimension only if its size is under the session's
-    threshold, otherwise it shuffles both sides and splits skewed partitions at run time. With more salts every key,
-    the null key included, is spread over that many shuffle partitions by a hash of ``spread_by``, and the
-    dimension is repeated once per salt. The result is the same.
+    Without ``heavy`` keys this is a plain join: Spark broadcasts the dimension only if its size is under the
+    session's threshold, otherwise it shuffles both sides and splits skewed partitions at run time. Facts with a heavy
+    key, or with none, are spread over many shuffle partitions by a hash of ``spread_by``, and only the dimension rows
+    of heavy keys are repeated. The result is the same.
     """
-    if salts <= 1:
+    if not heavy:
         return facts.join(dimension, key, "left")
-    salt = F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
-    copies = dimension.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return facts.withColumn("_salt", salt).join(copies, [key, "_salt"], "left").drop("_salt")
+    known = [k for k in heavy if k is not None]
+    is_heavy: Column = F.col(key).isin(known) if known else F.lit(False)
+    spread = F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")
+    salt = F.when(F.col(key).isNull() | is_heavy, spread).otherwise(0)
+    copies = F.when(is_heavy, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    repeated = dimension.withColumn("_salt", F.explode(copies))
+    return facts.withColumn("_salt", salt).join(repeated, [key, "_salt"], "left").drop("_salt")

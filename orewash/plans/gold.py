@@ -13,6 +13,8 @@ aggregate that serves them all, so that a job building everything scans silver o
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,19 +77,20 @@ def _user_columns(users: DataFrame) -> DataFrame:
     )
 
 
-def fact_events(events: DataFrame, users: DataFrame, salts: int = 1) -> DataFrame:
-    """Every event with its user's city, age and email; nulls where the user is unknown."""
+def fact_events(events: DataFrame, users: DataFrame, heavy: Sequence = ()) -> DataFrame:
+    """Every event with its user's city, age and email; nulls where the user is unknown. ``heavy``: see ``attach``."""
     facts = events.select("event_id", "user_id", "ts", F.col("ts").cast("date").alias("event_date"), "country")
-    return conform(attach(facts, _user_columns(users), "user_id", "event_id", salts), gold_schema("fact_events"))
+    return conform(attach(facts, _user_columns(users), "user_id", "event_id", heavy), gold_schema("fact_events"))
 
 
-def fact_transactions(transactions: DataFrame, users: DataFrame, salts: int = 1) -> DataFrame:
-    """Every transaction with its user's city, age and email; nulls where the user is unknown."""
+def fact_transactions(transactions: DataFrame, users: DataFrame, heavy: Sequence = ()) -> DataFrame:
+    """Every transaction with its user's city, age and email; nulls where the user is unknown. ``heavy``: see
+    ``attach``."""
     facts = transactions.select(
         "tx_id", "user_id", "amount", "status", "created_at", "delivered_at",
         F.col("created_at").cast("date").alias("tx_date"),
     )
-    joined = attach(facts, _user_columns(users), "user_id", "tx_id", salts)
+    joined = attach(facts, _user_columns(users), "user_id", "tx_id", heavy)
     return conform(joined, gold_schema("fact_transactions"))
 
 
@@ -235,7 +238,10 @@ def daily_revenue(transactions: DataFrame, scale: int | None = None) -> DataFram
 def daily_active_users(events: DataFrame, transactions: DataFrame) -> DataFrame:
     """:func:`active_of` straight from silver."""
     per_user = _stacked(events, transactions).select(
-        "date", "user_id", F.col("is_event").cast("int").alias("events"), (~F.col("is_event")).cast("int").alias("transactions")
+        "date",
+        "user_id",
+        F.col("is_event").cast("int").alias("events"),
+        (~F.col("is_event")).cast("int").alias("transactions"),
     )
     return active_of(per_user)
 

@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import logging
-import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from orewash.operators.columns import voids_to_text
 from orewash.operators.dedupe import union_by_name
+from orewash.operators.joins import heavy_keys
 from orewash.operators.quality import as_metrics, check_not_null, measures, require_rows
 from orewash.operators.split import REFUSED
 from orewash.plans import gold, silver
@@ -32,8 +32,6 @@ from orewash.specs import EVENTS, GOLD_DDL, GOLD_MUST_EXIST, SPECS, TRANSACTIONS
 
 log = logging.getLogger(__name__)
 
-MAX_SALTS = 64
-
 
 @dataclass(frozen=True)
 class Layout:
@@ -133,32 +131,17 @@ def silver_job(spark: SparkSession, layout: Layout, **options) -> dict[str, Silv
     return {name: silver_dataset(spark, layout, spec, **options) for name, spec in SPECS.items()}
 
 
-def salts_for(per_user: DataFrame) -> int:
-    """How many ways to spread the join keys of the facts, from the per-user counts of ``user_ltv``.
-
-    The aim is that no user's rows fill more than half a percent of a shuffle; one user with a third of all rows
-    gives 64, a flat distribution gives 1.
-    """
-    share = per_user.agg(
-        F.greatest(
-            F.try_divide(F.max("event_count"), F.sum("event_count")),
-            F.try_divide(F.max("transaction_count"), F.sum("transaction_count")),
-        ).alias("share")
-    ).first()["share"]
-    return max(1, min(MAX_SALTS, math.ceil((share or 0) * 200)))
-
-
 def gold_job(
     spark: SparkSession,
     layout: Layout,
     tables: Iterable[str] = tuple(GOLD_DDL),
-    salts: int | None = None,
+    heavy: Sequence | None = None,
     stringly: bool = False,
 ) -> None:
     """All gold tables from silver.
 
     Silver is scanned once for a per-user-and-day table in the shared folder, which all the marts come from. The two
-    wide facts follow, when ``user_ltv`` can tell how skewed their join key is (or ``salts`` says so).
+    wide facts follow, when ``user_ltv`` can tell which users are too heavy for a plain join (unless ``heavy`` does).
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     frames = {n: voids_to_text(df) for n, df in read_silver_tables(spark, layout.silver, stringly).items()}
@@ -181,14 +164,16 @@ def gold_job(
             if table in wanted:
                 write_gold(build(days), layout.gold, table)
 
-    if salts is None and wanted & {"fact_events", "fact_transactions"}:
-        salts = salts_for(read_gold(spark, layout.gold, "user_ltv"))
+    if heavy is None and wanted & {"fact_events", "fact_transactions"}:
+        built = "user_ltv" in wanted
+        per_user = read_gold(spark, layout.gold, "user_ltv") if built else gold.user_ltv(events, transactions)
+        heavy = heavy_keys(per_user, "user_id", ["event_count", "transaction_count"])
     others = {
         "dim_users": lambda: gold.dim_users(users),
         "dim_country": lambda: gold.dim_country(events),
         "dim_status": lambda: gold.dim_status(transactions),
-        "fact_events": lambda: gold.fact_events(events, users, salts),
-        "fact_transactions": lambda: gold.fact_transactions(transactions, users, salts),
+        "fact_events": lambda: gold.fact_events(events, users, heavy),
+        "fact_transactions": lambda: gold.fact_transactions(transactions, users, heavy),
     }
     for table, build in others.items():
         if table in wanted:

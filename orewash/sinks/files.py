@@ -40,14 +40,20 @@ def write_metrics(metrics: DataFrame, base: str, spec: DatasetSpec) -> None:
     metrics.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{base}/{spec.name}")
 
 
-def write_gold(df: DataFrame, base: str, table: str, compact: bool = False) -> None:
+def write_gold(
+    df: DataFrame, base: str, table: str, compact: bool = False, partition_by: str | None = None
+) -> None:
     """Replace a gold table with its fixed schema.
 
     ``compact`` pays one more shuffle to even out file sizes; without it files follow the tasks of the last stage.
+    ``partition_by`` lays the table out by a column (and always pays that shuffle).
     """
     out = conform(df, gold_schema(table))
-    out = out.hint("rebalance") if compact else out
-    out.write.mode("overwrite").parquet(f"{base}/{table}")
+    if partition_by:
+        writer = out.hint("rebalance", partition_by).write.partitionBy(partition_by)
+    else:
+        writer = (out.hint("rebalance") if compact else out).write
+    writer.mode("overwrite").parquet(f"{base}/{table}")
 
 
 def read_gold(spark: SparkSession, base: str, table: str) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Input frames derived from the given tables, clean and dirty. ``suite.sql`` states the same in SQL."""
+"""Input frames derived from the given tables, clean and dirty. ``suite.sql`` states the same in SQL.
+
+Every row of the tables is used. Remainders of ids only decide which rows are given which defect, so that both engines
+give the same ones.
+"""
 
 from __future__ import annotations
 

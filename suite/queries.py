@@ -12,6 +12,7 @@ from orewash.operators import quality
 from orewash.operators.cleaning import clean, null_tokens, trim_all
 from orewash.operators.columns import conform, locked, voids_to_text, with_event_date, with_missing
 from orewash.operators.dedupe import dedupe, set_union, union_by_name
+from orewash.operators.joins import heavy_keys
 from orewash.operators.normalize import normalize
 from orewash.operators.quarantine import quarantine
 from orewash.operators.scd import latest_snapshot, merge_partial
@@ -87,9 +88,12 @@ def _(spark, sf_dir):
     return gold.fact_events(inputs.events(spark, sf_dir), inputs.users(spark, sf_dir))
 
 
-@register("fact_events_salted", sql.FACT_EVENTS)
+@register("fact_events_spread", sql.FACT_EVENTS)
 def _(spark, sf_dir):
-    return gold.fact_events(inputs.events(spark, sf_dir), inputs.users(spark, sf_dir), salts=8)
+    events = inputs.events(spark, sf_dir)
+    counts = events.groupBy("user_id").agg(F.count("*").alias("n"))
+    heavy = heavy_keys(counts, "user_id", ["n"], share=1 / 2000)
+    return gold.fact_events(events, inputs.users(spark, sf_dir), heavy)
 
 
 @register("fact_transactions", sql.FACT_TRANSACTIONS)

@@ -84,7 +84,7 @@ CTES = {
                end as updated_at,
                cast(null as varchar) as year, cast(null as varchar) as month, cast(null as varchar) as day,
                cast(null as varchar) as _corrupt_record
-        from customer join nation on c_nationkey = n_nationkey cross join (values (0), (1)) as versions(v)""",
+        from (select *, unnest([0, 1]) as v from customer join nation on c_nationkey = n_nationkey)""",
     "tx_versions": """
         select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, 0 as v from orders
         union all

@@ -23,7 +23,7 @@ from orewash.operators.columns import (
     without_junk,
 )
 from orewash.operators.dedupe import dedupe, latest_per_key, set_union, union_by_name
-from orewash.operators.joins import attach
+from orewash.operators.joins import attach, heavy_keys
 from orewash.operators.normalize import normalize
 from orewash.operators.quarantine import quarantine
 from orewash.operators.scd import latest_snapshot, merge_partial
@@ -224,7 +224,7 @@ def test_snapshot_and_partial_merge(spark):
 # --- joins ---
 
 
-def test_attach_is_the_same_with_and_without_salts(spark):
+def test_attach_is_the_same_with_heavy_keys(spark):
     facts = spark.range(300).select(
         F.when(F.col("id") % 10 == 0, None).when(F.col("id") < 200, "hot").otherwise(F.col("id").cast("string")).alias("k"),
         F.col("id").cast("string").alias("fact"),
@@ -232,7 +232,15 @@ def test_attach_is_the_same_with_and_without_salts(spark):
     dim = spark.createDataFrame([("hot", 1), ("201", 2), ("999", 3)], "k string, v int")
     plain = rows(attach(facts, dim, "k", "fact"), "fact", "k", "v")
     assert len(plain) == 300
-    assert rows(attach(facts, dim, "k", "fact", salts=7), "fact", "k", "v") == plain
+    for heavy in (["hot"], ["hot", None], [None], ["absent", "201"]):
+        assert rows(attach(facts, dim, "k", "fact", heavy), "fact", "k", "v") == plain
+
+
+def test_heavy_keys(spark):
+    counts = spark.createDataFrame([("a", 500, 1), ("b", 1, 1), (None, 300, 0), ("c", 2, 40)], "k string, n bigint, m bigint")
+    assert set(heavy_keys(counts, "k", ["n"], share=0.3)) == {"a", None}
+    assert set(heavy_keys(counts, "k", ["n", "m"], share=0.3)) == {"a", None, "c"}
+    assert heavy_keys(counts.limit(0), "k", ["n"]) == []
 
 
 # --- quality ---
@@ -278,7 +286,7 @@ def test_empty_steps_are_named():
         quality.require_rows({"load": 3, "dedupe": 0, "quarantine": 0}, "events")
 
 
-def test_skewed_fact_join_is_split_or_salted(spark, tmp_path):
+def test_skewed_fact_join_is_split_or_spread(spark, tmp_path):
     facts = spark.range(0, 200_000, 1, 8).select(
         F.when(F.col("id") % 5 < 2, "hot").otherwise(F.col("id").cast("string")).alias("k"),
         F.sha2(F.col("id").cast("string"), 256).alias("fact"),
@@ -295,13 +303,13 @@ def test_skewed_fact_join_is_split_or_salted(spark, tmp_path):
         spark.conf.set(key, value)
     try:
         seen = {}
-        for salts in (1, 16):
-            joined = attach(facts, dim, "k", "fact", salts)
+        for heavy in ((), ("hot",)):
+            joined = attach(facts, dim, "k", "fact", heavy)
             out = joined.agg(F.count("*"), F.count("v"), F.sum(F.xxhash64("k", "fact", "v").cast("decimal(38,0)")))
-            seen[salts] = (out.collect(), out._jdf.queryExecution().executedPlan().toString())
+            seen[heavy] = (out.collect(), out._jdf.queryExecution().executedPlan().toString())
     finally:
         for key in settings:
             spark.conf.unset(key)
-    assert seen[1][0] == seen[16][0]
-    assert "skew=true" in seen[1][1]  # unsalted: the hot partition is split at run time
-    assert "_salt" in seen[16][1].split("Exchange")[1]  # salted: the shuffle key includes the salt
+    assert seen[()][0] == seen[("hot",)][0]
+    assert "skew=true" in seen[()][1]  # plain: the hot partition is split at run time
+    assert "_salt" in seen[("hot",)][1].split("Exchange")[1]  # spread: the shuffle key includes the salt

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orewash import EVENTS, SPECS, TRANSACTIONS, USERS
 from orewash.operators.quality import EmptyStepError
-from orewash.plans.jobs import Layout, SilverCounts, gold_job, run_all, salts_for, silver_dataset, silver_job
+from orewash.plans.jobs import Layout, SilverCounts, gold_job, run_all, silver_dataset, silver_job
 from orewash.plans.silver import contested, refused, silver, staged
 from orewash.sinks.files import MissingOutputError, read_gold, require_outputs, write_gold, write_undated
 from orewash.sinks.warehouse import create_tables, load_table, require_loaded
@@ -130,10 +130,10 @@ def test_gold_invariants(spark, landing, done):
     assert gold["fact_transactions"].count() == done["transactions"].accepted
 
 
-def test_gold_again_with_salts_is_the_same(spark, landing, done):
+def test_gold_again_with_heavy_users_is_the_same(spark, landing, done):
     layout = Layout.under(landing)
     before = read_gold(spark, layout.gold, "fact_transactions").collect()
-    gold_job(spark, layout, tables=["fact_transactions"], salts=5)
+    gold_job(spark, layout, tables=["fact_transactions"], heavy=[None, "7", "8"])
     after = read_gold(spark, layout.gold, "fact_transactions").collect()
     assert sorted(before, key=str) == sorted(after, key=str)
 
@@ -214,13 +214,5 @@ def test_compact_gold(spark, tmp_path):
     df = spark.range(1000).repartition(40).select(F.col("id").cast("string").alias("country"))
     write_gold(df, str(tmp_path), "dim_country", compact=True)
     assert len(list((tmp_path / "dim_country").glob("part-*"))) < 40
-
-
-def test_salts_follow_the_hottest_user(spark):
-    def per_user(*counts):
-        return spark.createDataFrame([(n, 1) for n in counts], "event_count bigint, transaction_count bigint")
-
-    assert salts_for(per_user(*[1] * 1000)) == 1
-    assert salts_for(per_user(500, *[1] * 1000)) == 64
-    assert salts_for(per_user(20, *[1] * 980)) == 4
-    assert salts_for(per_user()) == 1
+    write_gold(df, str(tmp_path / "by"), "dim_status", partition_by="status")
+    assert len(list((tmp_path / "by" / "dim_status").glob("status=*"))) == 1
