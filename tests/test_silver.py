@@ -214,5 +214,7 @@ def test_compact_gold(spark, tmp_path):
     df = spark.range(1000).repartition(40).select(F.col("id").cast("string").alias("country"))
     write_gold(df, str(tmp_path), "dim_country", compact=True)
     assert len(list((tmp_path / "dim_country").glob("part-*"))) < 40
-    write_gold(df, str(tmp_path / "by"), "dim_status", partition_by="status")
-    assert len(list((tmp_path / "by" / "dim_status").glob("status=*"))) == 1
+    days = spark.sql("select date'2024-01-01' date, id transaction_count from range(3)")
+    write_gold(days, str(tmp_path), "daily_revenue", partition_by="date")
+    assert [p.name for p in (tmp_path / "daily_revenue").glob("date=*")] == ["date=2024-01-01"]
+    assert read_gold(spark, str(tmp_path), "daily_revenue").count() == 3
