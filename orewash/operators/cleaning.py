@@ -54,9 +54,10 @@ def clean(df: DataFrame, spec: DatasetSpec | None, tokens: Sequence[str] = NULL_
     if spec is None:
         return df
     target = {f.name: f.dataType for f in spec.schema.fields}
-    return df.select(
-        *(
-            f.name if f.name == CORRUPT else clean_value(F.col(f.name), f.dataType, target.get(f.name), tokens).alias(f.name)
-            for f in df.schema.fields
-        )
-    )
+
+    def column(field):
+        if field.name == CORRUPT:
+            return F.col(CORRUPT)
+        return clean_value(F.col(field.name), field.dataType, target.get(field.name), tokens).alias(field.name)
+
+    return df.select(*(column(f) for f in df.schema.fields))

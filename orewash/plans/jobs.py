@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from orewash.operators.columns import voids_to_text
 from orewash.operators.dedupe import union_by_name
 from orewash.operators.joins import heavy_keys
-from orewash.operators.quality import as_metrics, check_not_null, measures, require_rows
+from orewash.operators.quality import EmptyStepError, as_metrics, check_not_null, measures, require_rows
 from orewash.operators.split import REFUSED
 from orewash.plans import gold, silver
 from orewash.scratch import written
@@ -99,27 +99,29 @@ def silver_dataset(
 
     rows = union_by_name(*(silver.staged(frame, spec) for frame in frames))
     rows = written(rows, f"staged-{spec.name}", REFUSED)
-    staged = _by_refused(rows)
-    loaded, fit = sum(staged.values()), staged.get(0, 0)
-    require_rows({"load": loaded, "normalize": fit}, spec.name)
-
     winners = silver.contested(rows, spec)
-    if spec.snapshot:
-        judged = {0: fit}
-    else:
+    if not spec.snapshot:
         winners = written(winners, f"winners-{spec.name}", REFUSED)
-        judged = _by_refused(winners)
-    require_rows({"dedupe": sum(judged.values()), "quarantine": judged.get(0, 0)}, spec.name)
-
-    rejected = staged.get(1, 0) + judged.get(1, 0)
-    if rejected:
-        append_quarantine(silver.refused(rows, winners, spec), layout.quarantine, spec)
+    before, after = _by_refused(rows), _by_refused(winners)
+    loaded, fit, fine = sum(before.values()), before.get(0, 0), after.get(0, 0)
+    rejected = loaded - fit + after.get(1, 0)
+
+    def set_aside() -> None:
+        if rejected:
+            append_quarantine(silver.refused(rows, winners, spec), layout.quarantine, spec)
+
+    try:
+        require_rows({"load": loaded, "normalize": fit, "dedupe": sum(after.values()), "quarantine": fine}, spec.name)
+    except EmptyStepError:
+        set_aside()  # the rows that explain the failure
+        raise
     write_silver(silver.finished(winners, spec, partial), f"{layout.silver}/{spec.name}", spec, stringly)
 
     kept = read_silver(spark, f"{layout.silver}/{spec.name}", spec, stringly=stringly)
     measured = measures(kept.select(*silver.measured_columns(spec)), spec)
     extra = spark.range(1).select(F.lit("quarantined_rows").alias("metric"), F.lit(str(rejected)).alias("value"))
     write_metrics(as_metrics(measured).union(extra), layout.metrics, spec)
+    set_aside()  # last, because it adds: a run that fails earlier can be repeated
 
     accepted = kept.count()
     require_rows({"schema_lock": accepted}, spec.name)
@@ -165,8 +167,10 @@ def gold_job(
                 write_gold(build(days), layout.gold, table)
 
     if heavy is None and wanted & {"fact_events", "fact_transactions"}:
-        built = "user_ltv" in wanted
-        per_user = read_gold(spark, layout.gold, "user_ltv") if built else gold.user_ltv(events, transactions)
+        if "user_ltv" in wanted:
+            per_user = read_gold(spark, layout.gold, "user_ltv")
+        else:
+            per_user = written(gold.user_ltv(events, transactions), "user-ltv")
         heavy = heavy_keys(per_user, "user_id", ["event_count", "transaction_count"])
     others = {
         "dim_users": lambda: gold.dim_users(users),

@@ -29,7 +29,7 @@ _TYPES = {
 
 
 def struct_of(ddl: str) -> StructType:
-    """The struct for ``name type, name type…``; unlike Spark's own parser it needs no session. Unknown types are text."""
+    """The struct for ``name type, name type…``, where unknown types are text. Unlike Spark's parser it needs no session."""
     pairs = (part.split() for part in ddl.split(","))
     return StructType([StructField(name, _TYPES.get(kind, StringType())) for name, kind in pairs])
 

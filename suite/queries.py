@@ -20,9 +20,11 @@ from orewash.operators.split import Split
 from orewash.plans import gold
 from orewash.plans.silver import measured_columns, silver
 from orewash.scratch import fresh_path
+from orewash.sinks.files import append_quarantine, read_gold, require_outputs, write_gold, write_silver
 from orewash.sinks.warehouse import create_tables, load_table, require_loaded
 from orewash.sources.audit import landing_audit
 from orewash.sources.landing import read_landing
+from orewash.sources.silver import read_silver
 from orewash.specs import CORRUPT, EVENTS, SPECS, TRANSACTIONS, USERS, DatasetSpec, gold_schema
 from orewash.streaming.landing import landing_stream, stored_silver
 from suite import inputs, sql
@@ -382,7 +384,10 @@ def write_mixed_landing(raw: DataFrame, folder: str, spec: DatasetSpec) -> None:
     way(5).select(F.to_json(F.struct(*columns))).write.mode("append").text(folder)
 
 
-@register("landing_formats", f"select {sql.columns(EVENTS)} from raw_events".replace("price", "nullif(price, '') as price"))
+LANDED = f"select {sql.columns(EVENTS)} from raw_events".replace("price", "nullif(price, '') as price")
+
+
+@register("landing_formats", LANDED)
 def _(spark, sf_dir):
     folder = fresh_path(spark, "landing") + "/events"
     write_mixed_landing(inputs.raw_events(spark, sf_dir), folder, EVENTS)
@@ -400,6 +405,29 @@ def _(spark, sf_dir):
     )
 
 
+@register("silver_write_read", sql.silver_chain(USERS) + " select * from accepted")
+def _(spark, sf_dir):
+    path = fresh_path(spark, "silver") + "/users"
+    write_silver(silver(inputs.raw_users(spark, sf_dir), USERS).good, path, USERS)
+    return read_silver(spark, path, USERS)
+
+
+@register("quarantine_write_read", sql.silver_chain(TRANSACTIONS) + " select * from rejected")
+def _(spark, sf_dir):
+    base = fresh_path(spark, "quarantine")
+    append_quarantine(silver(inputs.raw_transactions(spark, sf_dir), TRANSACTIONS).rejected, base, TRANSACTIONS)
+    return spark.read.parquet(f"{base}/{TRANSACTIONS.name}")
+
+
+@register("gold_write_read", sql.FACT_TRANSACTIONS)
+def _(spark, sf_dir):
+    base = fresh_path(spark, "gold")
+    facts = gold.fact_transactions(inputs.transactions(spark, sf_dir), inputs.users(spark, sf_dir))
+    write_gold(facts, base, "fact_transactions", compact=True)
+    require_outputs(spark, [f"{base}/fact_transactions"])
+    return read_gold(spark, base, "fact_transactions")
+
+
 @register("warehouse_load", sql.REVENUE)
 def _(spark, sf_dir):
     database, table = "orewash_gold", "daily_revenue"

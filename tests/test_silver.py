@@ -104,7 +104,8 @@ def test_landing_to_warehouse(spark, landing, done):
         assert bad.count() == count.rejected == lazy.rejected.count() + 1
         assert [r[CORRUPT] for r in bad.where(f"reason like 'corrupt%'").collect()] == ["not json"]
 
-        metrics = {r["metric"]: r["value"] for r in spark.read.option("header", True).csv(f"{layout.metrics}/{name}").collect()}
+        stored = spark.read.option("header", True).csv(f"{layout.metrics}/{name}")
+        metrics = {r["metric"]: r["value"] for r in stored.collect()}
         assert metrics["total_rows"] == str(count.accepted) and metrics["quarantined_rows"] == str(count.rejected)
         assert metrics[f"dq_not_null_{spec.key}"] == "0" and ("dq_unique_user_id" in metrics) == (name == "users")
 
@@ -186,6 +187,11 @@ def test_empty_steps_stop_the_job(spark, tmp_path):
     (folder / "a.json").write_text('{"event_id":"1","user_id":"u","ts":"junk"}\n')
     with pytest.raises(EmptyStepError, match="'quarantine'"):
         silver_dataset(spark, Layout.under(str(tmp_path)), EVENTS)
+    kept = spark.read.parquet(f"{tmp_path}/quarantine/events")
+    assert ids(kept, "reason") == ["missing:ts", "missing:user_id"]  # both failed runs left their rows behind
+    (folder / "a.json").write_text("\n \n")
+    with pytest.raises(EmptyStepError, match="'load'"):
+        silver_dataset(spark, Layout.under(str(tmp_path)), EVENTS)
 
 
 def test_output_checks(spark, tmp_path):
