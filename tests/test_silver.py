@@ -93,7 +93,7 @@ def test_landing_to_warehouse(spark, landing, done):
         assert count.loaded == RAW[name](spark, SF).count() + 1
         assert count.loaded == count.accepted + count.rejected + count.duplicates
 
-        # Files carry no corrupt-line column, so the reference run goes without it and adds the one bad line.
+        # Files carry no corrupt-line column, so the run compared with goes without it; the one bad line is extra.
         raw = RAW[name](spark, SF)
         raw = raw.drop(CORRUPT) if CORRUPT in raw.columns else raw
         lazy = silver(raw, spec)
