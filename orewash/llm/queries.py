@@ -6,12 +6,26 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from orewash.llm.bpe import decode, encode
 from orewash.llm.common import table
 from orewash.llm.packing import pack_documents
 from orewash.llm.sharding import shard_by_bytes
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = encode(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
+    decimal = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return decode(encoded, BYTE_RANKS).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(decimal, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +37,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
     "op3_packing": op3_packing,
     "op4_sharding": op4_sharding,
 }
