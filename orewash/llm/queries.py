@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from orewash.llm.bpe import decode, encode
 from orewash.llm.common import table
+from orewash.llm.fingerprints import as_text, containment, distinct_shingles, fingerprint_documents
 from orewash.llm.packing import pack_documents
 from orewash.llm.sharding import shard_by_bytes
 
@@ -36,10 +37,19 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, edited = F.col("sketch"), F.col("edited_sketch")
+    return fingerprint_documents(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_chars", "edited_sha256", as_text(own).alias("fingerprint"), as_text(edited).alias("edited_fingerprint"),
+        "near_edited", "near_next", containment(own, edited).alias("kept_in_edited"), distinct_shingles(own).alias("n_shingles"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_packing": op3_packing,
     "op4_sharding": op4_sharding,
+    "op8_fingerprints": op8_fingerprints,
 }
 
 ORACLES: dict[str, str] = {}
