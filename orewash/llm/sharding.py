@@ -47,16 +47,13 @@ def sized(docs: DataFrame) -> DataFrame:
     )
 
 
-def summed(groups: DataFrame, bits: int, ranges: list[tuple[int, int]] | None = None) -> Atoms:
-    """Groups summed over key ranges of ``bits`` bits, within the given ranges of keys (all of them, if none given).
+def summed(groups: DataFrame, bits: int, within: tuple[int, list[int]] | None = None) -> Atoms:
+    """Groups summed over key ranges of ``bits`` bits, within the given ranges of more bits (in all, if none given).
 
     At most 2^FIRST_BITS rows come back at first, later 2^STEP_BITS for each range that is opened.
     """
-    if ranges is not None:
-        within = F.lit(False)
-        for low, high in ranges:
-            within = within | F.col("key").between(low, high - 1)
-        groups = groups.where(within)
+    if within is not None:
+        groups = groups.where(F.shiftright("key", within[0]).isin(within[1]))
     rows = (
         groups.groupBy(F.shiftright("key", bits).alias("at"))
         .agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("groups"))
@@ -121,13 +118,7 @@ def cut_keys(groups: DataFrame, shards: int) -> list[int]:
         widest = int(atoms.bits[open_].max())
         open_ &= atoms.bits == widest
         bits = max(0, widest - STEP_BITS)
-        ranges: list[tuple[int, int]] = []
-        for k in atoms.key[open_].tolist():
-            if ranges and ranges[-1][1] == k:
-                ranges[-1] = (ranges[-1][0], k + (1 << widest))
-            else:
-                ranges.append((k, k + (1 << widest)))
-        finer = summed(groups, bits, ranges)
+        finer = summed(groups, bits, (widest, (atoms.key[open_] >> widest).tolist()))
         joined = [np.concatenate([getattr(atoms, c)[~open_], getattr(finer, c)]) for c in ("key", "bits", "size", "groups")]
         order = np.argsort(joined[0], kind="stable")
         atoms = Atoms(*(c[order] for c in joined))
