@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from orewash.llm.common import text_of
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 24 << 20
 OUT_IDS = 1 << 20
 WORDS, TEXTS = 0, 1
 
@@ -42,7 +42,7 @@ def ranks_of(path: str) -> dict[bytes, int]:
 class PieceEncoder:
     """Ids of words: each match of the pattern merged by rank, each different match once."""
 
-    def __init__(self, path: str, pattern: str, remembered: int = 500_000):
+    def __init__(self, path: str, pattern: str, remembered: int = 200_000):
         # The library's own pattern takes a match whole, as it is the task here to find the matches.
         self.encoding = tiktoken.Encoding("pieces", pat_str=r"(?s:.+)", mergeable_ranks=ranks_of(path), special_tokens={})
         self.pattern = regex.compile(pattern)
@@ -113,11 +113,11 @@ def carefully(parts: list[str]) -> list[str]:
     return out
 
 
-def packed(*arrays: np.ndarray) -> bytes:
+def packed(*arrays: np.ndarray, level: int = 3) -> bytes:
     """Arrays as one compressed string, each by planes of its bytes."""
     raw = [np.array([len(a) for a in arrays], "<u4").tobytes()]
     raw += [a.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for a in arrays]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(raw))
+    return zstandard.ZstdCompressor(level=level).compress(b"".join(raw))
 
 
 def unpacked(data: bytes, n: int) -> list[np.ndarray]:
@@ -204,11 +204,11 @@ def block_rows(ids: list[pa.Array], texts: list[pa.StringScalar], buckets: int)
         raw = text.as_buffer()
         name.update(len(raw).to_bytes(8, "little"))
         name.update(memoryview(raw))
-        lists.append(np.array(numbers.of(str(raw, "utf-8")), np.int64))
+        lists.append(np.array(numbers.of(str(raw, "utf-8")), np.int32))
     found = np.concatenate(lists)
     count = np.bincount(found, minlength=len(numbers.names))
     order = np.argsort(-count, kind="stable")  # frequent words get small numbers
-    number = np.empty(len(order), np.int64)
+    number = np.empty(len(order), np.int32)
     number[order] = np.arange(len(order))
     held = pa.concat_arrays(ids)
     name.update(str(held.to_pylist()).encode())
@@ -221,7 +221,7 @@ def block_rows(ids: list[pa.Array], texts: list[pa.StringScalar], buckets: int)
         mine = [encoded[i] for i in part.tolist()]
         data = packed(np.diff(part, prepend=0), np.array([len(w) for w in mine]))
         rows.append((int(bucket[part[0]]), block, WORDS, data, zstandard.compress(b"".join(mine), 3)))
-    texts_data = packed(number[found], np.array([len(x) for x in lists]))
+    texts_data = packed(number[found], np.array([len(x) for x in lists]), level=9)
     rows.append((zlib.crc32(block.encode()) % buckets, block, TEXTS, texts_data, None))
     columns = [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), ROW, strict=True)]
     sizes = [0] * len(rows) + [len(held)]

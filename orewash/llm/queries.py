@@ -13,6 +13,7 @@ from orewash.llm.common import table
 from orewash.llm.fingerprints import as_text, containment, distinct_shingles, fingerprint_documents
 from orewash.llm.packing import pack_documents
 from orewash.llm.sharding import shard_by_bytes
+from orewash.llm.toxicity import held_out, toxicity
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -37,6 +38,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     own, edited = F.col("sketch"), F.col("edited_sketch")
     return fingerprint_documents(table(spark, sf_dir, "documents")).select(
@@ -49,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_packing": op3_packing,
     "op4_sharding": op4_sharding,
+    "op5_toxicity": op5_toxicity,
     "op8_fingerprints": op8_fingerprints,
 }
 

@@ -1,9 +1,9 @@
 """Toxicity by bags of subwords: vectors of character n-grams, averaged over a text, into a linear softmax.
 
 Vectors and softmax are trained jointly, in numpy, on a bounded sample of labelled documents. A word's vector is the mean
-of its n-grams' vectors, a text's the mean of its words' (a word that occurs n times counts as sqrt(n)), so a misspelt word that was never seen still shares most of
-its n-grams with the word it stands for. For scoring, each n-gram's vector is multiplied by the softmax's weights
-beforehand: what tasks get is one number for each n-gram bucket.
+of its n-grams' vectors, a text's the mean of its words' (one that occurs n times counts as sqrt(n)), so a misspelt word
+that was never seen still shares most of its n-grams with the word it stands for. For scoring, each n-gram's vector is
+multiplied by the softmax's weights beforehand: what tasks get is one number for each n-gram bucket.
 """
 
 from __future__ import annotations
