@@ -113,7 +113,7 @@ def carefully(parts: list[str]) -> list[str]:
     return out
 
 
-def packed(*arrays: np.ndarray, level: int = 3) -> bytes:
+def packed(*arrays: np.ndarray, level: int = 9) -> bytes:
     """Arrays as one compressed string, each by planes of its bytes."""
     raw = [np.array([len(a) for a in arrays], "<u4").tobytes()]
     raw += [a.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for a in arrays]
@@ -149,7 +149,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 2 * n
+    buckets = n
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,8 +220,8 @@ def block_rows(ids: list[pa.Array], texts: list[pa.StringScalar], buckets: int)
     for part in np.split(by_bucket, np.flatnonzero(np.diff(bucket[by_bucket])) + 1) if len(by_bucket) else []:
         mine = [encoded[i] for i in part.tolist()]
         data = packed(np.diff(part, prepend=0), np.array([len(w) for w in mine]))
-        rows.append((int(bucket[part[0]]), block, WORDS, data, zstandard.compress(b"".join(mine), 3)))
-    texts_data = packed(number[found], np.array([len(x) for x in lists]), level=9)
+        rows.append((int(bucket[part[0]]), block, WORDS, data, zstandard.compress(b"".join(mine), 9)))
+    texts_data = packed(number[found], np.array([len(x) for x in lists]))
     rows.append((zlib.crc32(block.encode()) % buckets, block, TEXTS, texts_data, None))
     columns = [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), ROW, strict=True)]
     sizes = [0] * len(rows) + [len(held)]
