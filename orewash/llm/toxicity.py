@@ -27,11 +27,14 @@ SAMPLE_CHARS = 20_000  # longer texts are scored, but not learnt from
 BUCKETS = 1 << 17
 DIMENSIONS = 4
 EPOCHS = 10
+LEAST_STEPS = 300  # few texts are gone through more often
 LEAST_TEXTS = 5  # n-grams of fewer sampled texts keep a vector of zero
 PADDING = 30  # words of zero that every text is averaged with, lest one chance word decide over a short text
 BATCH = 128
-RATE = 0.05
-GRAMS = (4, 5)
+RATE = 0.002
+MOMENTUM = 0.8
+RIDGE = 0.003  # an n-gram in this share of the sampled texts is halved by the ridge, a rarer one shrinks more
+GRAMS = (4, 5, 7)
 MARKS = ".,;:!?\"'()[]{}<>*#%&$-_~|/\\"
 FOLDS = 5
 REMEMBERED = 500_000
@@ -64,13 +67,15 @@ def train(texts: list[str], toxic: list[int], prior: float) -> Model:
     gram = np.fromiter((g for gs in of_word for g in gs), np.int32, int(size.sum()))
     first = np.cumsum(size) - size
     owner_of = np.repeat(np.arange(len(size)), size)
-    texts_with = np.zeros(BUCKETS, np.int64)
+    texts_with, square = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS)
     for d in documents:
-        words_of = np.fromiter(d, np.int64, len(d))
+        words_of, count = np.fromiter(d, np.int64, len(d)), np.sqrt(np.fromiter(d.values(), np.float64, len(d)))
         sizes = size[words_of]
         ends = np.cumsum(sizes)
         found = gram[np.repeat(first[words_of] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
-        texts_with[np.unique(found)] += 1
+        found, which = np.unique(found, return_inverse=True)
+        texts_with[found] += 1
+        square[found] += np.bincount(which, np.repeat(count / (count.sum() + PADDING) / sizes, sizes), len(found)) ** 2
     # Only n-grams with a vector of their own go on; a word is still averaged over all that it has.
     held = texts_with[gram] >= LEAST_TEXTS
     gram, owner_of = gram[held], owner_of[held]
@@ -82,11 +87,15 @@ def train(texts: list[str], toxic: list[int], prior: float) -> Model:
     vectors[texts_with < LEAST_TEXTS] = 0
     softmax = random.normal(0, 1.0, (DIMENSIONS, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
-    state = [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, softmax, bias)]
+    # Steps are scaled by each n-gram's curvature and by the ridge, which is set at the curvature of a typical n-gram.
+    seen = texts_with >= LEAST_TEXTS
+    square /= len(documents)
+    ridge = RIDGE * float(np.median(square[seen] * len(documents) / texts_with[seen])) if seen.any() else 1.0
+    scale = (1 / (square + ridge))[:, None].astype(np.float32)
+    moved = np.zeros_like(vectors)
     share = label.mean()
     weight = np.where(label == 1, 0.3 / share, 0.7 / (1 - share)).astype(np.float32)
-    step = 0
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, LEAST_STEPS * BATCH // len(documents))):
         order = random.permutation(len(documents))
         for at in range(0, len(order), BATCH):
             rows = order[at : at + BATCH]
@@ -113,11 +122,10 @@ def train(texts: list[str], toxic: list[int], prior: float) -> Model:
             to_bags = error @ softmax.T
             to_words = np.stack([np.bincount(word, part * to_bags[doc, d], len(used)) for d in range(DIMENSIONS)], 1) / of_all[used][:, None]
             to_vectors = np.stack([np.bincount(mine, to_words[owner, d], BUCKETS) for d in range(DIMENSIONS)], 1)
-            step += 1
-            for p, slope, (mean, square) in zip((vectors, softmax, bias), (to_vectors, bags.T @ error, error.sum(0)), state, strict=True):
-                mean += 0.1 * (slope - mean)
-                square += 0.001 * (slope * slope - square)
-                p -= (RATE / (1 - 0.9**step)) * mean / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+            moved = MOMENTUM * moved - RATE * scale * (to_vectors + ridge * vectors)
+            vectors += moved
+            softmax -= RATE * (bags.T @ error)
+            bias -= RATE * error.sum(0)
     return Model((vectors @ (softmax[:, 1] - softmax[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
