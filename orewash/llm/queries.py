@@ -14,6 +14,7 @@ from orewash.llm.fingerprints import as_text, containment, distinct_shingles, fi
 from orewash.llm.neighbours import nearest
 from orewash.llm.packing import pack_documents
 from orewash.llm.sharding import shard_by_bytes
+from orewash.llm.substrings import without_repeats
 from orewash.llm.toxicity import held_out, toxicity
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -32,6 +33,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
@@ -61,6 +67,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_substrings": op2_substrings,
     "op3_packing": op3_packing,
     "op4_sharding": op4_sharding,
     "op5_toxicity": op5_toxicity,
