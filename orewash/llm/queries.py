@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from orewash.llm.bpe import decode, encode
 from orewash.llm.common import table
 from orewash.llm.fingerprints import as_text, containment, distinct_shingles, fingerprint_documents
+from orewash.llm.lines import without_repeated_lines
 from orewash.llm.neighbours import nearest
 from orewash.llm.packing import pack_documents
 from orewash.llm.sharding import shard_by_bytes
@@ -52,6 +53,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = without_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    return left.select("doc_id", "n_lines", "n_removed", "longest_run", kept)
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     own, edited = F.col("sketch"), F.col("edited_sketch")
     return fingerprint_documents(table(spark, sf_dir, "documents")).select(
@@ -71,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_sharding": op4_sharding,
     "op5_toxicity": op5_toxicity,
+    "op7_lines": op7_lines,
     "op8_fingerprints": op8_fingerprints,
     "op10_neighbours": op10_neighbours,
 }
