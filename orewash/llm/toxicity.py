@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from orewash.llm.common import text_of
 
-SAMPLE = 3_000  # labelled documents of each class, at most
+SAMPLE = 4_000  # labelled documents of each class, at most
 SAMPLE_CHARS = 20_000  # longer texts are scored, but not learnt from
 BUCKETS = 1 << 17
 DIMENSIONS = 4
@@ -57,19 +58,26 @@ class Model:
 
 
 def train(texts: list[str], toxic: list[int], prior: float) -> Model:
-    """Vectors and softmax fitted to the texts. ``prior``: the share of toxic texts to assume where a text says nothing."""
+    """Vectors and softmax fitted to the texts, a sample that is held whole. Of one class only, ``prior`` is every text's score."""
     if len(set(toxic)) < 2:
         return Model(np.zeros(BUCKETS, np.float32), logit(prior))
     number: dict[str, int] = {}
-    documents = [Counter(number.setdefault(w, len(number)) for w in t.split()) for t in texts]
-    of_word = [grams(w) for w in number]
-    size = np.array([len(g) for g in of_word])
-    gram = np.fromiter((g for gs in of_word for g in gs), np.int32, int(size.sum()))
+    gram, size, documents = array("i"), array("i"), []
+    for text in texts:
+        words = Counter(text.split())
+        for w in words:
+            if number.setdefault(w, len(number)) == len(size):
+                found = grams(w)
+                gram.extend(found)
+                size.append(len(found))
+        ids = np.fromiter((number[w] for w in words), np.int32, len(words))
+        documents.append((ids, np.sqrt(np.fromiter(words.values(), np.float32, len(words)))))
+    number.clear()
+    gram, size = np.array(gram, np.int32), np.array(size, np.int64)
     first = np.cumsum(size) - size
     owner_of = np.repeat(np.arange(len(size)), size)
     texts_with, square = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS)
-    for d in documents:
-        words_of, count = np.fromiter(d, np.int64, len(d)), np.sqrt(np.fromiter(d.values(), np.float64, len(d)))
+    for words_of, count in documents:
         sizes = size[words_of]
         ends = np.cumsum(sizes)
         found = gram[np.repeat(first[words_of] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
@@ -94,15 +102,15 @@ def train(texts: list[str], toxic: list[int], prior: float) -> Model:
     scale = (1 / (square + ridge))[:, None].astype(np.float32)
     moved = np.zeros_like(vectors)
     share = label.mean()
-    weight = np.where(label == 1, 0.3 / share, 0.7 / (1 - share)).astype(np.float32)
+    weight = np.where(label == 1, 0.25 / share, 0.75 / (1 - share)).astype(np.float32)
     for _ in range(max(EPOCHS, LEAST_STEPS * BATCH // len(documents))):
         order = random.permutation(len(documents))
         for at in range(0, len(order), BATCH):
             rows = order[at : at + BATCH]
-            lengths = np.array([len(documents[r]) for r in rows])
-            used, word = np.unique(np.fromiter((w for r in rows for w in documents[r]), np.int64, int(lengths.sum())), return_inverse=True)
+            lengths = np.array([len(documents[r][0]) for r in rows])
+            used, word = np.unique(np.concatenate([documents[r][0] for r in rows]), return_inverse=True)
             doc = np.repeat(np.arange(len(rows)), lengths)
-            count = np.sqrt(np.fromiter((c for r in rows for c in documents[r].values()), np.float32, len(doc)))
+            count = np.concatenate([documents[r][1] for r in rows])
             total = np.bincount(doc, count, len(rows))
             part = (count / (total[doc] + PADDING)).astype(np.float32)
             sizes = size[used]
