@@ -12,6 +12,7 @@ from orewash.llm.bpe import decode, encode
 from orewash.llm.common import table
 from orewash.llm.fingerprints import as_text, containment, distinct_shingles, fingerprint_documents
 from orewash.llm.lines import without_repeated_lines
+from orewash.llm.nearcopies import near_classes
 from orewash.llm.neighbours import nearest
 from orewash.llm.packing import pack_documents
 from orewash.llm.sharding import shard_by_bytes
@@ -53,6 +54,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op6_nearcopies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_classes(table(spark, sf_dir, "documents"))
+    return found.select(F.col("doc").alias("doc_id"), F.col("class").alias("class_id"), F.col("copies").alias("class_size"))
+
+
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = without_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kept = F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_sharding": op4_sharding,
     "op5_toxicity": op5_toxicity,
+    "op6_nearcopies": op6_nearcopies,
     "op7_lines": op7_lines,
     "op8_fingerprints": op8_fingerprints,
     "op10_neighbours": op10_neighbours,
