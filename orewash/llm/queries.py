@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from orewash.llm.bpe import decode, encode
 from orewash.llm.common import table
+from orewash.llm.conversations import reply_ordered
 from orewash.llm.fingerprints import as_text, containment, distinct_shingles, fingerprint_documents
 from orewash.llm.lines import without_repeated_lines
 from orewash.llm.nearcopies import near_classes
@@ -73,6 +74,11 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ordered = reply_ordered(table(spark, sf_dir, "conversations"))
+    return ordered.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256)).drop("text")
+
+
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10, factor=NEIGHBOUR_FACTOR)
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_nearcopies": op6_nearcopies,
     "op7_lines": op7_lines,
     "op8_fingerprints": op8_fingerprints,
+    "op9_conversations": op9_conversations,
     "op10_neighbours": op10_neighbours,
 }
 
