@@ -69,11 +69,13 @@ def integer_of(col: Column, dtype: DataType) -> Column:
 def timestamp_of(col: Column, dtype: DataType, formats: Sequence[str] = TIMESTAMP_FORMATS) -> Column:
     """A point in time: Spark's own reading first, then each of ``formats``.
 
-    A failed attempt at a format is costly, so texts without a digit are not put through them.
+    A failed attempt at a format is costly, so texts without a digit are not put through them. A time of day without a
+    date is no point in time (Spark would take today's date).
     """
     if isinstance(dtype, _TEMPORAL):
         return col.cast("timestamp")
     text = text_of(col, dtype)
+    text = F.when(~text.rlike(r"^\s*T?[0-9]{1,2}:"), text)
     attempts = F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in formats))
     return F.coalesce(text.try_cast("timestamp"), F.when(text.rlike("[0-9]"), attempts))
 

@@ -25,13 +25,10 @@ def heavy_keys(counts: DataFrame, key: str, columns: Sequence[str], share: float
 def attach(facts: DataFrame, dimension: DataFrame, key: str, spread_by: str, heavy: Sequence = ()) -> DataFrame:
     """``facts`` left-joined to ``dimension`` on ``key``; facts without a match keep nulls.
 
-    Without ``heavy`` keys this is a plain join: Spark broadcasts the dimension only if its size is under the
-    session's threshold, otherwise it shuffles both sides and splits skewed partitions at run time. Facts with a heavy
-    key, or with none, are spread over many shuffle partitions by a hash of ``spread_by``, and only the dimension rows
-    of heavy keys are repeated. The result is the same.
+    Spark broadcasts the dimension only if its size is under the session's threshold, otherwise it shuffles both sides
+    and splits skewed partitions at run time. Facts without a key never match and are spread over many shuffle
+    partitions by a hash of ``spread_by``; so are those with a ``heavy`` key, whose dimension rows alone are repeated.
     """
-    if not heavy:
-        return facts.join(dimension, key, "left")
     known = [k for k in heavy if k is not None]
     is_heavy: Column = F.col(key).isin(known) if known else F.lit(False)
     spread = F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")

@@ -58,6 +58,10 @@ class SilverCounts:
     accepted: int
 
 
+class UnbalancedError(RuntimeError):
+    """The rows that a run read are not those that it kept, replaced and rejected."""
+
+
 def _by_refused(df: DataFrame) -> dict[int, int]:
     return {r[REFUSED]: r["count"] for r in df.groupBy(REFUSED).count().collect()}
 
@@ -89,12 +93,12 @@ def silver_dataset(
 
     Text is parsed once and kept as a columnar table in the shared folder, partitioned by fate; so is the outcome
     of the contest for keys. Silver, quarantine and the counts are read from those, and the metrics from silver as
-    written: exact also when executors were lost on the way. ``skip_damaged`` passes over files that cannot be read
-    instead of failing on them.
+    written: exact also when executors were lost on the way. ``skip_damaged`` turns away, whole, files that
+    cannot be read to their end instead of failing on them.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     admitted = admitted_files(spark, layout, spec, probe=skip_damaged)
-    frames = landing_frames(spark, admitted, spec, one_header, skip_damaged)
+    frames = landing_frames(spark, admitted, spec, one_header)  # what is damaged was turned away whole
     require_rows({"load": len(frames)}, spec.name)
 
     rows = union_by_name(*(silver.staged(frame, spec) for frame in frames))
@@ -105,6 +109,7 @@ def silver_dataset(
     before, after = _by_refused(rows), _by_refused(winners)
     loaded, fit, fine = sum(before.values()), before.get(0, 0), after.get(0, 0)
     rejected = loaded - fit + after.get(1, 0)
+    contestants = sum(after.values())
 
     def set_aside() -> None:
         if rejected:
@@ -125,7 +130,11 @@ def silver_dataset(
 
     accepted = kept.count()
     require_rows({"schema_lock": accepted}, spec.name)
-    return SilverCounts(loaded, rejected, loaded - rejected - accepted, accepted)
+    # Users are merged after the contest, all others are decided by it.
+    duplicates = fit - contestants + (fine - accepted if spec.snapshot else 0)
+    if loaded != rejected + duplicates + accepted:
+        raise UnbalancedError(f"{spec.name}: read {loaded}, rejected {rejected}, replaced {duplicates}, kept {accepted}")
+    return SilverCounts(loaded, rejected, duplicates, accepted)
 
 
 def silver_job(spark: SparkSession, layout: Layout, **options) -> dict[str, SilverCounts]:

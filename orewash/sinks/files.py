@@ -22,7 +22,8 @@ def write_silver(df: DataFrame, path: str, spec: DatasetSpec, stringly: bool = F
     several tasks at run time.
     """
     out = locked(df, spec, stringly).hint("rebalance", "event_date")
-    out.write.mode("overwrite").option("compression", "snappy").partitionBy("event_date").parquet(path)
+    writer = out.write.mode("overwrite").option("partitionOverwriteMode", "static")  # dates no longer there go as well
+    writer.option("compression", "snappy").partitionBy("event_date").parquet(path)
 
 
 def write_undated(df: DataFrame, path: str) -> None:
@@ -53,7 +54,7 @@ def write_gold(
         writer = out.hint("rebalance", partition_by).write.partitionBy(partition_by)
     else:
         writer = (out.hint("rebalance") if compact else out).write
-    writer.mode("overwrite").parquet(f"{base}/{table}")
+    writer.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{base}/{table}")
 
 
 def read_gold(spark: SparkSession, base: str, table: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orewash.operators.split import Split
-from orewash.sources.landing import listing
+from orewash.sources.landing import CUT_OFF, damaged_files, listing
 
 # File names that mark bookkeeping files, and the accepted endings.
 BOOKKEEPING = ("_success", ".crc")
@@ -65,8 +65,7 @@ def landing_audit(spark: SparkSession, folder: str, dataset: str, probe: bool =
     """A manifest of the files in ``folder``: ``(path, dataset, format, length, verdict, reason)``.
 
     Files that Spark treats as hidden (names starting with ``_`` or ``.``) are never read and not listed. ``probe``
-    also opens every valid file and marks those from which nothing can be read. Text is probed by scanning its
-    opening block, Parquet by its footer; both as Spark jobs that skip what is damaged.
+    also reads gzip and Parquet files to their end and marks those that are cut off (``damaged``) or not sound at all.
     """
     files = listing(spark, folder)
     if files is None:
@@ -78,22 +77,13 @@ def landing_audit(spark: SparkSession, folder: str, dataset: str, probe: bool =
 
 
 def _probed(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
-    lenient = spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
-    parquet = lenient.schema("_none string").option("pathGlobFilter", "*.parquet").parquet(folder)
-    text = lenient.option("pathGlobFilter", "*.{csv,json,ndjson,txt,gz}").text(folder)
-    opened = (
-        text.where("_metadata.file_block_start = 0").select("_metadata.file_path")
-        .union(parquet.select("_metadata.file_path"))
-        .distinct()
-        .select(F.try_url_decode("file_path").alias("opened"))
-    )
-    same = F.col("path") == _canonical_uri(F.col("opened"))
-    unread = (F.col("verdict") == "valid") & F.col("opened").isNull()
+    damaged = damaged_files(spark, folder).select(_canonical_uri(F.col("path")).alias("path"), "damage")
+    found = (F.col("verdict") == "valid") & F.col("damage").isNotNull()
     return (
-        manifest.join(opened, same, "left")
-        .withColumn("reason", F.when(unread, "nothing readable").otherwise(F.col("reason")))
-        .withColumn("verdict", F.when(unread, "unreadable").otherwise(F.col("verdict")))
-        .drop("opened")
+        manifest.join(damaged, "path", "left")
+        .withColumn("reason", F.when(found, F.col("damage")).otherwise(F.col("reason")))
+        .withColumn("verdict", F.when(found & (F.col("damage") == CUT_OFF), "damaged").when(found, "unreadable").otherwise(F.col("verdict")))
+        .drop("damage")
     )
 
 

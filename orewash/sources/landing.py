@@ -7,11 +7,14 @@ types. The folder is listed once; each format present is read with one reader.
 from __future__ import annotations
 
 import csv
-from collections.abc import Iterable, Sequence
+import zlib
+from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
 from typing import NamedTuple
 from urllib.parse import unquote
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
@@ -23,20 +26,74 @@ from orewash.operators.dedupe import union_by_name
 from orewash.specs import CORRUPT, DatasetSpec
 
 # Which file names hold which format.
-PARQUET_GLOB = "*.parquet"
-JSON_GLOB = "*.{json,ndjson,json.gz,ndjson.gz,json.txt,ndjson.txt}"
-CSV_GLOB = "*.csv"
+PARQUET_ENDINGS = (".parquet",)
 JSON_ENDINGS = (".json", ".ndjson", ".json.gz", ".ndjson.gz", ".json.txt", ".ndjson.txt")
+CSV_ENDINGS = (".csv",)
 LOOSE_ENDINGS = (".gz", ".txt")
 
+
+def _glob(endings: Iterable[str]) -> str:
+    """The names with one of the endings, in whatever case: ``*{.[cC][sS][vV]}``."""
+    return "*{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in endings) + "}"
+
+
+PARQUET_GLOB, JSON_GLOB, CSV_GLOB = map(_glob, (PARQUET_ENDINGS, JSON_ENDINGS, CSV_ENDINGS))
+
 _MISSING_PATH = ("PATH_NOT_FOUND", "PATH_NOT_EXISTS")
 
 
-def _reader(spark: SparkSession, glob: str | None, skip_damaged: bool) -> DataFrameReader:
-    reader = spark.read
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True) if skip_damaged else reader
+def _reader(spark: SparkSession, glob: str | None = None) -> DataFrameReader:
+    return spark.read.option("pathGlobFilter", glob) if glob else spark.read
+
+
+def damaged_files(spark: SparkSession, folder: str | Sequence[str]) -> DataFrame:
+    """The gzip and Parquet files that cannot be read to their end: ``(path, damage)``.
+
+    Each file is read whole, in one task, so nothing of a file that is cut off passes for all of it. Plain text has no
+    end of its own and cannot be told to be cut off.
+    """
+    files = spark.read.format("binaryFile").load(folder if isinstance(folder, str) else list(folder))
+    packed = files.where(F.lower("path").rlike(r"\.(gz|parquet)$") & (F.col("length") > 0)).select("path", "content")
+
+    def read_to_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = batch.column("path").to_pylist()
+            faults = [_damage(p, c.as_buffer()) for p, c in zip(paths, batch.column("content"), strict=True)]
+            found = [(p, f) for p, f in zip(paths, faults, strict=True) if f]
+            yield pa.RecordBatch.from_pydict({"path": [p for p, _ in found], "damage": [f for _, f in found]}, _DAMAGE)
+
+    return packed.mapInArrow(read_to_end, "path string, damage string")
+
+
+_DAMAGE = pa.schema([("path", pa.string()), ("damage", pa.string())])
+_STEP = 1 << 20
+CUT_OFF = "gzip cut off"
+
+
+def _damage(path: str, content: pa.Buffer) -> str | None:
+    """What keeps a file from being read to its end, if anything does."""
+    if path.lower().endswith(".parquet"):
+        try:
+            for _ in pq.ParquetFile(pa.BufferReader(content)).iter_batches():
+                pass
+        except (pa.ArrowException, OSError) as error:
+            return f"unreadable Parquet: {str(error).splitlines()[0][:80]}"
+        return None
+    at, size, view = 0, content.size, memoryview(content)
+    try:
+        while at < size:  # one member of the file after another
+            member, start = zlib.decompressobj(31), at
+            while not member.eof and at < size:
+                member.decompress(view[at : at + _STEP])
+                at += len(view[at : at + _STEP])
+            at -= len(member.unused_data)
+            if not member.eof:
+                return CUT_OFF
+            if at == start:
+                break
+    except zlib.error:
+        return "not sound gzip"
+    return None
 
 
 def listing(spark: SparkSession, folder: str | Sequence[str]) -> DataFrame | None:
@@ -58,20 +115,20 @@ def file_kind(path: Column) -> Column:
         return reduce(lambda a, b: a | b, (F.endswith(name, F.lit(e)) for e in endings))
 
     return (
-        F.when(ends([".parquet"]), "parquet")
+        F.when(ends(PARQUET_ENDINGS), "parquet")
         .when(ends(JSON_ENDINGS), "json")
-        .when(ends([".csv"]), "csv")
+        .when(ends(CSV_ENDINGS), "csv")
         .when(ends(LOOSE_ENDINGS), "loose")
     )
 
 
-def first_lines(spark: SparkSession, paths: Sequence[str], skip_damaged: bool = False) -> DataFrame:
+def first_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """The first non-blank line of every file, ``(path, line)``.
 
     Only the opening block of each file is kept, and each task reduces it to one line per file before the shuffle.
     Collecting the block starts makes Spark aggregate in a hash table; text alone it would sort first.
     """
-    lines = _reader(spark, None, skip_damaged).text(list(paths)).select(
+    lines = _reader(spark).text(list(paths)).select(
         "value", "_metadata.file_path", "_metadata.file_block_start"
     )
     opening = lines.where((F.col("file_block_start") == 0) & (F.trim("value") != ""))
@@ -93,10 +150,10 @@ def _text_schema(names: Iterable[str]) -> StructType:
     return StructType([StructField(n, StringType()) for n in names])
 
 
-def read_parquet(spark: SparkSession, paths: str | Sequence[str], skip_damaged: bool = False) -> DataFrame:
+def read_parquet(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Parquet files with their own types; columns that only some files have are kept."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    reader = _reader(spark, PARQUET_GLOB, skip_damaged).option("mergeSchema", True)
+    reader = _reader(spark, PARQUET_GLOB).option("mergeSchema", True)
     return plain_names(reader.parquet(*paths))
 
 
@@ -105,12 +162,11 @@ def read_json_lines(
     paths: str | Sequence[str],
     spec: DatasetSpec,
     glob: str | None = JSON_GLOB,
-    skip_damaged: bool = False,
 ) -> DataFrame:
     """JSON lines as text columns; nested values stay JSON text, lines that do not parse go to the corrupt column."""
     spellings = {c: _spellings(c) for c in spec.columns}
     schema = _text_schema([*(s for names in spellings.values() for s in names), CORRUPT])
-    reader = _reader(spark, glob, skip_damaged).schema(schema)
+    reader = _reader(spark, glob).schema(schema)
     reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
     df = reader.json(paths if isinstance(paths, str) else list(paths))
     return df.select(*(F.coalesce(*map(quoted, names)).alias(c) for c, names in spellings.items()), CORRUPT)
@@ -122,34 +178,47 @@ def read_delimited(
     columns: Sequence[str],
     header: bool,
     glob: str | None = None,
-    skip_damaged: bool = False,
 ) -> DataFrame:
-    """Comma-separated files that all have ``columns`` in this order, as text. Short lines are filled with null."""
+    """Comma-separated files that all have ``columns`` in this order, as text.
+
+    Short lines are filled with null. Lines with a value beyond the last column are kept whole in the corrupt column.
+    """
     unique = [c if c not in columns[:i] else f"{c}__{i}" for i, c in enumerate(columns)]
-    reader = _reader(spark, glob, skip_damaged).schema(_text_schema(unique))
+    reader = _reader(spark, glob).schema(_text_schema([*unique, CORRUPT]))
     reader = reader.option("header", header).option("enforceSchema", True)
-    return plain_names(reader.csv(paths if isinstance(paths, str) else list(paths)))
+    reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+    reader = reader.option("columnPruning", False)  # a line's length shows only if all of it is parsed
+    rows = reader.csv(paths if isinstance(paths, str) else list(paths))
+    # The parser sets aside lines of any other length; only those are looked at again, for a value too many.
+    wider = ", ".join(f"c{i} string" for i in range(len(unique) + 1))
+    surplus = F.from_csv(F.col(CORRUPT), F.lit(wider))[f"c{len(unique)}"]
+    corrupt = F.when(F.col(CORRUPT).isNotNull() & surplus.isNotNull(), F.col(CORRUPT))
+    return plain_names(rows.withColumn(CORRUPT, corrupt))
 
 
 def _fields(line: str) -> list[str]:
     return next(csv.reader([line.lstrip("\ufeff")]), [])
 
 
-def _known(fields: Iterable[str], spec: DatasetSpec) -> bool:
-    return any(plain_name(f) in spec.columns for f in fields)
+def _is_header(fields: Iterable[str], spec: DatasetSpec) -> bool:
+    """Whether a line names columns: the dataset's key is among them, or each is a different canonical or drift name."""
+    names = [plain_name(f) for f in fields if f.strip()]
+    if spec.key in names:
+        return True
+    canonical = [n in spec.columns for n in names]
+    drift = [n.startswith("extra_") for n in names]
+    return len(names) > 1 and any(canonical) and all(map(max, canonical, drift)) and len(set(names)) == len(names)
 
 
-def _text_groups(
-    spark: SparkSession, paths: Sequence[str], spec: DatasetSpec, skip_damaged: bool
-) -> dict[tuple, list[str]]:
+def _text_groups(spark: SparkSession, paths: Sequence[str], spec: DatasetSpec) -> dict[tuple, list[str]]:
     """File paths by layout: ``("json",)``, ``("header", names…)`` or ``("bare",)`` for text without a header."""
     groups: dict[tuple, list[str]] = {}
-    for row in first_lines(spark, paths, skip_damaged).collect():  # one short row per file, like Spark's own file index
+    for row in first_lines(spark, paths).collect():  # one short row per file, like Spark's own file index
         path, line = unquote(row["path"]), row["line"]
         fields = _fields(line)
         if line.lstrip().startswith("{"):
             layout: tuple = ("json",)
-        elif _known(fields, spec) or path.lower().endswith(".csv"):
+        elif _is_header(fields, spec) or path.lower().endswith(".csv"):
             layout = ("header", *fields)
         else:
             layout = ("bare",)
@@ -175,14 +244,20 @@ def landing_sources(
     """One source per format and layout found in ``folder`` (a folder, or a list of files).
 
     Delimited files may differ in their header, so by default the first line of each is looked at first: a line
-    that starts an object makes the file JSON lines, one that names a canonical column is a header, and anything
-    else is data in canonical column order. (``.csv`` files always have a header.) ``one_header`` promises that all
-    ``.csv`` files share one header and saves that look for them. ``skip_damaged`` passes over files that cannot be
-    read to the end instead of failing; the landing audit lists them.
+    that starts an object makes the file JSON lines, one that names the key (or nothing but columns) is a header, and
+    anything else is data in canonical column order. (``.csv`` files always have a header.) ``one_header`` promises that
+    all ``.csv`` files share one header and saves that look for them. ``skip_damaged`` leaves out files that cannot be
+    read to their end, each of them whole, instead of failing; the landing audit lists them.
     """
     files = listing(spark, folder)
     if files is None:
         return []
+    if skip_damaged:
+        sound = files.select("path").join(damaged_files(spark, folder), "path", "left_anti")
+        folder = [r["path"] for r in sound.collect()]  # names, as in Spark's own file index
+        if not folder:
+            return []
+        files = listing(spark, folder)
     kinds = files.select(file_kind(F.col("path")).alias("kind"), "path").where(F.col("kind").isNotNull())
     whole = isinstance(folder, str)
     to_sniff = ["loose"] if one_header and whole else ["csv", "loose"]
@@ -195,28 +270,28 @@ def landing_sources(
     present = set(paths)
 
     def json_source(where: str | Sequence[str], glob: str | None) -> Source:
-        lines = _reader(spark, glob, skip_damaged).text(where if isinstance(where, str) else list(where))
-        return Source("json", read_json_lines(spark, where, spec, glob, skip_damaged), lines)
+        lines = _reader(spark, glob).text(where if isinstance(where, str) else list(where))
+        return Source("json", read_json_lines(spark, where, spec, glob), lines)
 
     sources = []
     if "parquet" in present:
-        sources.append(Source("parquet", read_parquet(spark, folder if whole else paths["parquet"], skip_damaged)))
+        sources.append(Source("parquet", read_parquet(spark, folder if whole else paths["parquet"])))
     if "json" in present:
         sources.append(json_source(folder if whole else paths["json"], JSON_GLOB))
     if "csv" in present and "csv" not in to_sniff:
-        names = _reader(spark, CSV_GLOB, skip_damaged).option("header", True).csv(folder).columns
-        rows = read_delimited(spark, folder, names, True, CSV_GLOB, skip_damaged)
+        names = _reader(spark, CSV_GLOB).option("header", True).csv(folder).columns
+        rows = read_delimited(spark, folder, names, True, CSV_GLOB)
         sources.append(Source("delimited", rows))
     sniffed = [p for k in to_sniff for p in paths.get(k, [])]
     if sniffed:
-        for layout, members in sorted(_text_groups(spark, sniffed, spec, skip_damaged).items()):
+        for layout, members in sorted(_text_groups(spark, sniffed, spec).items()):
             if layout[0] == "json":
                 sources.append(json_source(members, None))
             elif layout[0] == "header":
-                rows = read_delimited(spark, members, layout[1:], True, None, skip_damaged)
+                rows = read_delimited(spark, members, layout[1:], True, None)
                 sources.append(Source("delimited", rows))
             else:
-                rows = read_delimited(spark, members, spec.columns, False, None, skip_damaged)
+                rows = read_delimited(spark, members, spec.columns, False, None)
                 sources.append(Source("bare", rows))
     return sources
 
@@ -263,7 +338,7 @@ def drift_report(spark: SparkSession, folder: str | Sequence[str], spec: Dataset
     Names come from Parquet schemas and text headers, and from the keys of all JSON lines, made distinct by Spark.
     """
     sources = landing_sources(spark, folder, spec)
-    named = sorted({c for s in sources if s.lines is None for c in s.rows.columns})
+    named = sorted({c for s in sources if s.lines is None for c in s.rows.columns} - {CORRUPT})
     seen = spark.createDataFrame([(c,) for c in named], "column string")
     for source in sources:
         if source.lines is not None:

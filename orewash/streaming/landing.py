@@ -8,6 +8,8 @@ later. Silver and its rejected rows are views on the store.
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,7 +56,7 @@ def _contenders(rows: DataFrame, spec: DatasetSpec) -> DataFrame:
     return fit.select(*_store_schema(spec).fieldNames())
 
 
-def _merged(spark: SparkSession, paths: list[str], batch: int, store: str, spec: DatasetSpec) -> DataFrame | None:
+def _merged(spark: SparkSession, paths: list[str], batch: str, store: str, spec: DatasetSpec) -> DataFrame | None:
     """The rows of every date that the files of a micro-batch touch, after the contest; None if there are no rows."""
     frames = landing_frames(spark, paths, spec)
     if not frames:
@@ -75,30 +77,34 @@ def _merged(spark: SparkSession, paths: list[str], batch: int, store: str, spec:
     return won.unionByName(touched.select("event_date").distinct(), allowMissingColumns=True)
 
 
-def _pending_batch(spark: SparkSession, store: str) -> int | None:
+def _batch_id(paths: list[str]) -> str:
+    """What a batch is: its files. Numbers start again with every checkpoint, and two streams may share a store."""
+    return sha256("\n".join(sorted(paths)).encode()).hexdigest()
+
+
+def _pending_batch(spark: SparkSession, store: str) -> str | None:
     try:
-        row = spark.read.schema("batch bigint").parquet(f"{store}/pending_batch").first()
+        row = spark.read.schema("files string").parquet(f"{store}/pending_batch").first()
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
-    return row["batch"] if row else None
+    return row["files"] if row else None
 
 
-def absorb(spark: SparkSession, paths: list[str], batch: int, store: str, spec: DatasetSpec) -> None:
+def absorb(spark: SparkSession, paths: list[str], store: str, spec: DatasetSpec) -> None:
     """Put the files of one micro-batch into the store; only the dates they touch are rewritten.
 
-    The outcome is written aside and its batch number noted before the store is touched, so a batch that is repeated
-    after a crash at any point leaves the same store.
+    The outcome is written aside and its files noted before the store is touched, so a batch that is repeated after a
+    crash at any point leaves the same store. A batch of other files is always worked out, whatever its number.
     """
-    pending = f"{store}/pending"
-    if _pending_batch(spark, store) != batch:
-        won = _merged(spark, paths, batch, store, spec)
+    pending, files = f"{store}/pending", _batch_id(paths)
+    if _pending_batch(spark, store) != files:
+        won = _merged(spark, paths, files, store, spec)
         if won is None:
             return
         won.write.mode("overwrite").parquet(pending)
-        noted = spark.range(1).select(F.lit(batch).cast("bigint").alias("batch"))
-        noted.write.mode("overwrite").parquet(f"{store}/pending_batch")
+        spark.range(1).select(F.lit(files).alias("files")).write.mode("overwrite").parquet(f"{store}/pending_batch")
     (
         spark.read.schema(_store_schema(spec)).parquet(pending)
         .hint("rebalance", "event_date")
@@ -121,9 +127,9 @@ def landing_stream(
         .select("path")
     )
 
-    def take(batch_df: DataFrame, batch: int) -> None:
+    def take(batch_df: DataFrame, _: int) -> None:
         paths = [r["path"] for r in batch_df.collect()]  # at most files_per_batch names
-        absorb(batch_df.sparkSession, paths, batch, store, spec)
+        absorb(batch_df.sparkSession, paths, store, spec)
 
     return (
         arrivals.writeStream.foreachBatch(take)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,10 +20,10 @@ from orewash.operators.scd import latest_snapshot, merge_partial
 from orewash.operators.split import Split
 from orewash.plans import gold
 from orewash.plans.silver import measured_columns, silver
-from orewash.scratch import fresh_path
+from orewash.scratch import fresh_path, written
 from orewash.sinks.files import append_quarantine, read_gold, require_outputs, write_gold, write_silver
 from orewash.sinks.warehouse import create_tables, load_table, require_loaded
-from orewash.sources.audit import landing_audit
+from orewash.sources.audit import landing_audit, routed
 from orewash.sources.landing import read_landing
 from orewash.sources.silver import read_silver
 from orewash.specs import CORRUPT, EVENTS, SPECS, TRANSACTIONS, USERS, DatasetSpec, gold_schema
@@ -395,14 +396,41 @@ def _(spark, sf_dir):
     return landed.withColumn("price", F.nullif("price", F.lit("")))  # CSV cannot tell an empty text from none
 
 
-@register("landing_audit", None)
+def put_file(spark, path: str, content: bytes) -> None:
+    """One file of the given name and content, wherever Spark's own writers would put theirs."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where)
+    stream.write(bytearray(content))
+    stream.close()
+
+
+@register("landing_audit", """select format, verdict, reason, cast(files as bigint) as files, "rows" from (
+    select 'json' as format, 'valid' as verdict, null as reason, 1 as files, count(*) as "rows" from raw_events
+        where cast(event_id as bigint) % 3 = 0
+    union all select 'csv', 'valid', null, 1, count(*) from raw_events where cast(event_id as bigint) % 3 = 1
+    union all select 'parquet', 'valid', null, 1, count(*) from raw_events where cast(event_id as bigint) % 3 = 2
+    union all select 'csv', 'unreadable', 'empty file', 1, 0
+    union all select 'parquet', 'bad_extension', 'parquet without part-', 1, 0
+    union all select null, 'bad_extension', 'extension not accepted', 1, 0
+    union all select 'json.gz', 'damaged', 'gzip cut off', 1, 0)""")
 def _(spark, sf_dir):
     folder = fresh_path(spark, "landing") + "/events"
-    write_mixed_landing(inputs.raw_events(spark, sf_dir), folder, EVENTS)
-    manifest = landing_audit(spark, folder, "events", probe=True)
-    return manifest.groupBy("dataset", "format", "verdict", "reason").agg(
-        F.count("*").alias("files"), F.sum("length").alias("bytes")
-    )
+    raw = inputs.raw_events(spark, sf_dir).drop(CORRUPT)
+    third = F.col("event_id").cast("bigint") % 3
+    raw.where(third == 0).coalesce(1).write.mode("append").json(folder)
+    raw.where(third == 1).coalesce(1).write.mode("append").option("header", True).csv(folder)
+    raw.where(third == 2).coalesce(1).write.mode("append").parquet(folder)
+    put_file(spark, f"{folder}/empty.csv", b"")
+    put_file(spark, f"{folder}/notes.xml", b"<a/>")
+    put_file(spark, f"{folder}/Loose.PARQUET", b"PAR1")
+    put_file(spark, f"{folder}/cut.json.gz", gzip.compress(b'{"event_id":"1"}\n' * 1000)[:40])
+    manifest = written(landing_audit(spark, folder, "events", probe=True), "manifest")
+    valid = [(r["format"], r["path"]) for r in routed(manifest).good.select("format", "path").collect()]
+    read = [(form, read_landing(spark, [path], EVENTS).count()) for form, path in valid]
+    counts = spark.createDataFrame(read, "format string, read bigint").groupBy("format").agg(F.sum("read").alias("read"))
+    grouped = manifest.groupBy("format", "verdict", "reason").agg(F.count("*").alias("files"))
+    found = F.when(F.col("verdict") == "valid", F.col("read")).otherwise(0).alias("rows")
+    return grouped.join(counts, "format", "left").select("format", "verdict", "reason", "files", found)
 
 
 @register("silver_write_read", sql.silver_chain(USERS) + " select * from accepted")

@@ -41,8 +41,48 @@ def test_delimited_with_header(spark, tmp_path, ending):
 
 @pytest.mark.parametrize("ending", ["csv.gz", "txt", "txt.gz", "gz"])
 def test_delimited_without_header_goes_by_position(spark, tmp_path, ending):
-    put(tmp_path, f"a.{ending}", "1,u,2024-01-01\n2,v,2024-01-02,33,IT,e,m,n,1,2,3,2024,1,2,more\n")
-    assert landed(spark, tmp_path, "event_id", "ts", "age") == [("1", "2024-01-01", None), ("2", "2024-01-02", "33")]
+    put(tmp_path, f"a.{ending}", "1,u,2024-01-01\n2,v,2024-01-02,33,IT,e,day,n,1,2,3,2024,1,2\n")
+    want = [("1", "2024-01-01", None, None), ("2", "2024-01-02", "33", None)]
+    assert landed(spark, tmp_path, "event_id", "ts", "age", CORRUPT) == want
+
+
+def test_a_value_that_is_a_column_name_makes_no_header(spark, tmp_path):
+    put(tmp_path, "a.txt", "1,u,2024-01-01,33,IT,e,day\n2,v,2024-01-02,34,IT,e,m\n")
+    assert landed(spark, tmp_path, "event_id", "message") == [("1", "day"), ("2", "m")]
+
+
+def test_surplus_values_make_a_line_corrupt(spark, tmp_path):
+    put(tmp_path, "a.csv", 'event_id,user_id\n1,u,surplus\n2\n3,"a,b"\n4,u,\n')
+    put(tmp_path, "b.txt", "5,v,2024-01-02,33,IT,e,m,n,1,2,3,2024,1,2,more\n")
+    want = [("1", "1,u,surplus"), ("2", None), ("3", None), ("4", None), ("5", "5,v,2024-01-02,33,IT,e,m,n,1,2,3,2024,1,2,more")]
+    assert landed(spark, tmp_path, "event_id", CORRUPT) == want
+    good, rejected = normalize(read_landing(spark, str(tmp_path), EVENTS), EVENTS)
+    assert sorted(r["reason"].split(",")[0] for r in rejected.where("event_id in ('1', '5') or event_id is null").collect())[:2] == ["corrupt"] * 2
+
+
+def test_names_are_read_in_any_case(spark, tmp_path):
+    put(tmp_path, "a.json", '{"event_id":"1"}')
+    put(tmp_path, "B.JSON", '{"event_id":"2"}')
+    put(tmp_path, "C.Csv", "event_id\n3\n")
+    put(tmp_path, "D.NDJSON", '{"event_id":"4"}')
+    spark.sql("select '5' event_id").coalesce(1).write.parquet(str(tmp_path / "p"))
+    (file,) = (tmp_path / "p").glob("*.parquet")
+    (tmp_path / "PART-1.PARQUET").write_bytes(file.read_bytes())
+    for one_header in (False, True):
+        assert landed(spark, tmp_path, "event_id", one_header=one_header) == [(str(i),) for i in range(1, 6)]
+
+
+def test_a_file_cut_off_is_left_out_whole_and_listed(spark, tmp_path):
+    text = "".join(f'{{"event_id":"{i}","user_id":"{i * 7919 % 1000003}"}}\n' for i in range(20_000))
+    whole = gzip.compress(text.encode())
+    (tmp_path / "cut.json.gz").write_bytes(whole[: len(whole) // 2])
+    (tmp_path / "two.json.gz").write_bytes(gzip.compress(b'{"event_id":"a"}\n') + gzip.compress(b'{"event_id":"b"}\n'))
+    spark.sql("select '5' event_id").coalesce(1).write.parquet(str(tmp_path / "p"))
+    (file,) = (tmp_path / "p").glob("*.parquet")
+    (tmp_path / "part-1.parquet").write_bytes(file.read_bytes()[:-9])
+    assert landed(spark, tmp_path, "event_id", skip_damaged=True) == [("a",), ("b",)]
+    verdicts = {r["path"].split("/")[-1]: r["verdict"] for r in landing_audit(spark, str(tmp_path), "events", probe=True).collect()}
+    assert verdicts == {"cut.json.gz": "damaged", "two.json.gz": "valid", "part-1.parquet": "unreadable"}
 
 
 def test_headers_may_differ_between_files(spark, tmp_path):

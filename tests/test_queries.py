@@ -4,9 +4,14 @@ import pytest
 from oracle import connect, difference
 
 import __spark_entry__ as entry
+from orewash import EVENTS
+from orewash.sources.audit import landing_audit
+from suite import inputs
+from suite.queries import REGISTRY, write_mixed_landing
 
 SF = "/root/testdata/sf0.001"
-QUERIES, TWINS = entry.queries(), entry.oracle_sql()
+QUERIES = {name: query for name, (query, _) in REGISTRY.items()}
+TWINS = {name: twin for name, (_, twin) in REGISTRY.items() if twin}
 
 
 @pytest.fixture(scope="module")
@@ -20,11 +25,12 @@ def test_agrees_with_sql(spark, sql, name):
 
 
 def test_every_twin_has_a_query():
-    assert set(TWINS) <= set(QUERIES)
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_landing_audit_accepts_what_was_written(spark):
-    rows = QUERIES["landing_audit"](spark, SF).collect()
+def test_landing_audit_accepts_what_was_written(spark, tmp_path):
+    write_mixed_landing(inputs.raw_events(spark, SF), str(tmp_path), EVENTS)
+    rows = landing_audit(spark, str(tmp_path), "events", probe=True).collect()
     assert {r["format"] for r in rows} == {"parquet", "json", "json.gz", "csv", "csv.gz", "txt"}
     assert {r["verdict"] for r in rows} == {"valid"}
 

@@ -42,10 +42,10 @@ def test_waves_of_transactions(spark, tmp_path):
     drain(spark, tmp_path, TRANSACTIONS, files_per_batch=1)
     same_as_batch(spark, tmp_path, TRANSACTIONS)
     # the last batch again, as after a crash: nothing changes
-    absorb(spark, [f"file:{folder}/3.json"], 2, f"{tmp_path}/store", TRANSACTIONS)
+    absorb(spark, [f"file:{folder}/3.json"], f"{tmp_path}/store", TRANSACTIONS)
     same_as_batch(spark, tmp_path, TRANSACTIONS)
     # a batch that crashed before it was noted is worked out afresh
-    absorb(spark, [f"file:{folder}/2.json"], 99, f"{tmp_path}/store", TRANSACTIONS)
+    absorb(spark, [f"file:{folder}/2.json"], f"{tmp_path}/store", TRANSACTIONS)
     assert rows(stored_silver(spark, f"{tmp_path}/store", TRANSACTIONS).select("tx_id")) == [("a",), ("c",), ("d",)]
 
 
@@ -68,3 +68,16 @@ def test_nothing_new(spark, tmp_path):
     drain(spark, tmp_path, USERS, files_per_batch=1)
     drain(spark, tmp_path, USERS)
     same_as_batch(spark, tmp_path, USERS)
+
+
+def test_new_checkpoint_and_second_stream(spark, tmp_path):
+    folder, other = tmp_path / "in", tmp_path / "other"
+    folder.mkdir()
+    other.mkdir()
+    put(folder, "1.json", {"user_id": "u"})
+    drain(spark, tmp_path, USERS)
+    put(folder, "2.json", {"user_id": "v"})
+    put(other, "3.json", {"user_id": "w"})
+    for source, check in ((folder, "check2"), (other, "check3")):
+        landing_stream(spark, str(source), f"{tmp_path}/store", f"{tmp_path}/{check}", USERS).awaitTermination()
+    assert [r["user_id"] for r in stored_silver(spark, f"{tmp_path}/store", USERS).orderBy("user_id").collect()] == ["u", "v", "w"]
