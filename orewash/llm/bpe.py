@@ -149,12 +149,11 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = n
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in blocks(batches):
-            yield block_rows(ids, texts, buckets)
+        for block in blocks(batches):
+            yield block.rows(n)
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, known = piece_encoder(ranks, pattern), {}
@@ -182,51 +181,56 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
     return met.repartition(n, "block").sortWithinPartitions("block", "kind").mapInArrow(reassemble, f"`{id_col}` {id_type}, ids array<int>")
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.Array], list[pa.StringScalar]]]:
-    ids, texts, size = [], [], 0
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    block = Block()
     for batch in batches:
         for i, text in enumerate(batch.column(1)):
-            length = len(text.as_buffer())
-            if size and size + length > BLOCK_BYTES:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-            ids.append(batch.column(0).slice(i, 1))
-            texts.append(text)
-            size += length
-    if ids:
-        yield ids, texts
-
-
-def block_rows(ids: list[pa.Array], texts: list[pa.StringScalar], buckets: int) -> pa.RecordBatch:
-    """A block: a row for each bucket of its words, and one with its documents as numbers of words."""
-    numbers, name, lists = Numbers(), xxhash.xxh3_128(), []
-    for text in texts:
-        raw = text.as_buffer()
-        name.update(len(raw).to_bytes(8, "little"))
-        name.update(memoryview(raw))
-        lists.append(np.array(numbers.of(str(raw, "utf-8")), np.int32))
-    found = np.concatenate(lists)
-    count = np.bincount(found, minlength=len(numbers.names))
-    order = np.argsort(-count, kind="stable")  # frequent words get small numbers
-    number = np.empty(len(order), np.int32)
-    number[order] = np.arange(len(order))
-    held = pa.concat_arrays(ids)
-    name.update(str(held.to_pylist()).encode())
-    block = name.hexdigest()
-    encoded = [numbers.names[i].encode("utf-8") for i in order.tolist()]
-    bucket = np.array([zlib.crc32(w) for w in encoded], np.int64) % buckets
-    by_bucket = np.argsort(bucket, kind="stable")
-    rows = []
-    for part in np.split(by_bucket, np.flatnonzero(np.diff(bucket[by_bucket])) + 1) if len(by_bucket) else []:
-        mine = [encoded[i] for i in part.tolist()]
-        data = packed(np.diff(part, prepend=0), np.array([len(w) for w in mine]))
-        rows.append((int(bucket[part[0]]), block, WORDS, data, zstandard.compress(b"".join(mine), 9)))
-    texts_data = packed(number[found], np.array([len(x) for x in lists]))
-    rows.append((zlib.crc32(block.encode()) % buckets, block, TEXTS, texts_data, None))
-    columns = [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), ROW, strict=True)]
-    sizes = [0] * len(rows) + [len(held)]
-    lists_of_ids = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), held)
-    return pa.RecordBatch.from_arrays([*columns[:4], lists_of_ids, columns[4]], ["bucket", "block", "kind", "data", "ids", "bytes"])
+            raw = text.as_buffer()
+            if block.size and block.size + len(raw) > BLOCK_BYTES:
+                yield block
+                block = Block()
+            block.add(batch.column(0).slice(i, 1), raw)
+    if block.ids:
+        yield block
+
+
+class Block:
+    """Documents as numbers of words; their texts are not held."""
+
+    def __init__(self):
+        self.size, self.ids, self.lists = 0, [], []
+        self.numbers, self.name = Numbers(), xxhash.xxh3_128()
+
+    def add(self, doc_id: pa.Array, raw: pa.Buffer) -> None:
+        self.ids.append(pa.array(doc_id.to_pylist(), doc_id.type))  # a copy, which does not hold on to the batch
+        self.name.update(len(raw).to_bytes(8, "little"))
+        self.name.update(memoryview(raw))
+        self.lists.append(np.array(self.numbers.of(str(raw, "utf-8")), np.int32))
+        self.size += len(raw)
+
+    def rows(self, buckets: int) -> pa.RecordBatch:
+        """A row for each bucket of the block's words, and one with its documents."""
+        names, found = self.numbers.names, np.concatenate(self.lists)
+        order = np.argsort(-np.bincount(found, minlength=len(names)), kind="stable")  # frequent words get small numbers
+        number = np.empty(len(order), np.int32)
+        number[order] = np.arange(len(order))
+        held = pa.concat_arrays(self.ids)
+        self.name.update(str(held.to_pylist()).encode())
+        block = self.name.hexdigest()
+        bucket = np.array([zlib.crc32(names[i].encode("utf-8")) for i in order.tolist()], np.int64) % buckets
+        by_bucket = np.argsort(bucket, kind="stable")
+        rows = []
+        for part in np.split(by_bucket, np.flatnonzero(np.diff(bucket[by_bucket])) + 1) if len(by_bucket) else []:
+            mine = [names[i].encode("utf-8") for i in order[part].tolist()]
+            data = packed(np.diff(part, prepend=0), np.array([len(w) for w in mine]))
+            rows.append((int(bucket[part[0]]), block, WORDS, data, zstandard.compress(b"".join(mine), 9)))
+        texts = packed(number[found], np.array([len(x) for x in self.lists]))
+        rows.append((zlib.crc32(block.encode()) % buckets, block, TEXTS, texts, None))
+        columns = [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), ROW, strict=True)]
+        sizes = [0] * (len(rows) - 1) + [len(held)]
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        columns = [*columns[:4], pa.ListArray.from_arrays(offsets, held), columns[4]]
+        return pa.RecordBatch.from_arrays(columns, ["bucket", "block", "kind", "data", "ids", "bytes"])
 
 
 def without_bucket(row: pa.RecordBatch) -> pa.RecordBatch:
