@@ -38,9 +38,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies, the document of smallest doc_id."""
     found = near_classes(docs).where(F.col("doc") == F.col("class")).select("doc", "t1", "t2").distinct()
-    names = {n: c for n, c in identity().items()}
-    kept = docs.withColumns(names).join(found, ["doc", "t1", "t2"], "left_semi")
-    return kept.select(*COLUMNS)
+    return docs.select(*COLUMNS).withColumns(identity()).join(found, ["doc", "t1", "t2"], "left_semi").select(*COLUMNS)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

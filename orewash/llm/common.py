@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,6 +19,16 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def unused(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores put before it as it takes to be none of ``taken``."""
+    held, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in held:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def ranked(rows: DataFrame, group: list[str], order: list[str], total: int, rank: str) -> DataFrame:
     """``rows`` with a gapless ``rank`` from 0 within each group, however large a group is.
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orewash.llm.common import text_of
+from orewash.llm.common import text_of, unused
 from orewash.scratch import written
 
 LEAST_CHARS = 10
@@ -109,14 +109,15 @@ def without_repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> D
             copies = copies.select("doc", "tag", "pos", F.lit(length).alias("n"))
             marks = copies if marks is None else marks.unionByName(copies)
     names = docs.columns
-    place = {"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_tag": F.xxhash64(text_of())}
+    doc, tag, pos, n, run = unused(names, "_doc", "_tag", "_pos", "_n", "_run")
+    place = {doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), tag: F.xxhash64(text_of())}
     if marks is None:
-        joined = docs.withColumns({"_pos": F.lit(None).cast("array<int>"), "_n": F.lit(None).cast("array<int>"), "_run": F.lit(None).cast("int")})
+        joined = docs.withColumns({pos: F.lit(None).cast("array<int>"), n: F.lit(None).cast("array<int>"), run: F.lit(None).cast("int")})
     else:
-        by_doc = marks.groupBy("doc", "tag").agg(F.collect_list("pos").alias("_pos"), F.collect_list("n").alias("_n"))
-        runs = longest.groupBy("doc", "tag").agg(F.max("run").alias("_run"))
-        by_doc = by_doc.join(runs, ["doc", "tag"]).withColumnsRenamed({"doc": "_doc", "tag": "_tag"})
-        joined = docs.withColumns(place).join(by_doc, ["_doc", "_tag"], "left").select(*names, "_pos", "_n", "_run")
+        by_doc = marks.groupBy("doc", "tag").agg(F.collect_list("pos").alias(pos), F.collect_list("n").alias(n))
+        runs = longest.groupBy("doc", "tag").agg(F.max("run").alias(run))
+        by_doc = by_doc.join(runs, ["doc", "tag"]).withColumnsRenamed({"doc": doc, "tag": tag})
+        joined = docs.withColumns(place).join(by_doc, [doc, tag], "left").select(*names, pos, n, run)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -126,18 +127,18 @@ def without_repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> D
                 for i, text in enumerate(batch.column("text").to_pylist()):
                     lines = [] if text is None else text.split("\n")
                     n_lines.append(len(lines))
-                    pos = batch.column("_pos")[i]
-                    if pos.is_valid and text is not None:
+                    found = batch.column(pos)[i]
+                    if found.is_valid and text is not None:
                         gone = np.zeros(len(lines) + 1, bool)
-                        at, n = pos.values.to_numpy(), batch.column("_n")[i].values.to_numpy()
+                        at, many = found.values.to_numpy(), batch.column(n)[i].values.to_numpy()
                         gone[at] = True
-                        gone[at[n == 2] + 1] = True
+                        gone[at[many == 2] + 1] = True
                         lines = [lines[j] for j in np.flatnonzero(~gone[:-1]).tolist()]
                     n_removed.append(n_lines[-1] - len(lines))
                     left.append(None if text is None else "\n".join(lines))
-                run = batch.column("_run").fill_null(0).cast(pa.int64())
+                longest_run = batch.column(run).fill_null(0).cast(pa.int64())
                 columns = [batch.column(c) if c != "text" else pa.array(left, pa.string()) for c in names]
-                columns += [pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64()), run]
+                columns += [pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64()), longest_run]
                 yield pa.RecordBatch.from_arrays(columns, [*names, "n_lines", "n_removed", "longest_run"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orewash.llm.common import in_batches, text_of
+from orewash.llm.common import in_batches, text_of, unused
 
 WIDTH = 20
 MARK = 4
@@ -269,9 +269,10 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     docs = docs.drop("n_words", "n_removed")
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc")
     found = marks(docs.select(doc, F.encode(text_of(), "UTF-8").alias("text")), width)
-    by_doc = found.groupBy("doc").agg(F.collect_list("start").alias("_start"), F.collect_list("stop").alias("_stop"))
     names = docs.columns
-    joined = docs.withColumn("_doc", doc).join(by_doc.withColumnRenamed("doc", "_doc"), "_doc", "left").select(*names, "_start", "_stop")
+    key, begin, end = unused(names, "_doc", "_start", "_stop")
+    by_doc = found.groupBy(F.col("doc").alias(key)).agg(F.collect_list("start").alias(begin), F.collect_list("stop").alias(end))
+    joined = docs.withColumn(key, doc).join(by_doc, key, "left").select(*names, begin, end)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -281,7 +282,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 for i, text in enumerate(batch.column("text")):
                     words = text.as_buffer().to_pybytes().split() if text.is_valid else []
                     n_words.append(len(words))
-                    start, stop = batch.column("_start")[i], batch.column("_stop")[i]
+                    start, stop = batch.column(begin)[i], batch.column(end)[i]
                     if start.is_valid:
                         edge = np.zeros(len(words) + 1, np.int64)
                         np.add.at(edge, np.minimum(start.values.to_numpy(), len(words)), 1)
