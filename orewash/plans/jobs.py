@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import uuid
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
@@ -88,15 +89,17 @@ def silver_dataset(
     one_header: bool = False,
     skip_damaged: bool = False,
     stringly: bool = False,
+    run_id: str | None = None,
 ) -> SilverCounts:
     """One dataset from its landing folder to silver, quarantine and metrics; stops at the first empty step.
 
     Text is parsed once and kept as a columnar table in the shared folder, partitioned by fate; so is the outcome
     of the contest for keys. Silver, quarantine and the counts are read from those, and the metrics from silver as
     written: exact also when executors were lost on the way. ``skip_damaged`` turns away, whole, files that
-    cannot be read to their end instead of failing on them.
+    cannot be read to their end instead of failing on them. ``run_id`` names the run in quarantine (by default, anew).
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    run_id = run_id or uuid.uuid4().hex
     admitted = admitted_files(spark, layout, spec, probe=skip_damaged)
     frames = landing_frames(spark, admitted, spec, one_header)  # what is damaged was turned away whole
     require_rows({"load": len(frames)}, spec.name)
@@ -113,7 +116,7 @@ def silver_dataset(
 
     def set_aside() -> None:
         if rejected:
-            append_quarantine(silver.refused(rows, winners, spec), layout.quarantine, spec)
+            append_quarantine(silver.refused(rows, winners, spec), layout.quarantine, spec, run_id)
 
     try:
         require_rows({"load": loaded, "normalize": fit, "dedupe": sum(after.values()), "quarantine": fine}, spec.name)

@@ -31,9 +31,14 @@ def write_undated(df: DataFrame, path: str) -> None:
     voids_to_text(df).write.mode("overwrite").option("compression", "snappy").parquet(path)
 
 
-def append_quarantine(rejected: DataFrame, base: str, spec: DatasetSpec) -> None:
-    """Add rejected rows, with their reasons, to ``base/<dataset>``."""
-    voids_to_text(rejected).write.mode("append").option("compression", "snappy").parquet(f"{base}/{spec.name}")
+def append_quarantine(rejected: DataFrame, base: str, spec: DatasetSpec, run_id: str | None = None) -> None:
+    """Add rejected rows, with their reasons, to ``base/<dataset>``.
+
+    Rows of a run with an id have it in the column ``run_id``; a run that is repeated under its id replaces its own rows.
+    """
+    path = f"{base}/{spec.name}"
+    mode, path = ("append", path) if run_id is None else ("overwrite", f"{path}/run_id={run_id}")
+    voids_to_text(rejected).write.mode(mode).option("compression", "snappy").parquet(path)
 
 
 def write_metrics(metrics: DataFrame, base: str, spec: DatasetSpec) -> None:

@@ -177,6 +177,13 @@ def _register_steps(spec: DatasetSpec) -> None:
     def _(spark, sf_dir):
         return quality.measures(silver(raw(spark, sf_dir), spec).good.select(*measured), spec)
 
+    @register(f"metrics_text_{name}", f"""select metric, case when metric like 'null_rate_%' then
+        cast(((bad * 20000 + total) // (2 * total)) / 10000.0 as varchar) else cast(bad as varchar) end as value
+        from ({chain + sql.metrics(spec, measured)})""")
+    def _(spark, sf_dir):
+        measured_rows = quality.measures(silver(raw(spark, sf_dir), spec).good.select(*measured), spec)
+        return quality.as_metrics(measured_rows)
+
 
 for _spec in SPECS.values():
     _register_steps(_spec)
@@ -200,12 +207,13 @@ def _(spark, sf_dir):
 
 
 @register("null_stats", f"with cleaned as ({sql.cleaned(EVENTS)}) " + " union all ".join(
-    f"select '{c}' as \"column\", count(*) - count({c}) as null_count, count(*) as total from cleaned"
+    f"select '{c}' as \"column\", count(*) - count({c}) as null_count, count(*) as total, "
+    f"(((count(*) - count({c})) * 20000 + count(*)) // (2 * count(*))) / 10000.0 as null_rate from cleaned"
     for c in EVENTS.columns
 ))
 def _(spark, sf_dir):
     df = clean(_canonical(inputs.raw_events(spark, sf_dir), EVENTS), EVENTS)
-    return quality.null_stats(df).drop("null_rate")
+    return quality.null_stats(df)
 
 
 @register("scd_latest", f"with cleaned as ({sql.cleaned(USERS)}) " + sql.SNAPSHOT.format(source="cleaned"))

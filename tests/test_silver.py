@@ -9,7 +9,9 @@ from orewash import EVENTS, SPECS, TRANSACTIONS, USERS
 from orewash.operators.quality import EmptyStepError
 from orewash.plans.jobs import Layout, SilverCounts, gold_job, run_all, silver_dataset, silver_job
 from orewash.plans.silver import contested, refused, silver, staged
-from orewash.sinks.files import MissingOutputError, read_gold, require_outputs, write_gold, write_undated
+from orewash.sinks.files import (
+    MissingOutputError, append_quarantine, read_gold, require_outputs, write_gold, write_silver, write_undated,
+)
 from orewash.sinks.warehouse import create_tables, load_table, require_loaded
 from orewash.sources.silver import read_silver
 from orewash.specs import CORRUPT, GOLD_DDL, WAREHOUSE_TABLES, gold_schema
@@ -224,3 +226,25 @@ def test_compact_gold(spark, tmp_path):
     write_gold(days, str(tmp_path), "daily_revenue", partition_by="date")
     assert [p.name for p in (tmp_path / "daily_revenue").glob("date=*")] == ["date=2024-01-01"]
     assert read_gold(spark, str(tmp_path), "daily_revenue").count() == 3
+
+
+def test_sinks_replace_under_dynamic_mode_and_by_run(spark, tmp_path):
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        for day in ("2024-01-01", "2024-01-02"):
+            good, _ = silver(spark.sql(f"select '1' user_id, 'n' name, '{day}' updated_at"), USERS)
+            write_silver(good, f"{tmp_path}/users", USERS)
+            days = spark.sql(f"select date'{day}' date, 1L transaction_count")
+            write_gold(days, str(tmp_path), "daily_revenue", partition_by="date")
+    finally:
+        spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
+    assert read_silver(spark, f"{tmp_path}/users", USERS).count() == 1
+    assert read_gold(spark, str(tmp_path), "daily_revenue").count() == 1
+    for run in ("a", "b", "b"):
+        append_quarantine(spark.sql("select '1' user_id, 'r' reason"), f"{tmp_path}/q", USERS, run)
+    assert sorted(r["run_id"] for r in spark.read.parquet(f"{tmp_path}/q/users").collect()) == ["a", "b"]
+
+
+def test_a_bare_time_is_no_date(spark):
+    good, rejected = silver(spark.sql("select 'e' event_id, 'u' user_id, '12:30' ts"), EVENTS)
+    assert good.count() == 0 and [r["reason"] for r in rejected.collect()] == ["missing:ts"]
