@@ -1,7 +1,8 @@
 """One current row per key from a history of partial updates.
 
-Both forms are ``max`` over a struct that starts with the time: an ordinary aggregate with map-side combine, so a
-key with many versions costs one row per map task, and ties resolve the same way on every run.
+Both forms are ``max`` over a struct that starts with the time: an aggregate with map-side combine, so a key with many
+versions costs one row per map task, and ties resolve the same way on every run. Structs are aggregated by sorting, so
+there is a sort on either side of the shuffle.
 """
 
 from __future__ import annotations

@@ -329,5 +329,3 @@ DIM_DATE = """select date, cast(year(date) as integer) as year, cast(month(date)
        cast(day(date) as integer) as day, strftime(date, '%a') as day_of_week,
        cast(week(date) as integer) as week_of_year, strftime(date, '%B') as month_name
 from (select cast(ts as date) as date from ev union select cast(created_at as date) from tx)"""
-
-SQL_SPECS = (EVENTS, USERS, TRANSACTIONS)
