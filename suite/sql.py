@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from orewash.specs import EVENTS, NULL_TOKENS, TRANSACTIONS, USERS, DatasetSpec
+from orewash.specs import NULL_TOKENS, USERS, DatasetSpec
 
 # --- inputs ---------------------------------------------------------------------------------------------------------
 
