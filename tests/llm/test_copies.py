@@ -111,6 +111,31 @@ def test_lines_against_a_plain_version(spark):
     assert got == plain_lines(docs)
 
 
+def all_line_runs(docs, least=10):
+    """As plain_lines, but every run of any length is tried; with the longest run as a power of two."""
+    seen, out = {}, {}
+    for doc, text in sorted(docs):
+        lines = text.split("\n")
+        gone, longest = [False] * len(lines), 0
+        for i in range(len(lines)):
+            for j in range(i + 1, len(lines) + 1):
+                if seen.setdefault(tuple(lines[i:j]), (doc, i)) != (doc, i) and len("".join(lines[i:j])) >= least:
+                    gone[i:j] = [True] * (j - i)
+                    longest = max(longest, 1 << ((j - i).bit_length() - 1))
+        out[doc] = (len(lines), sum(gone), longest, "\n".join(x for x, g in zip(lines, gone) if not g))
+    return out
+
+
+def test_runs_of_many_short_lines_go(spark):
+    tokens = [f"{i:x}" for i in range(60)]
+    docs = [(i, "\n".join([f"a title of its own {i}", *tokens, f"an end of its own {i}"])) for i in range(5)]
+    docs += [(10 + i, f"own {i}\nabcd\nefgh\nijkl\nown {-i}") for i in range(3)] + [(20 + i, f"{i}\na long line here\nx\n\n\ny\n{i}{i}") for i in range(3)]
+    docs += [(100 + i, t.replace(" ", "\n")) for i, t in enumerate(random_texts(9, 80, ["", "", "x", "yz", "tiny", "short", "a_line_long_enough"], 25))]
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["longest_run"], r["text"]) for r in without_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    assert got == all_line_runs(docs)
+    assert [got[d][1] for d in (0, 4, 10, 12, 20, 22)] == [0, 60, 0, 3, 0, 5]
+
+
 def test_runs_are_ranked_in_order(spark):
     docs = [(1, "b\na\nc\nd\ne"), (2, "a\nc\nd\ne\nz"), (3, "q\nb\na")]
     rounds = {n: runs.collect() for n, runs in doublings(spark.createDataFrame(docs, "doc_id long, text string"))}
