@@ -50,6 +50,31 @@ def test_cuts_are_minimax(spark, seed, n, hot):
     assert max(loads.values()) == fewest([groups[k] for k in sorted(groups)], 16) and max(loads) < 16
 
 
+@pytest.mark.parametrize("at", [0.02, 0.3, 0.5, 0.97])
+def test_a_hot_group_leaves_no_shard_empty(spark, at):
+    rng = random.Random(8)
+    groups = {rng.randrange(1 << 60): rng.randrange(1, 300) for _ in range(4000)}
+    small = sum(groups.values())
+    hot = int(at * (1 << 60))
+    groups[hot] = small // 2
+    keys = cut_keys(spark.createDataFrame(list(groups.items()), "key long, size long"), 16)
+    loads = Counter()
+    for k, size in groups.items():
+        loads[sum(k >= c for c in keys)] += size
+    own = sum(hot >= c for c in keys)
+    others = [loads[i] for i in range(16) if i != own]
+    assert len(loads) == 16 and loads[own] == small // 2
+    stretches = [sum(s for k, s in groups.items() if k != hot and (k < hot) == before) for before in (True, False)]
+    best = min(max(stretches[0] / n, stretches[1] / (15 - n)) for n in range(1, 15))
+    assert max(others) <= best + 300 and min(others) >= min(0.8 * best, min(stretches)) - 300
+
+
+def test_equal_groups_fill_every_shard(spark):
+    keys = cut_keys(spark.createDataFrame([(i << 50, 100) for i in range(17)], "key long, size long"), 16)
+    loads = Counter(sum(i << 50 >= c for c in keys) for i in range(17))
+    assert len(loads) == 16 and max(loads.values()) == 2
+
+
 def test_shards_of_awkward_documents(spark):
     docs = awkward(spark, [(100 + i, f"text {i}") for i in range(200)])
     rows = shard_by_bytes(docs.withColumn("shard", F.lit("clash")).withColumn("size", F.lit(1))).collect()
