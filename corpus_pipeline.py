@@ -36,9 +36,10 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies, the document of smallest doc_id."""
-    found = near_classes(docs).where(F.col("doc") == F.col("class")).select("doc", "t1", "t2").distinct()
-    return docs.select(*COLUMNS).withColumns(identity()).join(found, ["doc", "t1", "t2"], "left_semi").select(*COLUMNS)
+    """Of each class of near copies, one row: the document of smallest doc_id."""
+    found = near_classes(docs).where("leads").select("doc", "t1", "t2").distinct()
+    kept = docs.select(*COLUMNS).withColumns(identity()).join(found, ["doc", "t1", "t2"], "left_semi")
+    return kept.dropDuplicates(["doc", "t1", "t2"]).select(*COLUMNS)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

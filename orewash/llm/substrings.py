@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orewash.llm.common import in_batches, text_of, unused
+from orewash.scratch import written
 
 WIDTH = 20
 MARK = 4
@@ -67,13 +68,13 @@ def minimisers(hashes: np.ndarray, width: int, common: np.ndarray) -> np.ndarray
     return np.minimum(runs[: len(runs) - rest], runs[rest:]) if rest else runs
 
 
-def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, bytes]]]:
-    """(doc, text) in chunks of bounded size, each in the order of documents."""
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, bytes]]]:
+    """(doc, tag, text) in chunks of bounded size, each in the order of documents."""
     held, size = [], 0
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for doc, tag, text in zip(*(batch.column(c).to_pylist() for c in ("doc", "tag")), batch.column("text"), strict=True):
             raw = text.as_buffer().to_pybytes()
-            held.append((doc, raw))
+            held.append((doc, tag, raw))
             size += len(raw)
             if size >= CHUNK_BYTES:
                 yield sorted(held)
@@ -100,7 +101,7 @@ def common_minimisers(rows: DataFrame, width: int, buckets: int) -> np.ndarray:
         hashes = Hashes()
         for chunk in chunks(batches):
             parts = [nothing]
-            for _, raw in chunk:
+            for _, _, raw in chunk:
                 words = raw.split()
                 if len(words) >= width:
                     found = minimisers(hashes.of(words), width, nothing)
@@ -117,17 +118,22 @@ def common_minimisers(rows: DataFrame, width: int, buckets: int) -> np.ndarray:
     return np.sort(np.array([r for r, n in most.items() if n > limit], np.uint64))
 
 
-def packed(doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> bytes:
-    return zstandard.compress(np.stack([doc, start, size]).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), 3)
+def packed(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, size: np.ndarray) -> bytes:
+    return zstandard.compress(np.stack([doc, tag, start, size]).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), 3)
 
 
 def unpacked(data: bytes) -> np.ndarray:
     raw = np.frombuffer(zstandard.decompress(data), np.uint8)
-    return np.ascontiguousarray(raw.reshape(8, -1).T).view("<i8").reshape(3, -1)
+    return np.ascontiguousarray(raw.reshape(8, -1).T).view("<i8").reshape(4, -1)
 
 
 def marks(rows: DataFrame, width: int) -> DataFrame:
-    """Words to remove, as (doc, start, stop): those of windows that stand earlier too. ``rows``: (doc long, text)."""
+    """Words to remove, as (doc, tag, start, stop): those of windows that stand earlier too.
+
+    ``rows``: (doc long, text), and a ``tag`` (long) where documents of one doc are to be told apart.
+    """
+    if "tag" not in rows.columns:
+        rows = rows.withColumn("tag", F.lit(0).cast("long"))
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * n
     common = common_minimisers(rows, width, buckets)
@@ -142,10 +148,10 @@ def marks(rows: DataFrame, width: int) -> DataFrame:
 
         yield from in_batches(out(), schema, weight=lambda r: 64 + len(r[1]) + len(r[2] or b""))
 
-    def chunk_rows(chunk: list[tuple[int, bytes]], hashes: Hashes) -> Iterator[tuple]:
+    def chunk_rows(chunk: list[tuple[int, int, bytes]], hashes: Hashes) -> Iterator[tuple]:
         first: dict[bytes, int] = {}
         place, value, again = [], [], []
-        for doc, raw in chunk:
+        for doc, tag, raw in chunk:
             words = raw.split()
             if len(words) < width:
                 continue
@@ -155,10 +161,10 @@ def marks(rows: DataFrame, width: int) -> DataFrame:
                 text = b" ".join(words[s : s + k + width - 1])
                 at = first.setdefault(text, len(place))
                 if at == len(place):
-                    place.append((doc, s, k + width - 1))
+                    place.append((doc, tag, s, k + width - 1))
                     value.append(v)
-                elif place[at][:2] < (doc, s):
-                    again.append((doc, s, k + width - 1))
+                elif place[at][:3] < (doc, tag, s):
+                    again.append((doc, tag, s, k + width - 1))
         if again:
             yield (0, packed(*np.array(again, np.int64).T), None)
         if place:
@@ -181,37 +187,45 @@ def marks(rows: DataFrame, width: int) -> DataFrame:
         yield from intervals(held, width)
 
     sent = rows.mapInArrow(cut, "bucket int, places binary, text binary")
-    return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(find, "doc long, start long, stop long")
+    return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(find, "doc long, tag long, start long, stop long")
 
 
 def intervals(held: list[tuple[bytes, bytes | None]], width: int) -> Iterator[pa.RecordBatch]:
     """What a bucket's super-k-mers (and a task's own finds) say to remove."""
     number: dict[bytes, int] = {}
     known = number.setdefault
-    ids, places, docs, starts = [], [], [], []
+    ids, places, docs, tags, starts = [], [], [], [], []
     for place, text in held:
         place = unpacked(place)
         if text is None:
-            for doc, start, size in place.T.tolist():
+            for doc, tag, start, size in place.T.tolist():
                 docs.append(np.full(size - width + 1, doc))
+                tags.append(np.full(size - width + 1, tag))
                 starts.append(np.arange(start, start + size - width + 1))
         else:
             words = zstandard.decompress(text).split()
             ids.append(np.array([known(w, len(number)) for w in words], np.int32))
             places.append(place)
     if ids:
-        doc, start = repeated(np.concatenate(ids), len(number), np.concatenate(places, axis=1), width)
-        docs.append(doc)
+        found = np.concatenate(places, axis=1)
+        order = np.lexsort((found[1], found[0]))
+        new = np.append(False, (np.diff(found[:2, order], axis=1) != 0).any(axis=0))
+        whose = np.empty(len(order), np.int64)
+        whose[order] = np.cumsum(new)  # a document's place in the order of (doc, tag)
+        whose_doc = found[:2, order[np.flatnonzero(np.append(True, new[1:]))]]
+        own, start = repeated(np.concatenate(ids), len(number), np.stack([whose, found[2], found[3]]), width)
+        docs.append(whose_doc[0, own])
+        tags.append(whose_doc[1, own])
         starts.append(start)
     if docs:
-        doc, start = np.concatenate(docs), np.concatenate(starts)
-        order = np.lexsort((start, doc))
-        doc, start = doc[order], start[order]
-        new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + width))) if len(doc) else []
+        doc, tag, start = np.concatenate(docs), np.concatenate(tags), np.concatenate(starts)
+        order = np.lexsort((start, tag, doc))
+        doc, tag, start = doc[order], tag[order], start[order]
+        new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (start[1:] > start[:-1] + width))) if len(doc) else []
         last = np.append(new[1:], len(doc)) - 1 if len(doc) else []
         if len(doc):
-            columns = [doc[new], start[new], start[last] + width]
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["doc", "start", "stop"])
+            columns = [doc[new], tag[new], start[new], start[last] + width]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["doc", "tag", "start", "stop"])
 
 
 def repeated(ids: np.ndarray, words: int, places: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -262,17 +276,23 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     A word goes if a window of ``width`` words that covers it stands earlier too: in a document of smaller doc_id, or
     earlier in its own. Windows are those of the input, not of what is left. Null text has no words; texts shorter than
-    ``width`` words lose none. A null doc_id comes before all others; rows that share a doc_id count as one document
-    given more than once, so they do not remove each other's words. Columns called n_words or n_removed are replaced,
+    ``width`` words lose none. A null doc_id comes before all others. Repeated rows count once, so they do not
+    remove each other's words; different texts of one doc_id are told apart, in the order of a hash. Columns called n_words or n_removed are replaced,
     all others kept. No documents give no rows.
     """
     docs = docs.drop("n_words", "n_removed")
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc")
-    found = marks(docs.select(doc, F.encode(text_of(), "UTF-8").alias("text")), width)
+    # Hashes travel with documents of several texts only: elsewhere the doc_id is enough, and packs well.
+    text_hash = F.xxhash64(text_of())
+    several = docs.select(doc, text_hash.alias("tag")).groupBy("doc").agg(F.min("tag").alias("low"), F.max("tag").alias("high"))
+    several = written(several.where("low < high").select("doc", F.lit(True).alias("several")), "passages-shared-ids")
     names = docs.columns
-    key, begin, end = unused(names, "_doc", "_start", "_stop")
-    by_doc = found.groupBy(F.col("doc").alias(key)).agg(F.collect_list("start").alias(begin), F.collect_list("stop").alias(end))
-    joined = docs.withColumn(key, doc).join(by_doc, key, "left").select(*names, begin, end)
+    key, tag, many, begin, end = unused(names, "_doc", "_tag", "_several", "_start", "_stop")
+    told = docs.withColumn(key, doc).join(several.withColumnsRenamed({"doc": key, "several": many}), key, "left")
+    told = told.withColumn(tag, F.when(F.col(many), text_hash).otherwise(F.lit(0))).select(*names, key, tag)
+    found = marks(told.select(F.col(key).alias("doc"), F.col(tag).alias("tag"), F.encode(text_of(), "UTF-8").alias("text")), width)
+    by_doc = found.groupBy(F.col("doc").alias(key), F.col("tag").alias(tag)).agg(F.collect_list("start").alias(begin), F.collect_list("stop").alias(end))
+    joined = told.join(by_doc, [key, tag], "left").select(*names, begin, end)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

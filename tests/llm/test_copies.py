@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 from helpers import LONG, awkward, none
 
+import corpus_pipeline
 from orewash.llm.lines import doublings, without_repeated_lines
 from orewash.llm.nearcopies import alike, distance, near_classes
 from orewash.llm.substrings import marks, minimisers, repeated, without_repeats
@@ -214,3 +215,22 @@ def test_classes_of_awkward_documents(spark):
     assert len(rows) == docs.count() and got[2] == (1, 2) and got[8] == (7, 2) and got[6] == (6, 2)
     assert got[3][0] == got[4][0] == got[10][0] == 3 and got[9] == (9, 1)
     assert near_classes(none(spark)).count() == 0
+
+
+def test_texts_of_one_doc_id_are_told_apart(spark):
+    rng = random.Random(6)
+    passage = " ".join(f"p{i}" for i in range(25))
+    texts = [" ".join(f"{c}{rng.randrange(10**6)}" for _ in range(60)) for c in "abcd"]
+    with_passage = [" ".join([*t.split()[:10], passage, *t.split()[35:]]) for t in texts[:2]]
+    docs = [(None, with_passage[0]), (None, with_passage[1]), (None, texts[2]), (None, texts[2]), (7, texts[3]), (7, texts[3])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = sorted((r["n_removed"], r["text"]) for r in without_repeats(df).collect())
+    assert [n for n, _ in got] == [0, 0, 0, 0, 0, 25] and got[-1][1] in [" ".join([*t.split()[:10], *t.split()[35:]]) for t in texts[:2]]
+    assert {t for n, t in got if not n} < {*with_passage, *texts[2:]}
+
+    near = [(None, " ".join(["changed", *t.split()[1:]])) for t in texts[:2]] + [(None, t) for t in texts[:3]] + [(None, texts[2])]
+    df = spark.createDataFrame([(*d, "en", None, 0) for d in near], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = near_classes(df).collect()
+    assert sorted(r["copies"] for r in rows) == [2] * 6 and sum(r["leads"] for r in rows) == 4
+    kept = [r["text"] for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()]
+    assert sorted(t.split()[-1] for t in kept) == sorted(t.split()[-1] for t in texts[:3])
