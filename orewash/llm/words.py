@@ -22,7 +22,8 @@ class WordTokens:
     """Texts to ids as little-endian unsigned 32-bit numbers, as the tokenizer's own ``encode`` would give them.
 
     The vocabulary drops white space, and none of its steps looks across it. So a text is cut at ASCII white space, and
-    each distinct cutting goes through the tokenizer's steps once: normal form, lower case, pattern, merges.
+    each distinct cutting goes through the tokenizer's steps once: normal form, lower case, pattern, merges. Cuttings
+    that hold an added token go through ``encode`` itself.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
@@ -34,6 +35,10 @@ class WordTokens:
         self.model = self.tokenizer.model
         ids = np.arange(max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1, dtype="<u4").tobytes()
         self.coded = [ids[i : i + 4] for i in range(0, len(ids), 4)]
+        added = described.get("added_tokens", [])
+        if any(t["content"].split() != [t["content"]] or t["lstrip"] or t["rstrip"] for t in added):
+            raise ValueError("added tokens that hold or take in white space are not supported")
+        self.added = [t["content"] for t in added]
         self.remembered = remembered
         self.cuttings: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -45,10 +50,14 @@ class WordTokens:
         return b"".join([known.get(p) or self.cutting(p) for p in parts])
 
     def cutting(self, part: bytes) -> bytes:
-        text = part.decode("utf-8")
+        raw = text = part.decode("utf-8")
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
         text = lower(text)
+        if any(a in raw or a in text for a in self.added):
+            coded = self.coded
+            self.cuttings[part] = ids = b"".join([coded[i] for i in self.tokenizer.encode(raw, add_special_tokens=False).ids])
+            return ids
         known = self.words
         # Most cuttings are a word, or a word and a mark: no need of the pattern.
         if text.isalpha():

@@ -63,6 +63,16 @@ def test_word_ids_as_the_library(text):
     assert np.frombuffer(TOKENS.ids(text.encode()), "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "endoftext", "|>", " ", "\n", "a", "É", "É", "Σ", "1", "\x85", "日"]), max_size=12).map("".join))
+def test_added_tokens_as_the_library(text):
+    assert np.frombuffer(TOKENS.ids(text.encode()), "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_an_added_token_is_one_id():
+    assert np.frombuffer(TOKENS.ids(b"a <|endoftext|> b"), "<u4").tolist() == [320, 49407, 321]
+
+
 TOKENS, LIBRARY = WordTokens(WORDS), Tokenizer.from_file(WORDS)
 
 
