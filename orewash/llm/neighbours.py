@@ -3,7 +3,8 @@
 A tree splits its vectors by their distance from a vantage point: nearer half, further half. A search may skip a half if
 the triangle inequality says that nothing there can be nearer than the worst neighbour held so far. The inequality is
 relaxed by a factor: a half is skipped if its bound, times the factor, exceeds that worst distance. Factor 1 is exact;
-larger factors skip more. Queries travel to every shard in blocks, and each shard sends back its nearest ones.
+larger factors skip more. Queries travel to every shard, where they stream past its tree by batches, and each shard sends
+back its nearest ones.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from pyspark.sql import functions as F
 
 LEAF = 256
 SHARD_ROWS = 20_000
-BLOCK_ROWS = 512
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -98,32 +98,47 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: float =
     """Each query's ``k`` nearest vectors: query_id, rank (from 1), ``id_col``, score (the Euclidean distance).
 
     Rows that are null, zero or not finite take no part on either side, nor does a query's own row; vectors must be of
-    one length. Repeated rows of an id are candidates each for itself. If there are fewer candidates than ``k`` all are
+    one length. Repeated rows of an id are candidates each for itself. Repeated queries count once; different vectors of
+    one id are queries each for itself, with ``k`` ranks each under the same query_id. If there are fewer candidates than ``k`` all are
     returned; without queries or candidates there are no rows. Every vector is in one shard's tree, of about
     ``SHARD_ROWS`` vectors by a hash of its id and itself, so even one id that many rows share is spread.
     """
     points = usable(vectors, id_col, vector_col)
     shards = max(1, math.ceil(points.count() / SHARD_ROWS))
-    asked = usable(queries, id_col, vector_col)
-    blocks = max(1, math.ceil(asked.count() / BLOCK_ROWS))
-    # Queries go to all shards, in blocks; that is the product of two small numbers of blocks, not of rows.
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    sent = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select("shard", block.alias("block"), "id", "vector")
-    dealt = points.select(F.pmod(F.xxhash64("id", "vector"), F.lit(shards)).cast("int").alias("shard"), "id", "vector")
-
-    def search(own: pa.Table, others: pa.Table) -> pa.Table:
-        out = {"query_id": [], "id": [], "score": []}
-        if own.num_rows and others.num_rows:
-            tree = Tree(*as_arrays(own))
-            for query_id, query in zip(*as_arrays(others), strict=True):
-                ids, found = tree.search(query_id, query, k, factor)
-                out["query_id"] += [query_id] * len(ids)
-                out["id"] += ids.tolist()
-                out["score"] += found.tolist()
-        return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "id": pa.array(out["id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
-
-    per_shard = dealt.groupBy("shard").cogroup(sent.groupBy("shard")).applyInArrow(search, "query_id long, id long, score double")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))
+    asked = usable(queries, id_col, vector_col).distinct().withColumns({"q1": F.xxhash64("vector"), "q2": F.xxhash64(F.lit(1), "vector")})
+    sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("role"), "id", "vector", "q1", "q2")
+    none = F.lit(None).cast("long")
+    dealt = points.select(
+        F.pmod(F.xxhash64("id", "vector"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("role"), "id", "vector", none.alias("q1"), none.alias("q2")
+    )
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A shard's vectors come first (role 0) and make its tree, its queries follow and are not held."""
+        shard, held, tree = None, [], None
+        for batch in batches:
+            shard_of, role = batch.column("shard").to_numpy(), batch.column("role").to_numpy()
+            edges = np.flatnonzero(np.append(True, (shard_of[1:] != shard_of[:-1]) | (role[1:] != role[:-1]))) if len(role) else []
+            for start, stop in zip(edges, [*edges[1:], len(role)], strict=True):
+                part = batch.slice(start, stop - start)
+                if shard_of[start] != shard:
+                    shard, held, tree = shard_of[start], [], None
+                ids, vectors = as_arrays(part)
+                if role[start] == 0:
+                    held.append((ids, vectors))
+                    continue
+                if held:
+                    tree, held = Tree(*(np.concatenate(x) for x in zip(*held, strict=True))), []
+                if tree is None:
+                    continue
+                found = [tree.search(i, v, k, factor) for i, v in zip(ids, vectors, strict=True)]
+                times = np.repeat(np.arange(len(ids)), [len(x) for x, _ in found])
+                columns = [ids[times], *(part.column(c).to_numpy()[times] for c in ("q1", "q2")), *(np.concatenate(x) for x in zip(*found, strict=True))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "q1", "q2", "id", "score"])
+
+    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_shard = dealt.unionByName(sent).repartition(n, "shard").sortWithinPartitions("shard", "role")
+    per_shard = by_shard.mapInArrow(search, "query_id long, q1 long, q2 long, id long, score double")
+    place = F.row_number().over(Window.partitionBy("query_id", "q1", "q2").orderBy("score", "id"))
     return (
         per_shard.withColumn("rank", place)
         .where(F.col("rank") <= k)

@@ -216,3 +216,16 @@ def test_neighbours_exact_and_relaxed(spark):
     assert sum((q, v) in relaxed for q, found in got.items() for _, v, _ in found) >= 0.9 * 120
     assert nearest(vectors.limit(0), asked).count() == 0 and nearest(vectors, asked.limit(0)).count() == 0
     assert nearest(vectors.where("vec_id < 4"), asked.where("vec_id = 0")).count() == 3
+
+
+def test_repeated_queries_count_once(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, p.tolist()) for i, p in enumerate(rng.normal(size=(300, 8)))]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    once = vectors.where("vec_id in (5, 6)")
+    want = sorted(map(tuple, nearest(vectors, once).collect()))
+    many = once.crossJoin(spark.range(12)).drop("id")
+    assert sorted(map(tuple, nearest(vectors, many).collect())) == want and len(want) == 20
+    other = vectors.where("vec_id = 7").withColumn("vec_id", F.lit(5).cast("long"))
+    got = [tuple(r) for r in nearest(vectors, many.unionByName(other)).collect()]
+    assert len(got) == 30 and set(want) < set(got) and sum(q == 5 and v == 7 and s == 0 for q, _, v, s in got) == 1
