@@ -22,6 +22,7 @@ from orewash.scratch import written
 KEY_BITS = 60
 FIRST_BITS = 12
 STEP_BITS = 6
+FEW_GROUPS = 1 << 14  # so many are looked at one by one at once
 
 
 @dataclass(frozen=True)
@@ -53,7 +54,7 @@ def summed(groups: DataFrame, large: list[tuple[int, int]], bits: int, within: t
     """Groups summed over key ranges of ``bits`` bits, within the given ranges of more bits (in all, if none given).
 
     The ``large`` groups (key, size; sorted) are left out, and split the range that they stand in. At most 2^FIRST_BITS
-    rows and one for each of these come back at first, later 2^STEP_BITS for each range that is opened.
+    rows and one for each of these come back at first, later 2^STEP_BITS for each range that is opened, or FEW_GROUPS.
     """
     if within is not None:
         groups = groups.where(F.shiftright("key", within[0]).isin(within[1]))
@@ -195,7 +196,7 @@ def cut_keys(groups: DataFrame, shards: int) -> list[int]:
         # Atoms of one range that a large group splits are opened together.
         ranges = np.unique(atoms.key[open_ & (atoms.bits == widest)] >> widest)
         gone = (atoms.bits == widest) & np.isin(atoms.key >> widest, ranges)
-        bits = max(0, widest - STEP_BITS)
+        bits = 0 if atoms.groups[gone].sum() <= FEW_GROUPS else max(0, widest - STEP_BITS)
         atoms = merged(atoms, gone, summed(groups, large, bits, (widest, ranges.tolist())))
 
 
