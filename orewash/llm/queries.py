@@ -12,6 +12,7 @@ from orewash.llm.bpe import decode, encode
 from orewash.llm.common import table
 from orewash.llm.conversations import reply_ordered
 from orewash.llm.fingerprints import as_text, containment, distinct_shingles, fingerprint_documents
+from orewash.llm.language import languages
 from orewash.llm.lines import without_repeated_lines
 from orewash.llm.nearcopies import near_classes
 from orewash.llm.neighbours import nearest
@@ -19,8 +20,10 @@ from orewash.llm.packing import pack_documents
 from orewash.llm.sharding import shard_by_bytes
 from orewash.llm.substrings import without_repeats
 from orewash.llm.toxicity import held_out, toxicity
+from orewash.llm.whitening import whiten
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 NEIGHBOUR_FACTOR = 1.3  # at 1 the search is exact; at 1.3 it still found every true neighbour of the test tables
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -84,6 +87,21 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10, factor=NEIGHBOUR_FACTOR)
 
 
+def op11_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return languages(docs, PIECES).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    by_component = F.posexplode(F.arrays_zip("white", "explained")).alias("at", "of")
+    return white.select("vec_id", "n", "deviation", "identity_error", by_component).select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", F.col("deviation").try_cast("long").alias("deviation"),
+        F.col("of.white").alias("whitened"), F.col("of.explained").alias("explained"), "identity_error",
+        F.col("deviation").alias("deviation_exact"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_substrings": op2_substrings,
@@ -95,6 +113,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_conversations": op9_conversations,
     "op10_neighbours": op10_neighbours,
+    "op11_languages": op11_languages,
+    "op12_whitening": op12_whitening,
 }
 
 ORACLES: dict[str, str] = {}
