@@ -56,6 +56,7 @@ def pieces(docs: DataFrame, tokenizer: str, max_length: int = MAX_LENGTH, tail_u
                         start += length
 
         yield from in_batches(rows(), out, weight=lambda r: 64 + (4 * r[2] if with_ids else 0))
+        tokens.forget()
 
     source = docs.select(F.col("doc_id").cast("long"), F.encode(text_of(), "UTF-8").alias("text"))
     return source.mapInArrow(cut, PIECE + (", ids array<int>" if with_ids else ""))

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orewash.llm import sql
 from orewash.llm.bpe import decode, encode
 from orewash.llm.common import table
 from orewash.llm.conversations import reply_ordered
@@ -15,6 +16,7 @@ from orewash.llm.fingerprints import as_text, containment, distinct_shingles, fi
 from orewash.llm.language import languages
 from orewash.llm.lines import without_repeated_lines
 from orewash.llm.nearcopies import near_classes
+from orewash.llm.negatives import hard_negatives
 from orewash.llm.neighbours import nearest
 from orewash.llm.packing import pack_documents
 from orewash.llm.sharding import shard_by_bytes
@@ -102,6 +104,12 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", moved), F.col("id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_substrings": op2_substrings,
@@ -115,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_neighbours": op10_neighbours,
     "op11_languages": op11_languages,
     "op12_whitening": op12_whitening,
+    "op13_negatives": op13_negatives,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = sql.ORACLES

@@ -26,7 +26,8 @@ from orewash.scratch import written
 
 WIDTH = 20
 MARK = 4
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
+BUCKET_ROWS = 40_000  # super-k-mers that a bucket is to hold, on average
 COMMON_IN_CHUNK = 8
 MOST_COMMON = 4096
 NO_ID = -(1 << 63)
@@ -41,7 +42,7 @@ class Hashes(dict):
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         return np.array([self[w] for w in words], np.uint64)
 
@@ -89,11 +90,11 @@ def runs_of(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(found)))
 
 
-def common_minimisers(rows: DataFrame, width: int, buckets: int) -> np.ndarray:
-    """Minimisers of so many super-k-mers that they would make a bucket hot: ``MOST_COMMON`` at most.
+def common_minimisers(rows: DataFrame, width: int, least_buckets: int) -> tuple[np.ndarray, int]:
+    """Minimisers of so many super-k-mers that they would make a bucket hot, ``MOST_COMMON`` at most; and the number of buckets.
 
     Counts of a chunk are left out where they are below ``COMMON_IN_CHUNK``; this bears on the balance of buckets only,
-    never on what is found.
+    never on what is found. Buckets grow in number with the super-k-mers, so that one does not grow in size.
     """
     nothing = np.zeros(0, np.uint64)
 
@@ -114,8 +115,10 @@ def common_minimisers(rows: DataFrame, width: int, buckets: int) -> np.ndarray:
 
     counts = rows.mapInArrow(count, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
     most = {r["run"]: r["n"] for r in counts.orderBy(F.desc("n")).limit(MOST_COMMON).collect()}
-    limit = max(COMMON_IN_CHUNK, most.pop(0, 0) // (16 * buckets))
-    return np.sort(np.array([r for r, n in most.items() if n > limit], np.uint64))
+    total = most.pop(0, 0)
+    buckets = max(least_buckets, -(-total // BUCKET_ROWS))
+    limit = max(COMMON_IN_CHUNK, total // (16 * buckets))
+    return np.sort(np.array([r for r, n in most.items() if n > limit], np.uint64)), buckets
 
 
 def packed(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, size: np.ndarray) -> bytes:
@@ -135,8 +138,7 @@ def marks(rows: DataFrame, width: int) -> DataFrame:
     if "tag" not in rows.columns:
         rows = rows.withColumn("tag", F.lit(0).cast("long"))
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * n
-    common = common_minimisers(rows, width, buckets)
+    common, buckets = common_minimisers(rows, width, 4 * n)
     schema = pa.schema([("bucket", pa.int32()), ("places", pa.binary()), ("text", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,8 +167,11 @@ def marks(rows: DataFrame, width: int) -> DataFrame:
                     value.append(v)
                 elif place[at][:3] < (doc, tag, s):
                     again.append((doc, tag, s, k + width - 1))
-        if again:
-            yield (0, packed(*np.array(again, np.int64).T), None)
+        if again:  # no need to meet others: spread by document
+            found = np.array(again, np.int64).T
+            bucket = (mixed(found[0].view(np.uint64) ^ found[1].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            for b in np.unique(bucket).tolist():
+                yield (b, packed(*found[:, bucket == b]), None)
         if place:
             texts = list(first)
             places = np.array(place, np.int64).T
@@ -187,7 +192,7 @@ def marks(rows: DataFrame, width: int) -> DataFrame:
         yield from intervals(held, width)
 
     sent = rows.mapInArrow(cut, "bucket int, places binary, text binary")
-    return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(find, "doc long, tag long, start long, stop long")
+    return sent.repartitionById(n, "bucket").sortWithinPartitions("bucket").mapInArrow(find, "doc long, tag long, start long, stop long")
 
 
 def intervals(held: list[tuple[bytes, bytes | None]], width: int) -> Iterator[pa.RecordBatch]:
@@ -275,8 +280,8 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` with n_words, n_removed, and as text the words that are left, joined by one space.
 
     A word goes if a window of ``width`` words that covers it stands earlier too: in a document of smaller doc_id, or
-    earlier in its own. Windows are those of the input, not of what is left. Null text has no words; texts shorter than
-    ``width`` words lose none. A null doc_id comes before all others. Repeated rows count once, so they do not
+    earlier in its own. Windows are those of the input, not of what is left. Whole texts count, however long. Null text has
+    no words; texts shorter than ``width`` words lose none. A null doc_id comes before all others. Repeated rows count once, so they do not
     remove each other's words; different texts of one doc_id are told apart, in the order of a hash. Columns called n_words or n_removed are replaced,
     all others kept. No documents give no rows.
     """

@@ -12,9 +12,8 @@ import math
 import zlib
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orewash.llm.common import text_of
+from orewash.scratch import written
 
 SAMPLE = 4_000  # labelled documents of each class, at most
 SAMPLE_CHARS = 20_000  # longer texts are scored, but not learnt from
@@ -38,7 +38,7 @@ RIDGE = 0.003  # an n-gram in this share of the sampled texts is halved by the r
 GRAMS = (4, 5, 7)
 MARKS = ".,;:!?\"'()[]{}<>*#%&$-_~|/\\"
 FOLDS = 5
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 
 def grams(word: str, buckets: int = BUCKETS) -> list[int]:
@@ -57,13 +57,12 @@ class Model:
     bias: float
 
 
-def train(texts: list[str], toxic: list[int], prior: float) -> Model:
-    """Vectors and softmax fitted to the texts, a sample that is held whole. Of one class only, ``prior`` is every text's score."""
-    if len(set(toxic)) < 2:
-        return Model(np.zeros(BUCKETS, np.float32), logit(prior))
+def train(labelled: Iterable[tuple[str, int]], prior: float) -> Model:
+    """Vectors and softmax fitted to (text, toxic), of which the counts of words are held. Of one class only, ``prior`` is every text's score."""
     number: dict[str, int] = {}
-    gram, size, documents = array("i"), array("i"), []
-    for text in texts:
+    gram, size, documents, toxic = array("i"), array("i"), [], []
+    for text, label in labelled:
+        toxic.append(label)
         words = Counter(text.split())
         for w in words:
             if number.setdefault(w, len(number)) == len(size):
@@ -73,6 +72,8 @@ def train(texts: list[str], toxic: list[int], prior: float) -> Model:
         ids = np.fromiter((number[w] for w in words), np.int32, len(words))
         documents.append((ids, np.sqrt(np.fromiter(words.values(), np.float32, len(words)))))
     number.clear()
+    if len(set(toxic)) < 2:
+        return Model(np.zeros(BUCKETS, np.float32), logit(prior))
     gram, size = np.array(gram, np.int32), np.array(size, np.int64)
     first = np.cumsum(size) - size
     owner_of = np.repeat(np.arange(len(size)), size)
@@ -151,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of the labels outside the held-out fold, from at most ``sample`` documents of each class.
 
     The sample is taken in the order of a hash of doc_id. Labels that are null say nothing; a document labelled more than
-    once is toxic if any label says so.
+    once is toxic if any label says so; of a doc_id that several rows share, the text of smallest hash is learnt from.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
@@ -159,13 +160,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     chosen = known.where("toxic = 1").orderBy(*by_hash).limit(sample).unionByName(known.where("toxic = 0").orderBy(*by_hash).limit(sample))
     fitting = docs.select("doc_id", text_of().alias("text")).where(F.length("text").between(1, SAMPLE_CHARS))
-    rows = fitting.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").collect()  # at most 2 * sample, by contract
+    # One row for each doc_id, so at most 2 * sample in all; they stream to the driver and are counted there one by one.
+    one = fitting.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = written(one.orderBy("doc_id"), "toxicity-sample").orderBy("doc_id").toLocalIterator()
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
-    return train([r["text"] for r in rows], [r["toxic"] for r in rows], prior)
+    return train(((r["text"], r["toxic"]) for r in rows), prior)
 
 
 class Scorer:
-    """Scores texts in a worker process, remembering what words amount to."""
+    """Scores texts in a task, remembering what words amount to."""
 
     def __init__(self, model: Model):
         self.model = model
@@ -187,11 +190,6 @@ class Scorer:
         return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
-@lru_cache(maxsize=1)
-def scorer(weights: bytes, bias: float) -> Scorer:
-    return Scorer(Model(np.frombuffer(weights, np.float32), bias))
-
-
 def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
     """``docs`` with the score (0 to 1) of each whole text. Null and empty texts get the model's bias alone.
 
@@ -202,7 +200,7 @@ def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = scorer(sent.value, bias)
+        by = Scorer(Model(np.frombuffer(sent.value, np.float32), bias))
         for batch in batches:
             texts = batch.column("text")
             found = [by.score(str(t.as_buffer(), "utf-8") if t.is_valid else "") for t in texts]
@@ -216,6 +214,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     """Documents with ``score`` and ``predicted`` (1 from a score of 0.5), by a model fitted to ``labels``.
 
     Labels serve learning alone. Without labels of both classes every score is the share of toxic labels (nearly 0 if
-    there are none). No documents give no rows; repeated rows get the same score.
+    there are none). Whole texts are scored, however long; null and empty ones get the model's bias alone. No documents
+    give no rows; repeated rows get the same score. Other columns are kept; ones called score or predicted are replaced.
     """
     return score(docs, fit(docs, labels, sample)).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

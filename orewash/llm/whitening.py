@@ -123,16 +123,16 @@ def components(covariance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # --- the tables' part --------------------------------------------------------------------------------------------
 
 
-def whole_numbers(vectors: DataFrame, vector_col: str, x: str) -> DataFrame:
-    """``vectors`` with ``x``, the entries as whole numbers, without the rows whose vector is null or has a null or non-finite entry.
+def whole_numbers(vectors: DataFrame, vector_col: str, x: str, scale: int = SCALE, shift: int = SHIFT) -> DataFrame:
+    """``vectors`` with ``x``, the entries c as whole numbers floor(scale*c) + shift, without the rows whose vector is null or has a null or non-finite entry.
 
     Empty vectors have nothing to whiten and go as well. An entry too large for an exact whole number is an error.
     """
     entry = F.col(vector_col).cast("array<double>")
     finite = F.forall(entry, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     fine = vectors.where(F.col(vector_col).isNotNull() & (F.size(vector_col) > 0) & finite)
-    scaled = F.transform(entry, lambda c: F.floor(F.when(F.abs(c) < MOST / SCALE, c * SCALE).otherwise(F.raise_error(F.lit("an embedding's entry is too large")))) + SHIFT)
-    return fine.withColumn(x, scaled)
+    error = F.raise_error(F.lit("an embedding's entry is too large")).cast("double")
+    return fine.withColumn(x, F.transform(entry, lambda c: F.floor(F.when(F.abs(c) < MOST / scale, c * scale).otherwise(error)) + shift))
 
 
 def matrix(column) -> np.ndarray:

@@ -10,7 +10,7 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer, pre_tokenizers
 
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 
 
 def lower(text: str) -> str:
@@ -43,6 +43,11 @@ class WordTokens:
         self.cuttings: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Let go of all words, so that memory is not held from task to task."""
+        self.cuttings.clear()
+        self.words.clear()
+
     def ids(self, text: bytes) -> bytes:
         known, parts = self.cuttings, text.split()
         if len(known) > self.remembered:
@@ -81,5 +86,5 @@ class WordTokens:
 
 @lru_cache(maxsize=2)
 def word_tokens(path: str) -> WordTokens:
-    """One for a worker process, which keeps the words it has seen from task to task."""
+    """One for a worker process, as the file takes long to read; a task that is done should have it ``forget``."""
     return WordTokens(path)

@@ -90,30 +90,8 @@ def test_marks_are_intervals(spark):
     assert covered == {(2, i) for i in range(1, 27)}
 
 
-def plain_lines(docs, least=10):
-    one, two, out = {}, {}, {}
-    for doc, text in sorted(docs):
-        lines = text.split("\n")
-        gone = [False] * len(lines)
-        for i, line in enumerate(lines):
-            if one.setdefault(line, (doc, i)) != (doc, i) and len(line) >= least:
-                gone[i] = True
-            pair = tuple(lines[i : i + 2])
-            if len(pair) == 2 and two.setdefault(pair, (doc, i)) != (doc, i) and len("".join(pair)) >= least:
-                gone[i] = gone[i + 1] = True
-        out[doc] = (len(lines), sum(gone), "\n".join(x for x, g in zip(lines, gone) if not g))
-    return out
-
-
-def test_lines_against_a_plain_version(spark):
-    texts = [t.replace(" ", "\n") for t in random_texts(3, 150, ["short", "", "a line long enough".replace(" ", "_"), "another_long_line", "tiny", "x_y_z_x_y_z_w"], 30)]
-    docs = list(enumerate(texts))
-    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["text"]) for r in without_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert got == plain_lines(docs)
-
-
 def all_line_runs(docs, least=10):
-    """As plain_lines, but every run of any length is tried; with the longest run as a power of two."""
+    """Every run of any length is tried; with the longest run as a power of two."""
     seen, out = {}, {}
     for doc, text in sorted(docs):
         lines = text.split("\n")
@@ -127,6 +105,13 @@ def all_line_runs(docs, least=10):
     return out
 
 
+def test_lines_against_a_plain_version(spark):
+    texts = [t.replace(" ", "\n") for t in random_texts(3, 150, ["short", "", "a line long enough".replace(" ", "_"), "another_long_line", "tiny", "x_y_z_x_y_z_w"], 30)]
+    docs = list(enumerate(texts))
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["longest_run"], r["text"]) for r in without_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == all_line_runs(docs)
+
+
 def test_runs_of_many_short_lines_go(spark):
     tokens = [f"{i:x}" for i in range(60)]
     docs = [(i, "\n".join([f"a title of its own {i}", *tokens, f"an end of its own {i}"])) for i in range(5)]
