@@ -27,7 +27,8 @@ from orewash.sinks.files import (
 )
 from orewash.sinks.warehouse import load_warehouse
 from orewash.sources.audit import landing_audit, routed
-from orewash.sources.landing import file_kind, landing_frames
+from orewash.sources.files import file_kind
+from orewash.sources.landing import landing_frames
 from orewash.sources.silver import read_silver, read_silver_tables
 from orewash.specs import EVENTS, GOLD_DDL, GOLD_MUST_EXIST, SPECS, TRANSACTIONS, USERS, DatasetSpec
 

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orewash.operators.split import Split
-from orewash.sources.landing import CUT_OFF, damaged_files, listing
+from orewash.sources.files import listing
+from orewash.sources.landing import CUT_OFF, damaged_files
 
 # File names that mark bookkeeping files, and the accepted endings.
 BOOKKEEPING = ("_success", ".crc")

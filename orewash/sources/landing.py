@@ -1,194 +1,112 @@
 """Reading a landing folder that mixes Parquet, JSON lines and delimited text, plain or gzipped.
 
 Text is read without inference, every column a string, so formats and drifting types never clash. Parquet keeps its
-types. The folder is listed once; each format present is read with one reader.
+types, and files whose types clash are read apart. JSON files are one scan, all other text is one scan, whatever its
+headers, and Parquet is as many as its types ask for.
 """
 
 from __future__ import annotations
 
-import csv
 import zlib
-from collections.abc import Iterable, Iterator, Sequence
-from functools import reduce
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
-from urllib.parse import unquote
 
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from orewash.functions import text_of
-from orewash.operators.columns import plain_name, plain_names, quoted
+from orewash.operators.columns import plain_names, quoted
 from orewash.operators.dedupe import union_by_name
+from orewash.sources.delimited import bare_name, read_text, spellings
+from orewash.sources.files import CSV_GLOB, JSON_GLOB, Where, can_open, file_kind, listing, opened, paths_of, reader
+from orewash.sources.typed import read_parquet
 from orewash.specs import CORRUPT, DatasetSpec
 
-# Which file names hold which format.
-PARQUET_ENDINGS = (".parquet",)
-JSON_ENDINGS = (".json", ".ndjson", ".json.gz", ".ndjson.gz", ".json.txt", ".ndjson.txt")
-CSV_ENDINGS = (".csv",)
-LOOSE_ENDINGS = (".gz", ".txt")
-
-
-def _glob(endings: Iterable[str]) -> str:
-    """The names with one of the endings, in whatever case: ``*{.[cC][sS][vV]}``."""
-    return "*{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in endings) + "}"
-
-
-PARQUET_GLOB, JSON_GLOB, CSV_GLOB = map(_glob, (PARQUET_ENDINGS, JSON_ENDINGS, CSV_ENDINGS))
-
-_MISSING_PATH = ("PATH_NOT_FOUND", "PATH_NOT_EXISTS")
-
-
-def _reader(spark: SparkSession, glob: str | None = None) -> DataFrameReader:
-    return spark.read.option("pathGlobFilter", glob) if glob else spark.read
+CUT_OFF = "gzip cut off"
+_DAMAGE = pa.schema([("path", pa.string()), ("damage", pa.string())])
+_STEP = 1 << 20
 
 
-def damaged_files(spark: SparkSession, folder: str | Sequence[str]) -> DataFrame:
+def damaged_files(spark: SparkSession, where: Where) -> DataFrame:
     """The gzip and Parquet files that cannot be read to their end: ``(path, damage)``.
 
-    Each file is read whole, in one task, so nothing of a file that is cut off passes for all of it. Plain text has no
-    end of its own and cannot be told to be cut off.
+    Each file is read to its end by one task, step by step, so nothing of a file that is cut off passes for all of it.
+    Where only Spark knows the file system, a task holds the packed file. Plain text has no end of its own and cannot be
+    told to be cut off.
     """
-    files = spark.read.format("binaryFile").load(folder if isinstance(folder, str) else list(folder))
-    packed = files.where(F.lower("path").rlike(r"\.(gz|parquet)$") & (F.col("length") > 0)).select("path", "content")
+    files = listing(spark, where)
+    packed = F.lower("path").rlike(r"\.(gz|parquet)$") & (F.col("length") > 0)
+    files = files.where(packed)
+    first = files.first()
+    direct = first is None or can_open(first["uri"])
+    if not direct:
+        whole = spark.read.format("binaryFile").load(paths_of(where)).where(packed)
+        files = whole.select("path", F.col("_metadata.file_path").alias("uri"), "content")
 
     def read_to_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            paths = batch.column("path").to_pylist()
-            faults = [_damage(p, c.as_buffer()) for p, c in zip(paths, batch.column("content"), strict=True)]
-            found = [(p, f) for p, f in zip(paths, faults, strict=True) if f]
+            found = []
+            for i, (path, uri) in enumerate(zip(batch.column("path").to_pylist(), batch.column("uri").to_pylist(), strict=True)):
+                with opened(uri) if direct else pa.BufferReader(batch.column("content")[i].as_buffer()) as file:
+                    fault = _damage(path, file)
+                if fault:
+                    found.append((path, fault))
             yield pa.RecordBatch.from_pydict({"path": [p for p, _ in found], "damage": [f for _, f in found]}, _DAMAGE)
 
-    return packed.mapInArrow(read_to_end, "path string, damage string")
+    return files.mapInArrow(read_to_end, "path string, damage string")
 
 
-_DAMAGE = pa.schema([("path", pa.string()), ("damage", pa.string())])
-_STEP = 1 << 20
-CUT_OFF = "gzip cut off"
-
-
-def _damage(path: str, content: pa.Buffer) -> str | None:
+def _damage(path: str, file: pa.NativeFile) -> str | None:
     """What keeps a file from being read to its end, if anything does."""
     if path.lower().endswith(".parquet"):
         try:
-            for _ in pq.ParquetFile(pa.BufferReader(content)).iter_batches():
+            for _ in pq.ParquetFile(file).iter_batches():
                 pass
         except (pa.ArrowException, OSError) as error:
             return f"unreadable Parquet: {str(error).splitlines()[0][:80]}"
         return None
-    at, size, view = 0, content.size, memoryview(content)
+    member, data = None, file.read(_STEP)
     try:
-        while at < size:  # one member of the file after another
-            member, start = zlib.decompressobj(31), at
-            while not member.eof and at < size:
-                member.decompress(view[at : at + _STEP])
-                at += len(view[at : at + _STEP])
-            at -= len(member.unused_data)
-            if not member.eof:
-                return CUT_OFF
-            if at == start:
-                break
+        while data:  # one member of the file after another
+            member = member or zlib.decompressobj(31)
+            member.decompress(data)
+            data = member.unused_data
+            if member.eof:
+                member = None
+            data = data or file.read(_STEP)
     except zlib.error:
         return "not sound gzip"
-    return None
-
-
-def listing(spark: SparkSession, folder: str | Sequence[str]) -> DataFrame | None:
-    """The files of a folder as ``(path, length, modificationTime)``, contents unread; None if it does not exist."""
-    try:
-        files = spark.read.format("binaryFile").load(folder if isinstance(folder, str) else list(folder))
-    except AnalysisException as error:
-        if error.getCondition() in _MISSING_PATH:
-            return None
-        raise
-    return files.select("path", "length", "modificationTime")
-
-
-def file_kind(path: Column) -> Column:
-    """``parquet``, ``json``, ``csv`` or ``loose`` (text to be told by its first line); null for any other name."""
-    name = F.lower(path)
-
-    def ends(endings: Iterable[str]) -> Column:
-        return reduce(lambda a, b: a | b, (F.endswith(name, F.lit(e)) for e in endings))
-
-    return (
-        F.when(ends(PARQUET_ENDINGS), "parquet")
-        .when(ends(JSON_ENDINGS), "json")
-        .when(ends(CSV_ENDINGS), "csv")
-        .when(ends(LOOSE_ENDINGS), "loose")
-    )
-
-
-def first_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """The first non-blank line of every file, ``(path, line)``.
-
-    Only the opening block of each file is kept, and each task reduces it to one line per file before the shuffle.
-    Collecting the block starts makes Spark aggregate in a hash table; text alone it would sort first.
-    """
-    lines = _reader(spark).text(list(paths)).select(
-        "value", "_metadata.file_path", "_metadata.file_block_start"
-    )
-    opening = lines.where((F.col("file_block_start") == 0) & (F.trim("value") != ""))
-    return (
-        opening.withColumn("at", F.monotonically_increasing_id())
-        .groupBy(F.col("file_path").alias("path"))
-        .agg(F.min_by("value", "at").alias("line"), F.collect_set("file_block_start").alias("starts"))
-        .where(F.size("starts") == 1)
-        .select("path", "line")
-    )
-
-
-def _spellings(column: str) -> list[str]:
-    """The column name and the raw names that :func:`plain_name` turns into it."""
-    return list(dict.fromkeys([column, column.replace("_", " "), column.replace("_", "."), f"`{column}`"]))
+    return CUT_OFF if member else None
 
 
 def _text_schema(names: Iterable[str]) -> StructType:
     return StructType([StructField(n, StringType()) for n in names])
 
 
-def read_parquet(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Parquet files with their own types; columns that only some files have are kept."""
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    reader = _reader(spark, PARQUET_GLOB).option("mergeSchema", True)
-    return plain_names(reader.parquet(*paths))
-
-
-def read_json_lines(
-    spark: SparkSession,
-    paths: str | Sequence[str],
-    spec: DatasetSpec,
-    glob: str | None = JSON_GLOB,
-) -> DataFrame:
+def read_json_lines(spark: SparkSession, where: Where, spec: DatasetSpec, glob: str | None = JSON_GLOB) -> DataFrame:
     """JSON lines as text columns; nested values stay JSON text, lines that do not parse go to the corrupt column."""
-    spellings = {c: _spellings(c) for c in spec.columns}
-    schema = _text_schema([*(s for names in spellings.values() for s in names), CORRUPT])
-    reader = _reader(spark, glob).schema(schema)
-    reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-    df = reader.json(paths if isinstance(paths, str) else list(paths))
-    return df.select(*(F.coalesce(*map(quoted, names)).alias(c) for c, names in spellings.items()), CORRUPT)
+    names = {c: spellings(c) for c in spec.columns}
+    schema = _text_schema([*(s for of in names.values() for s in of), CORRUPT])
+    json = reader(spark, glob).schema(schema)
+    json = json.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+    df = json.json(paths_of(where))
+    return df.select(*(F.coalesce(*map(quoted, of)).alias(c) for c, of in names.items()), CORRUPT)
 
 
-def read_delimited(
-    spark: SparkSession,
-    paths: str | Sequence[str],
-    columns: Sequence[str],
-    header: bool,
-    glob: str | None = None,
-) -> DataFrame:
-    """Comma-separated files that all have ``columns`` in this order, as text.
+def read_same_header(spark: SparkSession, where: Where, columns: list[str]) -> DataFrame:
+    """``.csv`` files that all have ``columns`` in this order, as text.
 
     Short lines are filled with null. Lines with a value beyond the last column are kept whole in the corrupt column.
     """
     unique = [c if c not in columns[:i] else f"{c}__{i}" for i, c in enumerate(columns)]
-    reader = _reader(spark, glob).schema(_text_schema([*unique, CORRUPT]))
-    reader = reader.option("header", header).option("enforceSchema", True)
-    reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-    reader = reader.option("columnPruning", False)  # a line's length shows only if all of it is parsed
-    rows = reader.csv(paths if isinstance(paths, str) else list(paths))
+    files = reader(spark, CSV_GLOB).schema(_text_schema([*unique, CORRUPT]))
+    files = files.option("header", True).option("enforceSchema", True)
+    files = files.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+    files = files.option("columnPruning", False)  # a line's length shows only if all of it is parsed
+    rows = files.csv(paths_of(where))
     # The parser sets aside lines of any other length; only those are looked at again, for a value too many.
     wider = ", ".join(f"c{i} string" for i in range(len(unique) + 1))
     surplus = F.from_csv(F.col(CORRUPT), F.lit(wider))[f"c{len(unique)}"]
@@ -196,52 +114,22 @@ def read_delimited(
     return plain_names(rows.withColumn(CORRUPT, corrupt))
 
 
-def _fields(line: str) -> list[str]:
-    return next(csv.reader([line.lstrip("\ufeff")]), [])
-
-
-def _is_header(fields: Iterable[str], spec: DatasetSpec) -> bool:
-    """Whether a line names columns: the dataset's key is among them, or each is a different canonical or drift name."""
-    names = [plain_name(f) for f in fields if f.strip()]
-    if spec.key in names:
-        return True
-    canonical = [n in spec.columns for n in names]
-    drift = [n.startswith("extra_") for n in names]
-    return len(names) > 1 and any(canonical) and all(map(max, canonical, drift)) and len(set(names)) == len(names)
-
-
-def _text_groups(spark: SparkSession, paths: Sequence[str], spec: DatasetSpec) -> dict[tuple, list[str]]:
-    """File paths by layout: ``("json",)``, ``("header", names…)`` or ``("bare",)`` for text without a header."""
-    groups: dict[tuple, list[str]] = {}
-    for row in first_lines(spark, paths).collect():  # one short row per file, like Spark's own file index
-        path, line = unquote(row["path"]), row["line"]
-        fields = _fields(line)
-        if line.lstrip().startswith("{"):
-            layout: tuple = ("json",)
-        elif _is_header(fields, spec) or path.lower().endswith(".csv"):
-            layout = ("header", *fields)
-        else:
-            layout = ("bare",)
-        groups.setdefault(layout, []).append(path)
-    return groups
-
-
 class Source(NamedTuple):
-    """One reader over the landing files: its rows, and for JSON the raw lines."""
+    """One reader over the landing files: its rows, and the names (``column``) that the files themselves give to columns."""
 
     kind: str
     rows: DataFrame
-    lines: DataFrame | None = None
+    names: DataFrame
 
 
 def landing_sources(
     spark: SparkSession,
-    folder: str | Sequence[str],
+    where: Where,
     spec: DatasetSpec,
     one_header: bool = False,
     skip_damaged: bool = False,
 ) -> list[Source]:
-    """One source per format and layout found in ``folder`` (a folder, or a list of files).
+    """One source for each scan that the files in ``where`` (a folder, or a list of files) need.
 
     Delimited files may differ in their header, so by default the first line of each is looked at first: a line
     that starts an object makes the file JSON lines, one that names the key (or nothing but columns) is a header, and
@@ -249,62 +137,47 @@ def landing_sources(
     all ``.csv`` files share one header and saves that look for them. ``skip_damaged`` leaves out files that cannot be
     read to their end, each of them whole, instead of failing; the landing audit lists them.
     """
-    files = listing(spark, folder)
+    files = listing(spark, where)
     if files is None:
         return []
     if skip_damaged:
-        sound = files.select("path").join(damaged_files(spark, folder), "path", "left_anti")
-        folder = [r["path"] for r in sound.collect()]  # names, as in Spark's own file index
-        if not folder:
-            return []
-        files = listing(spark, folder)
-    kinds = files.select(file_kind(F.col("path")).alias("kind"), "path").where(F.col("kind").isNotNull())
-    whole = isinstance(folder, str)
-    to_sniff = ["loose"] if one_header and whole else ["csv", "loose"]
-
-    # Names only, as in Spark's own file index; and those only where files must be told apart one by one.
-    path = F.when(F.col("kind").isin(to_sniff), F.col("path")) if whole else F.col("path")
-    paths: dict[str, list[str]] = {}
-    for row in kinds.select("kind", path.alias("path")).distinct().collect():
-        paths.setdefault(row["kind"], []).append(row["path"])
-    present = set(paths)
-
-    def json_source(where: str | Sequence[str], glob: str | None) -> Source:
-        lines = _reader(spark, glob).text(where if isinstance(where, str) else list(where))
-        return Source("json", read_json_lines(spark, where, spec, glob), lines)
+        damaged = {r["path"] for r in damaged_files(spark, where).select("path").collect()}  # names, of the faulty ones
+        if damaged:
+            sound = files.where(~F.col("path").isin(list(damaged))).select("path").toLocalIterator()
+            where = [r["path"] for r in sound]  # names, as in Spark's own file index
+            if not where:
+                return []
+            files = listing(spark, where)
+    present = {r["kind"] for r in files.select(file_kind(F.col("path")).alias("kind")).distinct().collect()}
+
+    def known(names: Iterable[str]) -> DataFrame:
+        return spark.createDataFrame([(n,) for n in names if n != CORRUPT], "column string")
 
     sources = []
     if "parquet" in present:
-        sources.append(Source("parquet", read_parquet(spark, folder if whole else paths["parquet"])))
+        sources += [Source("parquet", rows, known(rows.columns)) for rows in read_parquet(spark, where)]
     if "json" in present:
-        sources.append(json_source(folder if whole else paths["json"], JSON_GLOB))
-    if "csv" in present and "csv" not in to_sniff:
-        names = _reader(spark, CSV_GLOB).option("header", True).csv(folder).columns
-        rows = read_delimited(spark, folder, names, True, CSV_GLOB)
-        sources.append(Source("delimited", rows))
-    sniffed = [p for k in to_sniff for p in paths.get(k, [])]
-    if sniffed:
-        for layout, members in sorted(_text_groups(spark, sniffed, spec).items()):
-            if layout[0] == "json":
-                sources.append(json_source(members, None))
-            elif layout[0] == "header":
-                rows = read_delimited(spark, members, layout[1:], True, None)
-                sources.append(Source("delimited", rows))
-            else:
-                rows = read_delimited(spark, members, spec.columns, False, None)
-                sources.append(Source("bare", rows))
+        keys = reader(spark, JSON_GLOB).text(paths_of(where)).select(F.explode(F.json_object_keys("value")).alias("column"))
+        sources.append(Source("json", read_json_lines(spark, where, spec), keys.select(bare_name("column"))))
+    if one_header and "csv" in present:
+        names = reader(spark, CSV_GLOB).option("header", True).csv(paths_of(where)).columns
+        rows = read_same_header(spark, where, names)
+        sources.append(Source("delimited", rows, known(rows.columns)))
+    to_tell = present & ({"loose"} if one_header else {"csv", "loose"})
+    if to_tell and (found := read_text(spark, where, spec, to_tell)):
+        sources.append(Source("text", *found))
     return sources
 
 
 def landing_frames(
     spark: SparkSession,
-    folder: str | Sequence[str],
+    where: Where,
     spec: DatasetSpec,
     one_header: bool = False,
     skip_damaged: bool = False,
 ) -> list[DataFrame]:
-    """The rows of every source in ``folder``, each with the types its format gives it."""
-    return [source.rows for source in landing_sources(spark, folder, spec, one_header, skip_damaged)]
+    """The rows of every source in ``where``, each with the types its format gives it."""
+    return [source.rows for source in landing_sources(spark, where, spec, one_header, skip_damaged)]
 
 
 def as_text(df: DataFrame, spec: DatasetSpec) -> DataFrame:
@@ -320,31 +193,26 @@ def as_text(df: DataFrame, spec: DatasetSpec) -> DataFrame:
 
 def read_landing(
     spark: SparkSession,
-    folder: str | Sequence[str],
+    where: Where,
     spec: DatasetSpec,
     one_header: bool = False,
     skip_damaged: bool = False,
 ) -> DataFrame:
-    """Everything readable in ``folder`` as one text frame of canonical columns; no rows if there is nothing."""
-    frames = landing_frames(spark, folder, spec, one_header, skip_damaged)
+    """Everything readable in ``where`` as one text frame of canonical columns; no rows if there is nothing."""
+    frames = landing_frames(spark, where, spec, one_header, skip_damaged)
     if not frames:
         return spark.createDataFrame([], _text_schema([*spec.columns, CORRUPT]))
     return union_by_name(*(as_text(f, spec) for f in frames))
 
 
-def drift_report(spark: SparkSession, folder: str | Sequence[str], spec: DatasetSpec) -> DataFrame:
+def drift_report(spark: SparkSession, where: Where, spec: DatasetSpec) -> DataFrame:
     """Columns the landing files lack or have beyond the canonical ones: ``(column, status)``.
 
     Names come from Parquet schemas and text headers, and from the keys of all JSON lines, made distinct by Spark.
     """
-    sources = landing_sources(spark, folder, spec)
-    named = sorted({c for s in sources if s.lines is None for c in s.rows.columns} - {CORRUPT})
-    seen = spark.createDataFrame([(c,) for c in named], "column string")
-    for source in sources:
-        if source.lines is not None:
-            key = F.explode(F.json_object_keys("value")).alias("key")
-            bare = F.translate(F.replace("key", F.lit("`"), F.lit("")), ". ", "__")
-            seen = seen.union(source.lines.select(key).select(bare))
+    seen = spark.createDataFrame([], "column string")
+    for source in landing_sources(spark, where, spec):
+        seen = seen.union(source.names)
     canonical = spark.createDataFrame([(c,) for c in spec.columns], "column string")
     both = seen.distinct().withColumn("seen", F.lit(True)).join(
         canonical.withColumn("known", F.lit(True)), "column", "full"

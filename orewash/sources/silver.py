@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from orewash.operators.columns import alias_ids, conform
 from orewash.operators.dedupe import union_by_name
-from orewash.sources.landing import CSV_GLOB, read_parquet
+from orewash.sources.files import CSV_GLOB
+from orewash.sources.typed import read_parquet
 from orewash.specs import SPECS, DatasetSpec, struct_of
 
 
@@ -51,19 +52,20 @@ def read_loose(spark: SparkSession, path: str) -> DataFrame | None:
     """
     readers = (
         lambda: read_parquet(spark, path),
-        lambda: spark.read.option("pathGlobFilter", "*.{json,ndjson}").json(path),
-        lambda: spark.read.option("pathGlobFilter", CSV_GLOB).option("header", True).csv(path),
+        lambda: [spark.read.option("pathGlobFilter", "*.{json,ndjson}").json(path)],
+        lambda: [spark.read.option("pathGlobFilter", CSV_GLOB).option("header", True).csv(path)],
     )
     frames = []
     for read in readers:
         try:
-            frame = read()
+            found = read()
         except AnalysisException as error:
             if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
             continue
-        if frame.columns:
-            frames.append(frame.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in frame.columns)))
+        for frame in found:
+            if frame.columns:
+                frames.append(frame.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in frame.columns)))
     if not frames:
         return None
     return alias_ids(union_by_name(*frames), for_transactions="transaction" in path.lower())

@@ -1,16 +1,21 @@
 """Silver that grows with its landing folder.
 
-The stream carries file names, not rows: each micro-batch learns which files have arrived (exactly once, by the
-stream's checkpoint) and puts them through the batch readers and rules. The store it maintains holds the winner of
-every key, faulty winners included, because a faulty newest row must keep older ones out also when they arrive
-later. Silver and its rejected rows are views on the store.
+The stream carries file names, not rows: each micro-batch learns which files have arrived and puts them through the
+batch readers and rules. The store it maintains holds the winner of every key, faulty winners included, because a faulty
+newest row must keep older ones out also when they arrive later. Silver and its rejected rows are views on the store.
+
+What has been absorbed is known by the store itself (see ``streaming.store``), not by a stream's checkpoint. Whatever
+the checkpoint says, a file counts once, and a batch that was cut short counts not at all until it is repeated. A file
+that has been rewritten or deleted takes the store back to the files: all that there are now are put through the rules
+again.
 """
 
 from __future__ import annotations
 
-from hashlib import sha256
+import uuid
+from collections.abc import Sequence
+from dataclasses import replace
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -22,10 +27,13 @@ from orewash.operators.quarantine import row_rules
 from orewash.operators.split import FAULTS, REFUSED, by_faults, judged
 from orewash.plans.silver import staged
 from orewash.scratch import written
+from orewash.sources.files import listing
 from orewash.sources.landing import landing_frames
 from orewash.specs import CORRUPT, UNKNOWN_DATE, DatasetSpec
+from orewash.streaming.store import Store, Version
 
 _FILES = "path string, modificationTime timestamp, length bigint, content binary"
+_IDENTITY = ["path", "length", "modificationTime"]
 
 
 def _store_schema(spec: DatasetSpec) -> StructType:
@@ -34,16 +42,6 @@ def _store_schema(spec: DatasetSpec) -> StructType:
     return StructType(fields)
 
 
-def _read_store(spark: SparkSession, store: str, spec: DatasetSpec) -> DataFrame | None:
-    try:
-        winners = spark.read.schema(_store_schema(spec)).parquet(f"{store}/winners")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return winners.where(F.col(spec.key).isNotNull())
-
-
 def _contenders(rows: DataFrame, spec: DatasetSpec) -> DataFrame:
     """Staged rows that compete for their key, in the layout of the store."""
     fit = rows.where(F.col(REFUSED) == 0).drop(CORRUPT, FAULTS, REFUSED)
@@ -56,69 +54,91 @@ def _contenders(rows: DataFrame, spec: DatasetSpec) -> DataFrame:
     return fit.select(*_store_schema(spec).fieldNames())
 
 
-def _merged(spark: SparkSession, paths: list[str], batch: str, store: str, spec: DatasetSpec) -> DataFrame | None:
-    """The rows of every date that the files of a micro-batch touch, after the contest; None if there are no rows."""
-    frames = landing_frames(spark, paths, spec)
+def _absorbed(store: Store, before: Version, paths: Sequence[str], spec: DatasetSpec) -> Version:
+    """The version after the rows of ``paths`` have been added to those of ``before``; not published yet."""
+    spark, name = store.spark, uuid.uuid4().hex
+    after = replace(before, number=before.number + 1, id=name)
+    frames = landing_frames(spark, paths, spec) if paths else []
     if not frames:
-        return None
+        return after
     rows = written(union_by_name(*(staged(f, spec) for f in frames)), f"arrived-{spec.name}", REFUSED)
     early = by_faults(rows).rejected
-    early.write.mode("overwrite").parquet(f"{store}/refused/batch={batch}")
-
-    new = _contenders(rows, spec)
-    old = _read_store(spark, store, spec)
-    if old is None:
-        return latest_per_key(new, spec.key, spec.order_by)
-    shared = old.join(new.select(spec.key).distinct(), spec.key, "left_semi").select("event_date")
-    dates = [r[0] for r in shared.union(new.select("event_date")).distinct().collect()]  # dates, not rows
-    touched = old.where(F.col("event_date").isin(dates))
-    won = latest_per_key(new.unionByName(touched), spec.key, spec.order_by)
-    # Dynamic overwrite leaves a date without rows as it was, so every touched date also gets an empty row.
-    return won.unionByName(touched.select("event_date").distinct(), allowMissingColumns=True)
-
-
-def _batch_id(paths: list[str]) -> str:
-    """What a batch is: its files. Numbers start again with every checkpoint, and two streams may share a store."""
-    return sha256("\n".join(sorted(paths)).encode()).hexdigest()
-
-
-def _pending_batch(spark: SparkSession, store: str) -> str | None:
-    try:
-        row = spark.read.schema("files string").parquet(f"{store}/pending_batch").first()
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return row["files"] if row else None
-
-
-def absorb(spark: SparkSession, paths: list[str], store: str, spec: DatasetSpec) -> None:
-    """Put the files of one micro-batch into the store; only the dates they touch are rewritten.
-
-    The outcome is written aside and its files noted before the store is touched, so a batch that is repeated after a
-    crash at any point leaves the same store. A batch of other files is always worked out, whatever its number.
+    if not early.isEmpty():
+        after = replace(after, refused=(*after.refused, store.write_part(early, "refused")))
+
+    new, schema = _contenders(rows, spec), _store_schema(spec)
+    old, touched = store.winners(before, schema), []
+    if old is not None:
+        shared = old.join(new.select(spec.key).distinct(), spec.key, "left_semi").select("event_date")
+        days = shared.union(new.select("event_date")).distinct().select(F.col("event_date").cast("string"))
+        touched = [r[0] for r in days.collect() if r[0] in before.dates]  # dates, not rows
+        held = store.winners(before, schema, touched)
+        new = new if held is None else new.unionByName(held)
+    dates = store.write_winners(latest_per_key(new, spec.key, spec.order_by), name)
+    kept = {d: v for d, v in before.dates.items() if d not in touched}  # a date that lost its last row is gone
+    return replace(after, dates={**kept, **{d: name for d in dates}})
+
+
+def _present(spark: SparkSession, paths: DataFrame) -> DataFrame:
+    """Of the files named in ``path``, those that there are (and are not empty), as they are now."""
+    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    found = [listing(spark, r[0]) for r in paths.select(folder).distinct().collect()]
+    there = [f.select(*_IDENTITY) for f in found if f is not None]
+    if not there:
+        return paths.where("false").select("path", F.lit(0).cast("long").alias("length"), F.lit(None).cast("timestamp").alias("modificationTime"))
+    return paths.select("path").distinct().join(union_by_name(*there), "path")
+
+
+def absorb(spark: SparkSession, paths: Sequence[str], store: str, spec: DatasetSpec) -> None:
+    """Put files into the store; only the dates they touch are written anew.
+
+    Files that the store has, as they are now, are passed over. If it has one of them as it was before it was rewritten,
+    emptied or deleted, all its files are put through the rules again, so rows that no file has any more are gone.
     """
-    pending, files = f"{store}/pending", _batch_id(paths)
-    if _pending_batch(spark, store) != files:
-        won = _merged(spark, paths, files, store, spec)
-        if won is None:
+    held = Store(spark, store)
+    asked = spark.createDataFrame([(p,) for p in paths], "path string")
+    found = listing(spark, list(paths))
+    arrived = written(_present(spark, asked) if found is None else found.select(*_IDENTITY), "arrived-files")
+    while True:
+        before = held.latest()
+        known, base, new = held.files(before), before, arrived
+        if known is not None:
+            new = written(arrived.join(known, _IDENTITY, "left_anti"), "new-files")
+            if not known.join(asked, "path", "left_semi").join(arrived, _IDENTITY, "left_anti").isEmpty():
+                new = written(_present(spark, known.select("path").union(asked)), "present-files")
+                base = Version(before.number)
+        if base is before and new.isEmpty():
+            return
+        names = [r["path"] for r in new.select("path").toLocalIterator()]  # names, as in Spark's own file index
+        after = _absorbed(held, base, names, spec)
+        after = replace(after, files=(*after.files, held.write_part(new, "files")))
+        if held.publish(held.compacted(after)):
             return
-        won.write.mode("overwrite").parquet(pending)
-        spark.range(1).select(F.lit(files).alias("files")).write.mode("overwrite").parquet(f"{store}/pending_batch")
-    (
-        spark.read.schema(_store_schema(spec)).parquet(pending)
-        .hint("rebalance", "event_date")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("event_date")
-        .parquet(f"{store}/winners")
-    )
+
+
+def changed_files(spark: SparkSession, folder: str, store: str) -> list[str]:
+    """Files of ``folder`` that the store has as they were before they were rewritten, emptied or deleted."""
+    held = Store(spark, store)
+    known = held.files(held.latest())
+    if known is None:
+        return []
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    known, there = known.where(F.col("path").startswith(f"{whole.rstrip('/')}/")), listing(spark, folder)
+    changed = known if there is None else known.join(there.select(*_IDENTITY), _IDENTITY, "left_anti")
+    return [r["path"] for r in changed.select("path").distinct().collect()]  # names, of the changed ones
 
 
 def landing_stream(
     spark: SparkSession, folder: str, store: str, checkpoint: str, spec: DatasetSpec, files_per_batch: int = 1000
 ) -> StreamingQuery:
-    """Start absorbing the files of ``folder`` that have not been absorbed yet; ends when there are no more."""
+    """Start absorbing the files of ``folder`` that have not been absorbed yet; ends when there are no more.
+
+    Spark's file source tells of a path once, so files that have changed since are looked for first.
+    """
+    changed = changed_files(spark, folder, store)
+    if changed:
+        absorb(spark, changed, store, spec)
     arrivals = (
         spark.readStream.format("binaryFile")
         .schema(_FILES)
@@ -129,7 +149,8 @@ def landing_stream(
 
     def take(batch_df: DataFrame, _: int) -> None:
         paths = [r["path"] for r in batch_df.collect()]  # at most files_per_batch names
-        absorb(batch_df.sparkSession, paths, store, spec)
+        if paths:
+            absorb(batch_df.sparkSession, paths, store, spec)
 
     return (
         arrivals.writeStream.foreachBatch(take)
@@ -139,14 +160,20 @@ def landing_stream(
     )
 
 
+def _winners(spark: SparkSession, store: str, spec: DatasetSpec) -> DataFrame:
+    held, schema = Store(spark, store), _store_schema(spec)
+    rows = held.winners(held.latest(), schema)
+    return spark.createDataFrame([], schema) if rows is None else rows
+
+
 def stored_silver(spark: SparkSession, store: str, spec: DatasetSpec) -> DataFrame:
     """The silver table as of the last absorbed batch."""
-    winners = _read_store(spark, store, spec)
-    return locked(by_faults(winners).good, spec)
+    return locked(by_faults(_winners(spark, store, spec)).good, spec)
 
 
 def stored_rejects(spark: SparkSession, store: str, spec: DatasetSpec) -> DataFrame:
     """The rejected rows as of the last absorbed batch, with their ``reason``."""
-    late = by_faults(_read_store(spark, store, spec).drop("event_date")).rejected
-    early = spark.read.parquet(f"{store}/refused").drop("batch")
-    return early.unionByName(late, allowMissingColumns=True)
+    held = Store(spark, store)
+    late = by_faults(_winners(spark, store, spec).drop("event_date")).rejected.withColumn(CORRUPT, F.lit(None).cast("string"))
+    early = held.refused(held.latest(), StructType([*spec.schema.fields, StructField(CORRUPT, StringType()), StructField("reason", StringType())]))
+    return late if early is None else early.unionByName(late)

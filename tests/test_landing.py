@@ -9,7 +9,8 @@ from pyspark.errors import PySparkException
 from orewash import EVENTS, TRANSACTIONS, USERS
 from orewash.operators.normalize import normalize
 from orewash.sources.audit import judged, landing_audit, routed
-from orewash.sources.landing import drift_report, first_lines, landing_sources, read_landing
+from orewash.sources.delimited import first_lines
+from orewash.sources.landing import drift_report, landing_sources, read_landing
 from orewash.sources.silver import read_loose
 from orewash.specs import CORRUPT
 
@@ -151,16 +152,77 @@ def test_damaged_file_is_loud_unless_skipped(spark, tmp_path):
     assert landed(spark, tmp_path, "event_id", skip_damaged=True) == [("1",)]
 
 
-def test_first_lines_with_many_blocks(spark, tmp_path):
-    path = put(tmp_path, "a.csv", "\n  \nhead,er\n" + "x,y\n" * 50_000)
+@pytest.fixture
+def small_blocks(spark):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
-    try:
-        (row,) = first_lines(spark, [path]).collect()
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_first_lines_with_many_blocks(spark, tmp_path, small_blocks):
+    path = put(tmp_path, "a.csv", "\n  \nhead,er\n" + "x,y\n" * 50_000)
+    (row,) = first_lines(spark, [path]).collect()
     assert row["line"] == "head,er"
 
 
+def test_a_blank_opening_block_hides_nothing(spark, tmp_path, small_blocks):
+    put(tmp_path, "late.csv", "\n" * 60_000 + "event_id,user_id\n" + "".join(f"{i},u\n" for i in range(1000)))
+    put(tmp_path, "late.txt", " \n" * 30_000 + '{"event_id":"j"}\n')
+    put(tmp_path, "early.csv", "user_id,event_id\nv,e\n")
+    put(tmp_path, "blank.csv", "\n" * 50_000)
+    got = landed(spark, tmp_path, "event_id", "user_id")
+    assert len(got) == 1002 and {("7", "u"), ("999", "u"), ("j", None), ("e", "v")} <= set(got)
+
+
+def test_a_thousand_headers_are_one_scan(spark, tmp_path):
+    for i in range(1000):
+        extra = [f"extra_{i}_{k}" for k in range(i % 7)]
+        put(tmp_path, f"{i}.{('csv', 'txt')[i % 2]}", ",".join([*extra, "event_id", f"only_{i}"]) + "\n" + ",".join([*extra, str(i), "x"]) + "\n")
+    (source,) = landing_sources(spark, str(tmp_path), EVENTS)
+    plan = source.rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan text") == 1 and plan.count("FileScan parquet") == 1  # lines, and the written layouts
+    assert sorted(int(r[0]) for r in source.rows.select("event_id").collect()) == list(range(1000))
+    assert {r["column"] for r in source.names.where("column like 'only%'").collect()} == {f"only_{i}" for i in range(1000)}
+
+
+def test_a_header_may_name_a_column_twice(spark, tmp_path):
+    put(tmp_path, "a.csv", "event_id,user id,user.id,extra\n1,,u,x\n2,v,w,\nevent_id,user id,user.id,extra\n3\n")
+    assert landed(spark, tmp_path, "event_id", "user_id") == [("1", "u"), ("2", "v"), ("3", None)]
+
+
+def parquet_file(spark, folder, name, sql):
+    spark.sql(sql).coalesce(1).write.parquet(str(folder / f"_{name}"))
+    (file,) = (folder / f"_{name}").glob("*.parquet")
+    file.rename(folder / name)
+
+
+def test_parquet_types_that_clash(spark, tmp_path):
+    parquet_file(spark, tmp_path, "part-1.parquet", "select 1 event_id, 'u' user_id, 1.5D amount, timestamp'2024-01-01' ts")
+    parquet_file(spark, tmp_path, "part-2.parquet", "select 3000000000L event_id, 'v' user_id, 2.5D amount")
+    parquet_file(spark, tmp_path, "part-3.parquet", "select 'x' event_id, 7 user_id, '1,5' amount, '2024-01-02' ts")
+    parquet_file(spark, tmp_path, "part-4.parquet", "select 'y' event_id, 8L user_id, '2,5' amount, named_struct('n', 1) message")
+    parquet_file(spark, tmp_path, "part-5.parquet", "select 5 event_id, 'w' `user id`, cast(0.1 as float) amount")
+    want = [
+        ("1", "u", "1.5", "2024-01-01 00:00:00", None), ("3000000000", "v", "2.5", None, None), ("5", "w", "0.1", None, None),
+        ("x", "7", "1,5", "2024-01-02", None), ("y", "8", "2,5", None, '{"n":1}'),
+    ]
+    assert landed(spark, tmp_path, "event_id", "user_id", "amount", "ts", "message") == want
+    sources = landing_sources(spark, str(tmp_path), EVENTS)
+    assert len(sources) == 3  # whole numbers widen, so five files are three scans
+    put(tmp_path, "a.json", '{"event_id":"6"}')
+    assert len(landed(spark, tmp_path, "event_id")) == 6
+
+
+def test_many_files_of_few_schemas_are_few_scans(spark, tmp_path):
+    spark.range(40).selectExpr("id event_id").repartition(20, "event_id").write.parquet(str(tmp_path / "a"))
+    spark.range(40, 80).selectExpr("cast(id as string) event_id").repartition(20, "event_id").write.parquet(str(tmp_path / "b"))
+    for n in "ab":
+        for i, file in enumerate((tmp_path / n).glob("*.parquet")):
+            file.rename(tmp_path / f"{n}{i}.parquet")
+    assert len(landing_sources(spark, str(tmp_path), EVENTS)) == 2
+    assert sorted(int(r[0]) for r in landed(spark, tmp_path, "event_id")) == list(range(80))
+
+
 def test_drift_report(spark, tmp_path):
     put(tmp_path, "a.json", '{"user_id":"1","na.me":"x","odd key":1}\nnot json\n{"city":2}')
     put(tmp_path, "b.csv", "email,extra_1\n2,3\n")

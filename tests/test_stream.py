@@ -2,10 +2,14 @@
 
 import json
 
+import pytest
+
 from orewash import TRANSACTIONS, USERS
 from orewash.plans.silver import silver
 from orewash.sources.landing import read_landing
+from orewash.streaming import landing as streaming
 from orewash.streaming.landing import absorb, landing_stream, stored_rejects, stored_silver
+from orewash.streaming.store import MOST_PARTS, Store
 
 
 def put(folder, name, *records):
@@ -81,3 +85,112 @@ def test_new_checkpoint_and_second_stream(spark, tmp_path):
     for source, check in ((folder, "check2"), (other, "check3")):
         landing_stream(spark, str(source), f"{tmp_path}/store", f"{tmp_path}/{check}", USERS).awaitTermination()
     assert [r["user_id"] for r in stored_silver(spark, f"{tmp_path}/store", USERS).orderBy("user_id").collect()] == ["u", "v", "w"]
+
+
+def tx(key, at, amount=1):
+    return {"tx_id": key, "user_id": "u", "created_at": at, "amount": amount}
+
+
+@pytest.fixture
+def waves(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    put(folder, "1.json", tx("a", "2024-01-01"), tx("b", "2024-01-02"), {"tx_id": "x"})
+    put(folder, "2.json", tx("a", "2024-01-03"), tx("c", "2024-01-01"))
+    drain(spark, tmp_path, TRANSACTIONS)
+    return folder
+
+
+def test_a_rewritten_file_is_taken_anew(spark, tmp_path, waves):
+    put(waves, "2.json", tx("c", "2024-01-05"), tx("d", "2024-01-06"), {"tx_id": "y"})  # a's newest row is gone
+    drain(spark, tmp_path, TRANSACTIONS)
+    same_as_batch(spark, tmp_path, TRANSACTIONS)
+    assert rows(stored_silver(spark, f"{tmp_path}/store", TRANSACTIONS).select("tx_id")) == [("a",), ("b",), ("c",), ("d",)]
+    put(waves, "1.json")  # now empty
+    put(waves, "3.json", tx("b", "2024-01-09"))
+    absorb(spark, [f"file:{waves}/1.json"], f"{tmp_path}/store", TRANSACTIONS)
+    drain(spark, tmp_path, TRANSACTIONS)
+    same_as_batch(spark, tmp_path, TRANSACTIONS)
+
+
+def test_files_that_are_gone_take_their_rows_along(spark, tmp_path, waves):
+    (waves / "1.json").unlink()
+    put(waves, "3.json", tx("c", "2024-01-05"))
+    drain(spark, tmp_path, TRANSACTIONS)
+    same_as_batch(spark, tmp_path, TRANSACTIONS)
+    (waves / "2.json").unlink()
+    absorb(spark, [f"file:{waves}/2.json"], f"{tmp_path}/store", TRANSACTIONS)
+    same_as_batch(spark, tmp_path, TRANSACTIONS)
+
+
+class Stop(Exception):
+    pass
+
+
+@pytest.mark.parametrize("step, rewrite", [("write_winners", False), ("write_part", True), ("publish", False), ("publish", True), ("after", True)])
+def test_a_crash_at_any_step_changes_nothing(spark, tmp_path, waves, monkeypatch, step, rewrite):
+    before = rows(stored_silver(spark, f"{tmp_path}/store", TRANSACTIONS))
+    put(waves, "2.json" if rewrite else "3.json", tx("a", "2024-01-07"), tx("e", "2024-01-01"), {"tx_id": "z"})
+    name = "2.json" if rewrite else "3.json"
+    real = getattr(Store, "publish" if step == "after" else step)
+
+    def crash(self, *args):
+        if step == "after":
+            assert real(self, *args)
+        raise Stop
+
+    with monkeypatch.context() as patched:
+        patched.setattr(Store, "publish" if step == "after" else step, crash)
+        with pytest.raises(Stop):
+            absorb(spark, [f"file:{waves}/{name}"], f"{tmp_path}/store", TRANSACTIONS)
+    if step != "after":
+        assert rows(stored_silver(spark, f"{tmp_path}/store", TRANSACTIONS)) == before
+    drain(spark, tmp_path, TRANSACTIONS)
+    same_as_batch(spark, tmp_path, TRANSACTIONS)
+    Store(spark, f"{tmp_path}/store").vacuum()
+    same_as_batch(spark, tmp_path, TRANSACTIONS)
+
+
+def test_two_streams_at_once(spark, tmp_path, waves, monkeypatch):
+    """A second stream publishes while the first one is at work: the first one starts over and loses nothing."""
+    put(waves, "3.json", tx("a", "2024-01-07"))
+    put(waves, "4.json", tx("a", "2024-01-08"), tx("f", "2024-01-01"))
+    store, real, calls = f"{tmp_path}/store", streaming._absorbed, []
+
+    def late(held, before, paths, spec):
+        after = real(held, before, paths, spec)
+        if not calls:
+            calls.append(paths)
+            absorb(spark, [f"file:{waves}/4.json"], store, TRANSACTIONS)
+        return after
+
+    monkeypatch.setattr(streaming, "_absorbed", late)
+    absorb(spark, [f"file:{waves}/3.json"], store, TRANSACTIONS)
+    same_as_batch(spark, tmp_path, TRANSACTIONS)
+
+
+def test_of_two_rows_for_a_version_the_first_counts(spark, tmp_path, waves):
+    store = Store(spark, f"{tmp_path}/store")
+    first = store.latest()
+    (log,) = [p for p in (tmp_path / "store" / "log").glob("number=*") if int(p.name.split("=")[1]) == first.number]
+    late = spark.createDataFrame([("0", {}, [], [])], "id string, dates map<string,string>, files array<string>, refused array<string>")
+    late.coalesce(1).write.mode("append").parquet(str(log))
+    assert store.latest() == first
+    same_as_batch(spark, tmp_path, TRANSACTIONS)
+
+
+def test_a_batch_reads_no_date_but_those_it_touches(spark, tmp_path, waves):
+    store = Store(spark, f"{tmp_path}/store")
+    version, schema = store.latest(), streaming._store_schema(TRANSACTIONS)
+    some = store.winners(version, schema, ["2024-01-02"])
+    assert {f.split("event_date=")[1][:10] for f in some.inputFiles()} == {"2024-01-02"} and rows(some.select("tx_id")) == [("b",)]
+    assert len(version.dates) == 3 and len(store.winners(version, schema).inputFiles()) == 3
+
+
+def test_many_small_parts_become_one(spark, tmp_path, waves):
+    store = Store(spark, f"{tmp_path}/store")
+    at = store.latest()
+    many = streaming.replace(at, files=at.files * (MOST_PARTS + 1), refused=at.refused * (MOST_PARTS + 1))
+    one = store.compacted(many)
+    assert len(one.files) == len(one.refused) == 1
+    assert store.files(one).distinct().count() == 2 and store.refused(one).distinct().count() == 1
