@@ -30,7 +30,6 @@ from orewash.llm.common import text_of
 
 BLOCK_BYTES = 24 << 20
 OUT_IDS = 1 << 20
-REMEMBERED = 1_000_000  # words whose ids a task keeps
 WORDS, TEXTS = 0, 1
 
 
@@ -161,10 +160,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                if len(known) > REMEMBERED:
-                    known.clear()
                 yield ids_row(row, encoder, known) if row.column("kind")[0].as_py() == WORDS else without_bucket(row)
-        encoder.known.clear()
 
     def reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, parts, table = None, [], None

@@ -1,8 +1,9 @@
 """Chat formatting: conversations in the order of replies, without quotations, in DataFrame functions only.
 
 A line's quote level is the number of its leading ``>`` marks. Consecutive lines of one level are a passage. Quoted
-passages are normalised, hashed and joined to the messages that say the same in their own words; a message answers the
-one that its first linked passage comes from. Threads follow from those links, by doubling.
+passages are normalised, hashed and joined to the messages that say the same in their own words: as a whole, as a
+paragraph, or as so many lines in a row. A message answers the one that its first linked passage comes from. Threads
+follow from those links, by doubling.
 """
 
 from __future__ import annotations
@@ -36,7 +37,8 @@ def own_text(text: Column) -> Column:
 
 
 def quoted_passages(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, first, level, key): each passage that a message quotes, with its first line and quote level.
+    """(conv_id, turn, first, level, lines, key): each passage that a message quotes, with its first line, its quote level
+    and how many lines with words it has.
 
     A passage of level 2 stands inside one of level 1, which it splits; blank lines at the same level belong to the
     passage. Passages without a word are left out.
@@ -54,16 +56,28 @@ def quoted_passages(messages: DataFrame) -> DataFrame:
     passages = lines.withColumn("new", new).withColumn("run", run).where("level > 0").groupBy(*NODE, "tag", "run", "level")
     parts = F.sort_array(F.collect_list(F.struct("at", "body")))
     whole = passages.agg(F.min("at").alias("first"), F.array_join(F.transform(parts, lambda p: p["body"]), "\n").alias("body"))
-    return whole.where(F.trim(F.regexp_replace("body", r"\s+", " ")) != "").select(*NODE, "first", "level", passage_key(F.col("body")).alias("key"))
+    worded = whole.withColumn("lines", F.size(own_lines(F.col("body")))).where("lines > 0")
+    return worded.select(*NODE, "first", "level", "lines", passage_key(F.col("body")).alias("key"))
 
 
-def own_passages(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, key): what a message says itself, whole, by paragraph and by line."""
+def own_lines(text: Column) -> Column:
+    """The lines that have words, normalised."""
+    return F.filter(F.transform(F.split(text, "\n", -1), normalised), lambda line: line != "")
+
+
+def own_passages(messages: DataFrame, lengths: list[int]) -> DataFrame:
+    """(conv_id, turn, key): what a message says itself, whole, by paragraph, and by runs of ``lengths`` lines."""
     own = F.col("own")
-    paragraphs = F.split(own, r"\n[ \t]*\n")
-    parts = F.array_distinct(F.concat(F.array(own), paragraphs, F.split(own, "\n")))
-    said = messages.select(*NODE, own_text(F.col("text")).alias("own")).select(*NODE, F.explode(parts).alias("part"))
-    return said.where(F.trim(F.regexp_replace("part", r"\s+", " ")) != "").select(*NODE, passage_key(F.col("part")).alias("key"))
+    parts = F.filter(F.concat(F.array(own), F.split(own, r"\n[ \t]*\n")), lambda part: F.length(normalised(part)) > 0)
+    lines, asked = F.col("lines"), F.array(*map(F.lit, lengths)).cast("array<int>")
+    said = messages.select(*NODE, own_text(F.col("text")).alias("own")).select(*NODE, "own", own_lines(own).alias("lines"))
+
+    def runs(length: Column) -> Column:
+        starts = F.when(F.size(lines) >= length, F.sequence(F.lit(1), F.size(lines) - length + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda at: F.array_join(F.slice(lines, at, length), " "))
+
+    every = F.concat(F.transform(parts, normalised), F.flatten(F.transform(asked, runs)))
+    return said.select(*NODE, F.explode(F.array_distinct(every)).alias("part")).select(*NODE, F.sha2("part", 256).alias("key"))
 
 
 def reply_links(messages: DataFrame) -> DataFrame:
@@ -74,9 +88,10 @@ def reply_links(messages: DataFrame) -> DataFrame:
     one row for each key and conversation, before it meets the quotes. The parent comes from the first passage that is
     linked, those of level 1 first.
     """
-    quotes = quoted_passages(messages)
+    quotes = written(quoted_passages(messages), "quotes")
     wanted = quotes.select("key").distinct()
-    said = own_passages(messages).join(wanted, "key", "left_semi")
+    lengths = sorted(r["lines"] for r in quotes.select("lines").distinct().collect())  # as many as quotes have lengths
+    said = own_passages(messages, lengths).join(wanted, "key", "left_semi")
     here = said.groupBy("key", "conv_id").agg(F.min("turn").alias("here"))
     anywhere = said.groupBy("key").agg(F.min(F.struct("conv_id", "turn")).alias("anywhere"))
     found = quotes.join(here, ["key", "conv_id"], "left").join(anywhere, "key", "left")
@@ -127,7 +142,8 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
     depth. Ordered by root_conv, root_turn, depth, conv_id and turn, a thread's messages follow each other, and every one
     comes after what it answers; a message that quotes nothing known is a root of depth 0.
 
-    Null text stays null and quotes nothing; null conv_id or turn makes a root that cannot be quoted. Repeated rows come
+    Whole messages are compared, however long. Null text stays null and quotes nothing; null conv_id or turn makes a root
+    that cannot be quoted. Repeated rows come
     out as often as they come in; rows of one conv_id and turn share their links. Other columns are ignored. No messages
     give no rows.
     """
