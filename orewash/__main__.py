@@ -23,11 +23,15 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--skip-damaged", action="store_true", help="pass over unreadable files")
     parser.add_argument("--partial", action="store_true", help="merge user histories by last non-null value")
     parser.add_argument("--stringly", action="store_true", help="store silver as text")
+    parser.add_argument("--flag-uncastable", action="store_true", help="refuse rows with a value that cannot be read as its type")
+    parser.add_argument("--drift", action="store_true", help="keep what columns the files lack or have beyond the canonical ones")
+    parser.add_argument("--ledger", help="folder of finished steps; an 'all' run passes over those that are done")
     args = parser.parse_args(argv)
 
     default = Layout.under(args.root)
     layout = Layout(*(getattr(args, f.name) or getattr(default, f.name) for f in fields(Layout)))
-    options = {n: getattr(args, n) for n in ("one_header", "skip_damaged", "partial", "stringly")}
+    switches = ("one_header", "skip_damaged", "partial", "stringly", "flag_uncastable", "drift")
+    options = {n: getattr(args, n) for n in switches}
     spark = SparkSession.builder.appName(f"orewash-{args.job}").getOrCreate()
     if args.job == "silver":
         silver_job(spark, layout, **options)
@@ -36,7 +40,7 @@ def main(argv: list[str] | None = None) -> None:
     elif args.job == "load":
         load_warehouse(spark, layout.gold, args.database, args.location)
     else:
-        run_all(spark, layout, args.database, args.location, **options)
+        run_all(spark, layout, args.database, args.location, args.ledger, **options)
 
 
 if __name__ == "__main__":

@@ -75,7 +75,9 @@ def timestamp_of(col: Column, dtype: DataType, formats: Sequence[str] = TIMESTAM
     if isinstance(dtype, _TEMPORAL):
         return col.cast("timestamp")
     text = text_of(col, dtype)
-    text = F.when(~text.rlike(r"^\s*T?[0-9]{1,2}:"), text)
+    # Most texts have their dash before any colon, or no colon; only others need the pattern.
+    colon, dash = F.instr(text, ":"), F.instr(text, "-")
+    text = F.when((colon == 0) | ((dash > 0) & (dash < colon)) | ~text.rlike(r"^\s*T?[0-9]{1,2}:"), text)
     attempts = F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in formats))
     return F.coalesce(text.try_cast("timestamp"), F.when(text.rlike("[0-9]"), attempts))
 

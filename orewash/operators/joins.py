@@ -22,13 +22,23 @@ def heavy_keys(counts: DataFrame, key: str, columns: Sequence[str], share: float
     return [r[0] for r in counts.where(heavy).select(key).distinct().collect()]
 
 
+def is_broadcast(dimension: DataFrame) -> bool:
+    """Whether Spark will broadcast a join's dimension, by its own estimate of the size and the session's threshold."""
+    state = dimension.sparkSession._jsparkSession.sessionState()
+    size = dimension._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= state.conf().autoBroadcastJoinThreshold()
+
+
 def attach(facts: DataFrame, dimension: DataFrame, key: str, spread_by: str, heavy: Sequence = ()) -> DataFrame:
     """``facts`` left-joined to ``dimension`` on ``key``; facts without a match keep nulls.
 
-    Spark broadcasts the dimension only if its size is under the session's threshold, otherwise it shuffles both sides
-    and splits skewed partitions at run time. Facts without a key never match and are spread over many shuffle
-    partitions by a hash of ``spread_by``; so are those with a ``heavy`` key, whose dimension rows alone are repeated.
+    Spark broadcasts the dimension if its size is under the session's threshold, and facts stay where they are. Otherwise
+    it shuffles both sides and splits skewed partitions at run time. Then facts without a key, which never match, are
+    spread over many shuffle partitions by a hash of ``spread_by``; so are those with a ``heavy`` key, whose dimension rows
+    alone are repeated.
     """
+    if is_broadcast(dimension):
+        return facts.join(dimension, key, "left")
     known = [k for k in heavy if k is not None]
     is_heavy: Column = F.col(key).isin(known) if known else F.lit(False)
     spread = F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")

@@ -35,3 +35,22 @@ def merge_partial(df: DataFrame, spec: DatasetSpec) -> DataFrame:
         *(agg.getField(c).alias(c) for c, agg in newest.items()),
         F.max(at).alias(spec.order_by),
     )
+
+
+def with_times(df: DataFrame, spec: DatasetSpec) -> DataFrame:
+    """Give each attribute that has a value a time of its own, ``<attribute>_at``: the row's."""
+    at = _time(spec)
+    return df.withColumns({f"{c}_at": F.when(F.col(c).isNotNull(), at) for c in spec.snapshot})
+
+
+def merge_histories(df: DataFrame, spec: DatasetSpec) -> DataFrame:
+    """One row per key of rows ``with_times``: each attribute's newest value with its time, and the newest time of all.
+
+    The outcome is such a row again, so histories can be merged in any order and in any parts; a row that comes late counts
+    by its time.
+    """
+    newest = {c: F.max(F.when(F.col(c).isNotNull(), F.struct(f"{c}_at", c))) for c in spec.snapshot}
+    merged = df.groupBy(spec.key).agg(*(agg.alias(c) for c, agg in newest.items()), F.max(_time(spec)).alias(spec.order_by))
+    return merged.select(
+        spec.key, *(F.col(c)[c].alias(c) for c in spec.snapshot), *(F.col(c)[f"{c}_at"].alias(f"{c}_at") for c in spec.snapshot), spec.order_by
+    )

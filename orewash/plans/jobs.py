@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import logging
 import uuid
-from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Sequence
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from orewash.operators.joins import heavy_keys
 from orewash.operators.quality import EmptyStepError, as_metrics, check_not_null, measures, require_rows
 from orewash.operators.split import REFUSED
 from orewash.plans import gold, silver
+from orewash.plans.ledger import Ledger
 from orewash.scratch import written
 from orewash.sinks.files import (
     append_quarantine,
@@ -25,12 +26,12 @@ from orewash.sinks.files import (
     write_metrics,
     write_silver,
 )
-from orewash.sinks.warehouse import load_warehouse
+from orewash.sinks.warehouse import load_warehouse, require_loaded
 from orewash.sources.audit import landing_audit, routed
 from orewash.sources.files import file_kind
-from orewash.sources.landing import landing_frames
+from orewash.sources.landing import drift_counts, landing_frames
 from orewash.sources.silver import read_silver, read_silver_tables
-from orewash.specs import EVENTS, GOLD_DDL, GOLD_MUST_EXIST, SPECS, TRANSACTIONS, USERS, DatasetSpec
+from orewash.specs import EVENTS, GOLD_DDL, GOLD_MUST_EXIST, SPECS, TRANSACTIONS, USERS, WAREHOUSE_TABLES, DatasetSpec
 
 log = logging.getLogger(__name__)
 
@@ -91,6 +92,8 @@ def silver_dataset(
     skip_damaged: bool = False,
     stringly: bool = False,
     run_id: str | None = None,
+    flag_uncastable: bool = False,
+    drift: bool = False,
 ) -> SilverCounts:
     """One dataset from its landing folder to silver, quarantine and metrics; stops at the first empty step.
 
@@ -98,14 +101,19 @@ def silver_dataset(
     of the contest for keys. Silver, quarantine and the counts are read from those, and the metrics from silver as
     written: exact also when executors were lost on the way. ``skip_damaged`` turns away, whole, files that
     cannot be read to their end instead of failing on them. ``run_id`` names the run in quarantine (by default, anew).
+    ``flag_uncastable`` also refuses rows that hold a value which cannot be read as its type. ``drift`` keeps what columns
+    the files lack, or have beyond the canonical ones, under ``metrics/drift``; that reads their names once more.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     run_id = run_id or uuid.uuid4().hex
     admitted = admitted_files(spark, layout, spec, probe=skip_damaged)
+    if drift:
+        found = drift_counts(spark, admitted, spec)
+        found.write.mode("overwrite").parquet(f"{layout.metrics}/drift/{spec.name}/run_id={run_id}")
     frames = landing_frames(spark, admitted, spec, one_header)  # what is damaged was turned away whole
     require_rows({"load": len(frames)}, spec.name)
 
-    rows = union_by_name(*(silver.staged(frame, spec) for frame in frames))
+    rows = union_by_name(*(silver.staged(frame, spec, flag_uncastable) for frame in frames))
     rows = written(rows, f"staged-{spec.name}", REFUSED)
     winners = silver.contested(rows, spec)
     if not spec.snapshot:
@@ -198,12 +206,33 @@ def gold_job(
 
 
 def run_all(
-    spark: SparkSession, layout: Layout, database: str, location: str | None = None, **options
+    spark: SparkSession, layout: Layout, database: str, location: str | None = None, ledger: str | None = None, **options
 ) -> dict[str, SilverCounts]:
-    """Landing to warehouse; every layer is checked to be there before the next one starts."""
-    counts = silver_job(spark, layout, **options)
-    require_outputs(spark, [f"{layout.silver}/{name}" for name in SPECS])
-    gold_job(spark, layout, stringly=options.get("stringly", False))
+    """Landing to warehouse; every layer is checked to be there before the next one starts.
+
+    With a ``ledger`` (a folder), finished steps are noted there, and a run passes over those that are done for the files
+    as they are: one that was stopped goes on where it stopped, and one that finds nothing new does nothing.
+    """
+    book = Ledger(spark, ledger) if ledger else None
+
+    def step(name: str, reads: list[str], writes: list[str], work: Callable[[], dict]) -> dict:
+        return book.once(name, reads, writes, options, work) if book else work()
+
+    counts = {}
+    for name, spec in SPECS.items():
+        done = step(
+            f"silver/{name}",
+            [f"{layout.landing}/{name}"],
+            [f"{layout.silver}/{name}", f"{layout.metrics}/{name}"],
+            lambda spec=spec: asdict(silver_dataset(spark, layout, spec, **options)),
+        )
+        counts[name] = SilverCounts(**done)
+    tables = [f"{layout.silver}/{name}" for name in SPECS]
+    require_outputs(spark, tables)
+    build = lambda: gold_job(spark, layout, stringly=options.get("stringly", False)) or {}
+    step("gold", tables, [f"{layout.gold}/{table}" for table in GOLD_DDL], build)
     require_outputs(spark, [f"{layout.gold}/{table}" for table in GOLD_MUST_EXIST])
-    load_warehouse(spark, layout.gold, database, location)
+    load = lambda: load_warehouse(spark, layout.gold, database, location) or {}
+    step(f"load/{database}", [f"{layout.gold}/{table}" for table in WAREHOUSE_TABLES], [], load)
+    require_loaded(spark, database)
     return counts

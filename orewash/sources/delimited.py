@@ -125,10 +125,20 @@ def parsed(lines: DataFrame, told: DataFrame, spec: DatasetSpec, kinds: set[str]
     return rows.select(*(value.alias(c) for c, value in columns.items()))
 
 
+def json_columns(lines: DataFrame) -> DataFrame:
+    """Keys of JSON lines (``value``), by the type of their values: ``(column, type, rows)``; null values have none."""
+    fields = lines.sparkSession.tvf.variant_explode(F.try_parse_json(F.col("value").outer()))
+    kind = F.lower(F.regexp_extract(F.schema_of_variant(F.col("value")), r"^[A-Za-z_]+", 0))
+    found = lines.select("value").lateralJoin(fields.select("key", kind.alias("type")))
+    named = found.where("key is not null and type <> 'void'").select(bare_name("key"), "type")
+    return named.groupBy("column", "type").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def read_text(spark: SparkSession, where: Where, spec: DatasetSpec, kinds: Iterable[str] = ("csv", "loose")) -> tuple[DataFrame, DataFrame] | None:
-    """All delimited and loose text files of ``where`` as one frame, and the names that their headers have: ``(column)``.
+    """All delimited and loose text files of ``where`` as one frame, and the columns that they have: ``(column, type, rows)``.
 
-    None if there is no line. Two scans whatever the number of files and headers: one for first lines, one for rows.
+    None if there is no line. Two scans whatever the number of files and headers: one for first lines, one for rows. The
+    columns are those of headers, or the canonical ones where there is no header, with the number of rows under them.
     """
     told = layouts(first_lines(spark, where, kinds), spec)
     present = told.groupBy("kind").agg(F.max("width").alias("width")).collect()
@@ -136,16 +146,18 @@ def read_text(spark: SparkSession, where: Where, spec: DatasetSpec, kinds: Itera
         return None
     widest = max(r["width"] for r in present)
     rows = parsed(text_lines(spark, where, kinds).select("value", "path"), told, spec, {r["kind"] for r in present}, widest)
+    lines = text_lines(spark, where, kinds).groupBy("path").agg(F.count(F.lit(1)).alias("lines"))
     canonical = F.array(*map(F.lit, spec.columns))
-    named = told.select(F.explode(F.when(F.col("kind") == HEADER, F.col("names")).when(F.col("kind") == BARE, canonical)).alias("column"))
-    loose = text_lines(spark, where, kinds).join(told.where(F.col("kind") == JSON).select("path"), "path", "left_semi")
-    keys = loose.select(F.explode(F.json_object_keys("value")).alias("column")).select(bare_name("column"))
-    return rows, (named.union(keys) if any(r["kind"] == JSON for r in present) else named).distinct()
+    columns = F.when(F.col("kind") == HEADER, F.array_distinct("names")).when(F.col("kind") == BARE, canonical)
+    under = F.col("lines") - (F.col("kind") == HEADER).cast("int")
+    named = told.join(lines, "path").select(F.explode(columns).alias("column"), F.lit("string").alias("type"), under.alias("rows"))
+    named = named.where("column <> ''").groupBy("column", "type").agg(F.sum("rows").alias("rows"))
+    if any(r["kind"] == JSON for r in present):
+        loose = text_lines(spark, where, kinds).join(told.where(F.col("kind") == JSON).select("path"), "path", "left_semi")
+        named = named.union(json_columns(loose))
+    return rows, named
 
 
 def bare_name(column: str) -> Column:
     """A JSON key as :func:`plain_name` would have it."""
     return F.trim(F.translate(F.replace(column, F.lit("`"), F.lit("")), ". ", "__")).alias("column")
-
-
-

@@ -20,12 +20,13 @@ from pyspark.sql.types import StringType, StructField, StructType
 from orewash.functions import text_of
 from orewash.operators.columns import plain_names, quoted
 from orewash.operators.dedupe import union_by_name
-from orewash.sources.delimited import bare_name, read_text, spellings
+from orewash.sources.delimited import json_columns, read_text, spellings
 from orewash.sources.files import CSV_GLOB, JSON_GLOB, Where, can_open, file_kind, listing, opened, paths_of, reader
 from orewash.sources.typed import read_parquet
 from orewash.specs import CORRUPT, DatasetSpec
 
 CUT_OFF = "gzip cut off"
+_HELD = "column string, type string, rows bigint"
 _DAMAGE = pa.schema([("path", pa.string()), ("damage", pa.string())])
 _STEP = 1 << 20
 
@@ -115,7 +116,11 @@ def read_same_header(spark: SparkSession, where: Where, columns: list[str]) -> D
 
 
 class Source(NamedTuple):
-    """One reader over the landing files: its rows, and the names (``column``) that the files themselves give to columns."""
+    """One reader over the landing files: its rows, and what the files themselves name and hold.
+
+    ``names``: (column, type, rows), how many rows have a column, by the type that its values have there. It is made up of
+    parts that add up.
+    """
 
     kind: str
     rows: DataFrame
@@ -150,19 +155,23 @@ def landing_sources(
             files = listing(spark, where)
     present = {r["kind"] for r in files.select(file_kind(F.col("path")).alias("kind")).distinct().collect()}
 
-    def known(names: Iterable[str]) -> DataFrame:
-        return spark.createDataFrame([(n,) for n in names if n != CORRUPT], "column string")
+    def held(rows: DataFrame) -> DataFrame:
+        """Columns by their type in the files, with their values counted in one aggregate."""
+        of = [f for f in rows.schema.fields if f.name != CORRUPT]
+        counts = rows.agg(*(F.count(quoted(f.name)).alias(f"n{i}") for i, f in enumerate(of)))
+        named = [F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.col(f"n{i}").alias("rows")) for i, f in enumerate(of)]
+        return counts.select(F.inline(F.array(*named))) if of else spark.createDataFrame([], _HELD)
 
     sources = []
     if "parquet" in present:
-        sources += [Source("parquet", rows, known(rows.columns)) for rows in read_parquet(spark, where)]
+        sources += [Source("parquet", rows, held(rows)) for rows in read_parquet(spark, where)]
     if "json" in present:
-        keys = reader(spark, JSON_GLOB).text(paths_of(where)).select(F.explode(F.json_object_keys("value")).alias("column"))
-        sources.append(Source("json", read_json_lines(spark, where, spec), keys.select(bare_name("column"))))
+        lines = reader(spark, JSON_GLOB).text(paths_of(where))
+        sources.append(Source("json", read_json_lines(spark, where, spec), json_columns(lines)))
     if one_header and "csv" in present:
         names = reader(spark, CSV_GLOB).option("header", True).csv(paths_of(where)).columns
         rows = read_same_header(spark, where, names)
-        sources.append(Source("delimited", rows, known(rows.columns)))
+        sources.append(Source("delimited", rows, held(rows)))
     to_tell = present & ({"loose"} if one_header else {"csv", "loose"})
     if to_tell and (found := read_text(spark, where, spec, to_tell)):
         sources.append(Source("text", *found))
@@ -205,18 +214,26 @@ def read_landing(
     return union_by_name(*(as_text(f, spec) for f in frames))
 
 
-def drift_report(spark: SparkSession, where: Where, spec: DatasetSpec) -> DataFrame:
-    """Columns the landing files lack or have beyond the canonical ones: ``(column, status)``.
+def drift_counts(spark: SparkSession, where: Where, spec: DatasetSpec) -> DataFrame:
+    """What the landing files hold, against the canonical columns: ``(column, status, type, rows)``.
 
-    Names come from Parquet schemas and text headers, and from the keys of all JSON lines, made distinct by Spark.
+    ``status`` is ``known``, ``extra`` (not canonical) or ``missing`` (in no file; no type, no rows). Types are those that
+    values have in the files: Parquet's own, JSON's, or string. Counts of several runs, or of parts of one, add up.
     """
-    seen = spark.createDataFrame([], "column string")
+    seen = spark.createDataFrame([], _HELD)
     for source in landing_sources(spark, where, spec):
         seen = seen.union(source.names)
-    canonical = spark.createDataFrame([(c,) for c in spec.columns], "column string")
-    both = seen.distinct().withColumn("seen", F.lit(True)).join(
-        canonical.withColumn("known", F.lit(True)), "column", "full"
-    )
-    return both.where("seen is null or known is null").select(
-        "column", F.when(F.col("seen").isNull(), "missing").otherwise("extra").alias("status")
+    seen = seen.groupBy("column", "type").agg(F.sum("rows").alias("rows"))
+    canonical = spark.createDataFrame([(c,) for c in spec.columns], "column string").withColumn("known", F.lit(True))
+    status = F.when(F.col("known").isNull(), "extra").when(F.col("rows").isNull(), "missing").otherwise("known")
+    return seen.join(canonical, "column", "full").select(
+        "column", status.alias("status"), "type", F.coalesce("rows", F.lit(0).cast("bigint")).alias("rows")
     )
+
+
+def drift_report(spark: SparkSession, where: Where, spec: DatasetSpec) -> DataFrame:
+    """Columns the landing files lack or have beyond the canonical ones: ``(column, status)``.
+
+    Names come from Parquet schemas and text headers, and from the keys of all JSON lines, made distinct by Spark.
+    """
+    return drift_counts(spark, where, spec).where("status <> 'known'").select("column", "status").distinct()

@@ -19,11 +19,12 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import DateType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import DateType, IntegerType, StringType, StructField, StructType, TimestampType
 
 from orewash.operators.columns import locked, with_event_date
 from orewash.operators.dedupe import latest_per_key, union_by_name
 from orewash.operators.quarantine import row_rules
+from orewash.operators.scd import merge_histories, with_times
 from orewash.operators.split import FAULTS, REFUSED, by_faults, judged
 from orewash.plans.silver import staged
 from orewash.scratch import written
@@ -36,13 +37,14 @@ _FILES = "path string, modificationTime timestamp, length bigint, content binary
 _IDENTITY = ["path", "length", "modificationTime"]
 
 
-def _store_schema(spec: DatasetSpec) -> StructType:
+def _store_schema(spec: DatasetSpec, partial: bool = False) -> StructType:
     fate = [StructField(FAULTS, StringType()), StructField(REFUSED, IntegerType())]
-    fields = [*spec.schema.fields, *fate, StructField("event_date", DateType())]
+    times = [StructField(f"{c}_at", TimestampType()) for c in spec.snapshot] if partial else []
+    fields = [*spec.schema.fields, *times, *fate, StructField("event_date", DateType())]
     return StructType(fields)
 
 
-def _contenders(rows: DataFrame, spec: DatasetSpec) -> DataFrame:
+def _contenders(rows: DataFrame, spec: DatasetSpec, partial: bool = False) -> DataFrame:
     """Staged rows that compete for their key, in the layout of the store."""
     fit = rows.where(F.col(REFUSED) == 0).drop(CORRUPT, FAULTS, REFUSED)
     if spec.snapshot:
@@ -51,10 +53,23 @@ def _contenders(rows: DataFrame, spec: DatasetSpec) -> DataFrame:
                  if f.name not in (spec.key, spec.order_by, *spec.snapshot)}
         fit = fit.withColumns({spec.order_by: F.coalesce(spec.order_by, unknown), **blank})
     fit = with_event_date(judged(fit, row_rules({c: F.col(c) for c in fit.columns}, spec)))
-    return fit.select(*_store_schema(spec).fieldNames())
+    if partial:
+        fit = with_times(fit, spec)
+    return fit.select(*_store_schema(spec, partial).fieldNames())
 
 
-def _absorbed(store: Store, before: Version, paths: Sequence[str], spec: DatasetSpec) -> Version:
+def _contest(rows: DataFrame, spec: DatasetSpec, partial: bool) -> DataFrame:
+    """One row per key: the newest one, or for ``partial`` the newest value of each attribute."""
+    if not partial:
+        return latest_per_key(rows, spec.key, spec.order_by)
+    merged = merge_histories(rows, spec)
+    blank = {f.name: F.lit(None).cast(f.dataType) for f in spec.schema.fields if f.name not in merged.columns}
+    fate = {FAULTS: F.lit(""), REFUSED: F.lit(0)}  # faulty rows of a history take no part in it
+    schema = _store_schema(spec, partial)
+    return with_event_date(merged.withColumns({**blank, **fate})).select(*schema.fieldNames())
+
+
+def _absorbed(store: Store, before: Version, paths: Sequence[str], spec: DatasetSpec, partial: bool = False) -> Version:
     """The version after the rows of ``paths`` have been added to those of ``before``; not published yet."""
     spark, name = store.spark, uuid.uuid4().hex
     after = replace(before, number=before.number + 1, id=name)
@@ -66,7 +81,7 @@ def _absorbed(store: Store, before: Version, paths: Sequence[str], spec: Dataset
     if not early.isEmpty():
         after = replace(after, refused=(*after.refused, store.write_part(early, "refused")))
 
-    new, schema = _contenders(rows, spec), _store_schema(spec)
+    new, schema = _contenders(rows, spec, partial), _store_schema(spec, partial)
     old, touched = store.winners(before, schema), []
     if old is not None:
         shared = old.join(new.select(spec.key).distinct(), spec.key, "left_semi").select("event_date")
@@ -74,7 +89,7 @@ def _absorbed(store: Store, before: Version, paths: Sequence[str], spec: Dataset
         touched = [r[0] for r in days.collect() if r[0] in before.dates]  # dates, not rows
         held = store.winners(before, schema, touched)
         new = new if held is None else new.unionByName(held)
-    dates = store.write_winners(latest_per_key(new, spec.key, spec.order_by), name)
+    dates = store.write_winners(_contest(new, spec, partial), name)
     kept = {d: v for d, v in before.dates.items() if d not in touched}  # a date that lost its last row is gone
     return replace(after, dates={**kept, **{d: name for d in dates}})
 
@@ -89,18 +104,29 @@ def _present(spark: SparkSession, paths: DataFrame) -> DataFrame:
     return paths.select("path").distinct().join(union_by_name(*there), "path")
 
 
-def absorb(spark: SparkSession, paths: Sequence[str], store: str, spec: DatasetSpec) -> None:
+def _layout(spec: DatasetSpec, partial: bool) -> str:
+    if partial and not spec.snapshot:
+        raise ValueError(f"{spec.name} has no histories to merge")
+    return "partial" if partial else "newest"
+
+
+def absorb(spark: SparkSession, paths: Sequence[str], store: str, spec: DatasetSpec, partial: bool = False) -> None:
     """Put files into the store; only the dates they touch are written anew.
 
+    A store of a dataset with histories holds each key's newest row or, if it was begun as ``partial``, each attribute's
+    newest value with the value's own time, so that rows may come in any order.
+
     Files that the store has, as they are now, are passed over. If it has one of them as it was before it was rewritten,
     emptied or deleted, all its files are put through the rules again, so rows that no file has any more are gone.
     """
-    held = Store(spark, store)
+    held, layout = Store(spark, store), _layout(spec, partial)
     asked = spark.createDataFrame([(p,) for p in paths], "path string")
     found = listing(spark, list(paths))
     arrived = written(_present(spark, asked) if found is None else found.select(*_IDENTITY), "arrived-files")
     while True:
         before = held.latest()
+        if before.layout not in ("", layout):
+            raise ValueError(f"the store at {store} holds {before.layout} rows, not {layout} ones")
         known, base, new = held.files(before), before, arrived
         if known is not None:
             new = written(arrived.join(known, _IDENTITY, "left_anti"), "new-files")
@@ -110,8 +136,8 @@ def absorb(spark: SparkSession, paths: Sequence[str], store: str, spec: DatasetS
         if base is before and new.isEmpty():
             return
         names = [r["path"] for r in new.select("path").toLocalIterator()]  # names, as in Spark's own file index
-        after = _absorbed(held, base, names, spec)
-        after = replace(after, files=(*after.files, held.write_part(new, "files")))
+        after = _absorbed(held, base, names, spec, partial)
+        after = replace(after, layout=layout, files=(*after.files, held.write_part(new, "files")))
         if held.publish(held.compacted(after)):
             return
 
@@ -130,7 +156,13 @@ def changed_files(spark: SparkSession, folder: str, store: str) -> list[str]:
 
 
 def landing_stream(
-    spark: SparkSession, folder: str, store: str, checkpoint: str, spec: DatasetSpec, files_per_batch: int = 1000
+    spark: SparkSession,
+    folder: str,
+    store: str,
+    checkpoint: str,
+    spec: DatasetSpec,
+    files_per_batch: int = 1000,
+    partial: bool = False,
 ) -> StreamingQuery:
     """Start absorbing the files of ``folder`` that have not been absorbed yet; ends when there are no more.
 
@@ -138,7 +170,7 @@ def landing_stream(
     """
     changed = changed_files(spark, folder, store)
     if changed:
-        absorb(spark, changed, store, spec)
+        absorb(spark, changed, store, spec, partial)
     arrivals = (
         spark.readStream.format("binaryFile")
         .schema(_FILES)
@@ -150,7 +182,7 @@ def landing_stream(
     def take(batch_df: DataFrame, _: int) -> None:
         paths = [r["path"] for r in batch_df.collect()]  # at most files_per_batch names
         if paths:
-            absorb(batch_df.sparkSession, paths, store, spec)
+            absorb(batch_df.sparkSession, paths, store, spec, partial)
 
     return (
         arrivals.writeStream.foreachBatch(take)

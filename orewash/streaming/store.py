@@ -22,20 +22,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 FILE = "path string, length bigint, modificationTime timestamp"
-_VERSION = "id string, dates map<string,string>, files array<string>, refused array<string>"
+_VERSION = "id string, dates map<string,string>, files array<string>, refused array<string>, layout string"
 _MISSING = ("PATH_NOT_FOUND", "PATH_NOT_EXISTS", "UNABLE_TO_INFER_SCHEMA")
 MOST_PARTS = 64  # folders of files or refused rows; more are written as one
 
 
 @dataclass(frozen=True)
 class Version:
-    """What counts as of a batch: ``dates`` to the folder of each date's rows, and folders of files and of refused rows."""
+    """What counts as of a batch: ``dates`` to the folder of each date's rows, and folders of files and of refused rows.
+
+    ``layout`` is what kind of rows the store holds; it is chosen by the first batch.
+    """
 
     number: int = 0
     id: str = ""
     dates: dict[str, str] = field(default_factory=dict)
     files: tuple[str, ...] = ()
     refused: tuple[str, ...] = ()
+    layout: str = ""
 
 
 class Store:
@@ -59,14 +63,14 @@ class Store:
         row = log and log.orderBy(F.desc("number"), "at", "id").first()
         if not row:
             return Version()
-        return Version(row["number"], row["id"], dict(row["dates"]), tuple(row["files"]), tuple(row["refused"]))
+        return Version(row["number"], row["id"], dict(row["dates"]), tuple(row["files"]), tuple(row["refused"]), row["layout"] or "")
 
     def publish(self, version: Version) -> bool:
         """Add a version to the log; False if another one has its number already, which makes this one void.
 
         The row is one file, which Spark moves to its place in one step.
         """
-        values = [(version.id, version.dates, list(version.files), list(version.refused))]
+        values = [(version.id, version.dates, list(version.files), list(version.refused), version.layout)]
         row = self.spark.createDataFrame(values, _VERSION).coalesce(1)
         if self.latest().number >= version.number:
             return False

@@ -413,32 +413,39 @@ def put_file(spark, path: str, content: bytes) -> None:
 
 
 @register("landing_audit", """select format, verdict, reason, cast(files as bigint) as files, "rows" from (
-    select 'json' as format, 'valid' as verdict, null as reason, 1 as files, count(*) as "rows" from raw_events
+    select 'json' as format, 'valid' as verdict, null as reason, null as files, count(*) as "rows" from raw_events
         where cast(event_id as bigint) % 3 = 0
-    union all select 'csv', 'valid', null, 1, count(*) from raw_events where cast(event_id as bigint) % 3 = 1
-    union all select 'parquet', 'valid', null, 1, count(*) from raw_events where cast(event_id as bigint) % 3 = 2
+    union all select 'csv', 'valid', null, null, count(*) from raw_events where cast(event_id as bigint) % 3 = 1
+    union all select 'parquet', 'valid', null, null, count(*) from raw_events where cast(event_id as bigint) % 3 = 2
     union all select 'csv', 'unreadable', 'empty file', 1, 0
     union all select 'parquet', 'bad_extension', 'parquet without part-', 1, 0
     union all select null, 'bad_extension', 'extension not accepted', 1, 0
     union all select 'json.gz', 'damaged', 'gzip cut off', 1, 0)""")
 def _(spark, sf_dir):
+    """Files of three formats, as many as Spark's tasks write, and faulty ones; valid files are told by their rows."""
     folder = fresh_path(spark, "landing") + "/events"
-    raw = inputs.raw_events(spark, sf_dir).drop(CORRUPT)
+    raw = inputs.raw_events(spark, sf_dir).drop(CORRUPT).repartition("event_id")
     third = F.col("event_id").cast("bigint") % 3
-    raw.where(third == 0).coalesce(1).write.mode("append").json(folder)
-    raw.where(third == 1).coalesce(1).write.mode("append").option("header", True).csv(folder)
-    raw.where(third == 2).coalesce(1).write.mode("append").parquet(folder)
+    raw.where(third == 0).write.mode("append").json(folder)
+    raw.where(third == 1).write.mode("append").option("header", True).csv(folder)
+    raw.where(third == 2).write.mode("append").parquet(folder)
     put_file(spark, f"{folder}/empty.csv", b"")
     put_file(spark, f"{folder}/notes.xml", b"<a/>")
     put_file(spark, f"{folder}/Loose.PARQUET", b"PAR1")
     put_file(spark, f"{folder}/cut.json.gz", gzip.compress(b'{"event_id":"1"}\n' * 1000)[:40])
     manifest = written(landing_audit(spark, folder, "events", probe=True), "manifest")
-    valid = [(r["format"], r["path"]) for r in routed(manifest).good.select("format", "path").collect()]
-    read = [(form, read_landing(spark, [path], EVENTS).count()) for form, path in valid]
-    counts = spark.createDataFrame(read, "format string, read bigint").groupBy("format").agg(F.sum("read").alias("read"))
+    valid = routed(manifest).good.where("length > 0")
+
+    def rows(form: str) -> DataFrame:
+        paths = [r["path"] for r in valid.where(F.col("format") == form).select("path").collect()]
+        return read_landing(spark, paths, EVENTS).agg(F.lit(form).alias("format"), F.count("*").alias("read"))
+
+    counts = union_by_name(*(rows(form) for form in ("json", "csv", "parquet")))
     grouped = manifest.groupBy("format", "verdict", "reason").agg(F.count("*").alias("files"))
-    found = F.when(F.col("verdict") == "valid", F.col("read")).otherwise(0).alias("rows")
-    return grouped.join(counts, "format", "left").select("format", "verdict", "reason", "files", found)
+    sound = F.col("verdict") == "valid"
+    return grouped.join(counts, "format", "left").select(
+        "format", "verdict", "reason", F.when(~sound, F.col("files")).alias("files"), F.when(sound, F.col("read")).otherwise(0).alias("rows")
+    )
 
 
 @register("silver_write_read", sql.silver_chain(USERS) + " select * from accepted")

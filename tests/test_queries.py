@@ -7,11 +7,11 @@ import __spark_entry__ as entry
 from orewash import EVENTS
 from orewash.sources.audit import landing_audit
 from suite import inputs
-from suite.queries import REGISTRY, write_mixed_landing
+from suite.queries import write_mixed_landing
 
 SF = "/root/testdata/sf0.001"
-QUERIES = {name: query for name, (query, _) in REGISTRY.items()}
-TWINS = {name: twin for name, (_, twin) in REGISTRY.items() if twin}
+QUERIES = {name: query for name, (query, _) in entry.REGISTRY.items()}
+TWINS = {name: twin for name, (_, twin) in entry.REGISTRY.items() if twin}
 
 
 @pytest.fixture(scope="module")

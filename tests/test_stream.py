@@ -1,6 +1,7 @@
 """Absorbing landing files as they arrive equals the batch run over all of them."""
 
 import json
+import random
 
 import pytest
 
@@ -157,8 +158,8 @@ def test_two_streams_at_once(spark, tmp_path, waves, monkeypatch):
     put(waves, "4.json", tx("a", "2024-01-08"), tx("f", "2024-01-01"))
     store, real, calls = f"{tmp_path}/store", streaming._absorbed, []
 
-    def late(held, before, paths, spec):
-        after = real(held, before, paths, spec)
+    def late(held, before, paths, spec, partial):
+        after = real(held, before, paths, spec, partial)
         if not calls:
             calls.append(paths)
             absorb(spark, [f"file:{waves}/4.json"], store, TRANSACTIONS)
@@ -173,7 +174,7 @@ def test_of_two_rows_for_a_version_the_first_counts(spark, tmp_path, waves):
     store = Store(spark, f"{tmp_path}/store")
     first = store.latest()
     (log,) = [p for p in (tmp_path / "store" / "log").glob("number=*") if int(p.name.split("=")[1]) == first.number]
-    late = spark.createDataFrame([("0", {}, [], [])], "id string, dates map<string,string>, files array<string>, refused array<string>")
+    late = spark.createDataFrame([("0", {}, [], [], "newest")], "id string, dates map<string,string>, files array<string>, refused array<string>, layout string")
     late.coalesce(1).write.mode("append").parquet(str(log))
     assert store.latest() == first
     same_as_batch(spark, tmp_path, TRANSACTIONS)
@@ -194,3 +195,28 @@ def test_many_small_parts_become_one(spark, tmp_path, waves):
     one = store.compacted(many)
     assert len(one.files) == len(one.refused) == 1
     assert store.files(one).distinct().count() == 2 and store.refused(one).distinct().count() == 1
+
+
+def test_partial_histories_in_any_order(spark, tmp_path):
+    """Waves of partial user rows, newest first, oldest first and mixed, give what the batch gives."""
+    rng = random.Random(2)
+    days = [f"2024-01-{d:02d}" for d in range(1, 20)]
+    records = []
+    for _ in range(60):
+        filled = {c: rng.choice([None, f"{c}{rng.randrange(5)}"]) for c in ("name", "email", "city")}
+        records.append({"user_id": rng.choice("uvwxyz"), "updated_at": rng.choice([None, *days]), "age": rng.choice([None, 30, 40]), **filled})
+    records.append({"name": "nobody"})
+    for order in (lambda r: r["updated_at"] or "" if "updated_at" in r else "", None):
+        base = tmp_path / ("sorted" if order else "mixed")
+        (base / "in").mkdir(parents=True)
+        wave = sorted(records, key=order, reverse=True) if order else rng.sample(records, len(records))
+        for n in range(3):
+            put(base / "in", f"{n}.json", *wave[n::3] if not order else wave[20 * n : 20 * n + 20 + (n == 2)])
+            drain(spark, base, USERS, partial=True)
+        good, rejected = silver(read_landing(spark, f"{base}/in", USERS), USERS, partial=True)
+        assert rows(stored_silver(spark, f"{base}/store", USERS)) == rows(good)
+        assert rows(stored_rejects(spark, f"{base}/store", USERS).select(*rejected.columns)) == rows(rejected)
+    with pytest.raises(ValueError, match="partial"):
+        absorb(spark, [f"file:{base}/in/0.json"], f"{base}/store", USERS)
+    with pytest.raises(ValueError, match="histories"):
+        absorb(spark, [], f"{base}/none", TRANSACTIONS, partial=True)
