@@ -127,7 +127,10 @@ def test_a_run_without_its_landing_files_fails_by_name(spark, tmp_path):
 @pytest.mark.parametrize("spec, raw", [(EVENTS, inputs.raw_events), (TRANSACTIONS, inputs.raw_transactions)])
 def test_staging_is_compiled(spark, spec, raw):
     """The JVM compiles no generated method of 8000 bytes or more."""
-    plan = staged(raw(spark, SF), spec)._jdf.queryExecution().executedPlan()
-    parts = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$").codegenStringSeq(plan)
-    sizes = [int(parts.apply(i)._3().maxMethodCodeSize()) for i in range(parts.size())]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else there is no code before the plan has run
+    try:
+        text = staged(raw(spark, SF), spec)._jdf.queryExecution().debug().codegenToSeq()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(text.apply(i)._3().maxMethodCodeSize()) for i in range(text.size())]
     assert sizes and max(sizes) < 7500
