@@ -412,23 +412,31 @@ def put_file(spark, path: str, content: bytes) -> None:
     stream.close()
 
 
-@register("landing_audit", """select format, verdict, reason, cast(files as bigint) as files, "rows" from (
-    select 'json' as format, 'valid' as verdict, null as reason, null as files, count(*) as "rows" from raw_events
+_FILES = 16  # files of each format
+_FILE_COUNT = f"count(distinct cast(event_id as bigint) // 3 % {_FILES})"
+
+
+@register("landing_audit", f"""select format, verdict, reason, cast(files as bigint) as files, "rows" from (
+    select 'json' as format, 'valid' as verdict, null as reason, {_FILE_COUNT} as files, count(*) as "rows" from raw_events
         where cast(event_id as bigint) % 3 = 0
-    union all select 'csv', 'valid', null, null, count(*) from raw_events where cast(event_id as bigint) % 3 = 1
-    union all select 'parquet', 'valid', null, null, count(*) from raw_events where cast(event_id as bigint) % 3 = 2
+    union all select 'csv', 'valid', null, {_FILE_COUNT}, count(*) from raw_events where cast(event_id as bigint) % 3 = 1
+    union all select 'parquet', 'valid', null, {_FILE_COUNT}, count(*) from raw_events where cast(event_id as bigint) % 3 = 2
     union all select 'csv', 'unreadable', 'empty file', 1, 0
     union all select 'parquet', 'bad_extension', 'parquet without part-', 1, 0
     union all select null, 'bad_extension', 'extension not accepted', 1, 0
     union all select 'json.gz', 'damaged', 'gzip cut off', 1, 0)""")
 def _(spark, sf_dir):
-    """Files of three formats, as many as Spark's tasks write, and faulty ones; valid files are told by their rows."""
+    """Files of three formats, each row's told by its number, and faulty ones; valid files are counted, and so are their rows."""
     folder = fresh_path(spark, "landing") + "/events"
-    raw = inputs.raw_events(spark, sf_dir).drop(CORRUPT).repartition("event_id")
+    raw = inputs.raw_events(spark, sf_dir).drop(CORRUPT)
     third = F.col("event_id").cast("bigint") % 3
-    raw.where(third == 0).write.mode("append").json(folder)
-    raw.where(third == 1).write.mode("append").option("header", True).csv(folder)
-    raw.where(third == 2).write.mode("append").parquet(folder)
+
+    def dealt(n: int) -> DataFrame:
+        return raw.where(third == n).repartitionById(_FILES, F.expr(f"cast(cast(event_id as bigint) div 3 % {_FILES} as int)"))
+
+    dealt(0).write.mode("append").json(folder)
+    dealt(1).write.mode("append").option("header", True).csv(folder)
+    dealt(2).write.mode("append").parquet(folder)
     put_file(spark, f"{folder}/empty.csv", b"")
     put_file(spark, f"{folder}/notes.xml", b"<a/>")
     put_file(spark, f"{folder}/Loose.PARQUET", b"PAR1")
@@ -443,9 +451,7 @@ def _(spark, sf_dir):
     counts = union_by_name(*(rows(form) for form in ("json", "csv", "parquet")))
     grouped = manifest.groupBy("format", "verdict", "reason").agg(F.count("*").alias("files"))
     sound = F.col("verdict") == "valid"
-    return grouped.join(counts, "format", "left").select(
-        "format", "verdict", "reason", F.when(~sound, F.col("files")).alias("files"), F.when(sound, F.col("read")).otherwise(0).alias("rows")
-    )
+    return grouped.join(counts, "format", "left").select("format", "verdict", "reason", "files", F.when(sound, F.col("read")).otherwise(0).alias("rows"))
 
 
 @register("silver_write_read", sql.silver_chain(USERS) + " select * from accepted")

@@ -35,5 +35,11 @@ def test_landing_audit_accepts_what_was_written(spark, tmp_path):
     assert {r["verdict"] for r in rows} == {"valid"}
 
 
+def test_landing_audit_counts_the_files_of_every_verdict(spark):
+    rows = {(r["format"], r["verdict"]): r["files"] for r in QUERIES["landing_audit"](spark, SF).collect()}
+    assert len(rows) == 7 and None not in rows.values()
+    assert all(rows[form, "valid"] > 1 for form in ("json", "csv", "parquet"))
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
