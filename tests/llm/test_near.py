@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import orewash.llm.nearcopies as near
@@ -124,3 +125,23 @@ def test_classes_are_components(spark):
         assert all(want[r["rep"]] == want[r["class"]] for r in rough.collect())
         got = {r["rep"]: r["class"] for r in classes(spark.createDataFrame(links, schema), rough).collect()}
         assert {x: got.get(x, x) for x in want} == want
+
+
+@pytest.mark.parametrize("together", [4096, 64])
+def test_every_pair_of_a_large_bucket_is_looked_at(spark, monkeypatch, together):
+    """Two texts alike that stand behind a large bucket's first texts, and are of different lengths."""
+    monkeypatch.setattr(near, "LARGE", 20)
+    monkeypatch.setattr(near, "TOGETHER", together)
+    rng = random.Random(5)
+    texts = [[f"o{rng.randrange(10**9)}" for _ in range(rng.randrange(50, 400))] for _ in range(300)]
+    alike_ = {(150, 280): 0.85, (70, 200): 1.2, (120, 121): 0.95}
+    for (a, b), length in alike_.items():
+        texts[b] = (texts[a] + [f"new{a}-{i}" for i in range(100)])[: int(len(texts[a]) * length)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], SCHEMA)
+    seen = sketched(docs).withColumn("rep", F.col("doc")).select("rep", "words", "counts").cache()
+    members = seen.select(F.lit(1).cast("long").alias("bucket"), F.lit(0).alias("sketch"), "rep", F.lit(300).cast("long").alias("n"))
+    apart = seen.select("rep", F.col("rep").alias("class"))
+    bodies = docs.select(F.col("doc_id").alias("rep"), F.encode("text", "UTF-8").alias("text"))
+    for given in ((), (bodies,)):
+        pairs = {(r["leader"], r["member"]) for r in compared(members, seen, apart, 0.8, *given).collect()}
+        assert set(alike_) <= pairs and len(pairs) < 300
