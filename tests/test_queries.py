@@ -2,10 +2,12 @@
 
 import pytest
 from oracle import connect, difference
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from orewash import EVENTS
 from orewash.sources.audit import landing_audit
+from orewash.sources.landing import read_landing
 from suite import inputs
 from suite.queries import write_mixed_landing
 
@@ -41,5 +43,19 @@ def test_landing_audit_counts_the_files_of_every_verdict(spark):
     assert all(rows[form, "valid"] > 1 for form in ("json", "csv", "parquet"))
 
 
+def test_mixed_landing_works_its_rows_out_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(60).select(F.col("id").cast("string").alias("event_id"), F.lit("x").alias("message"))
+    write_mixed_landing(rows.mapInArrow(count, rows.schema), str(tmp_path / "events"), EVENTS)
+    assert seen.value == 60
+    assert read_landing(spark, str(tmp_path / "events"), EVENTS).count() == 60
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
