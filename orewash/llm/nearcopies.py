@@ -11,8 +11,9 @@ of its bucket at most, of a bucket of more than ``LARGE`` texts with one of its
 one class. In the second round, over all sketches, a text is paired with every text of its bucket that is still in another
 class. A large bucket that is not of one class by then, such as a passage gathers that stands in many texts, is cut by the
 texts' length, since those of very different lengths are not alike, and into parts; every two parts meet in a task of their
-own. So no pair of a bucket is left out, and work grows with the members of buckets, not with their pairs, except for texts
-that share a bucket but are not alike. Equal texts are one from the start.
+own; a pair that shares several such buckets counts in the first. So no pair of a bucket is left out, and work grows with the
+members of buckets, not with their pairs, except for texts that share a bucket but are not alike. Equal texts are one from the
+start.
 """
 
 from __future__ import annotations
@@ -189,8 +190,8 @@ def text_rows(docs: DataFrame) -> DataFrame:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """Different texts as (t1, t2, doc, words, counts, keys): the first document that has the text, its length, its
-    counters, and its sketches."""
+    """Different texts as (t1, t2, doc, rows, words, counts, keys): the first document that has the text, how many rows have
+    it, its length, its counters, and its sketches."""
     which = np.arange(SKETCHES)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +211,7 @@ def sketched(docs: DataFrame) -> DataFrame:
 
     rows = text_rows(docs).mapInArrow(sketch, "doc long, t1 long, t2 long, words long, counts binary, keys array<long>")
     same = [F.first(c).alias(c) for c in ("words", "counts", "keys")]
-    return rows.groupBy("t1", "t2").agg(F.min("doc").alias("doc"), *same)
+    return rows.groupBy("t1", "t2").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("rows"), *same)
 
 
 def lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -233,38 +234,51 @@ def mixed_buckets(members: DataFrame, found: DataFrame) -> DataFrame:
     return classed.join(several.select("bucket"), "bucket", "left_semi")
 
 
+def none_earlier() -> Column:
+    return F.lit("").cast("binary").alias("earlier")
+
+
 def by_leaders(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Rows for ``compared``: buckets as they are, large ones dealt into parts that all have the bucket's first texts."""
     parts = F.when(F.col("n") > LARGE, F.ceil(F.col("n") / PART)).otherwise(1).cast("int")
-    seen = members.join(texts, "rep").select("bucket", "rep", F.col("rep").alias("class"), "words", "counts", "n", parts.alias("parts"))
-    dealt = seen.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("leads", F.col("n") <= LARGE)
+    split = members.select("bucket", "rep", "n", parts.alias("parts"))
+    dealt = split.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("leads", F.col("n") <= LARGE)
     place = F.row_number().over(Window.partitionBy("bucket").orderBy("rep"))
-    leaders = seen.where(F.col("n") > LARGE).withColumn("place", place).where(F.col("place") <= LEADERS).drop("place")
+    leaders = split.where(F.col("n") > LARGE).withColumn("place", place).where(F.col("place") <= LEADERS).drop("place")
     leaders = leaders.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("leads", F.lit(True))
-    return dealt.unionByName(leaders).select("bucket", "part", "rep", "class", "words", "counts", "leads")
+    seen = dealt.unionByName(leaders).join(texts, "rep")
+    return seen.select("bucket", "part", "rep", F.col("rep").alias("class"), "words", "counts", "leads", none_earlier())
 
 
 def widely_counted(large: DataFrame, bodies: DataFrame) -> DataFrame:
-    """(rep, wide) of the texts in ``large``: more counters than a text's first ones."""
+    """(rep, words, counts, places) of the texts in ``large``: more counters than a text's first ones, and the buckets that
+    the text has there, a number for each sketch, 0 for none."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for batch in batches:
-            wide = [counters(hashes.of(t.as_buffer().to_pybytes().split()), WIDE).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(wide, pa.binary())], ["rep", "wide"])
+            texts = [hashes.of(t.as_buffer().to_pybytes().split()) for t in batch.column("text")]
+            wide = [counters(own, WIDE).tobytes() for own in texts]
+            places = np.zeros((batch.num_rows, SKETCHES), np.int64)
+            of = np.repeat(np.arange(batch.num_rows), batch.column("sketch").value_lengths().to_numpy())
+            places[of, batch.column("sketch").flatten().to_numpy()] = batch.column("bucket").flatten().to_numpy()
+            columns = [pa.array([len(own) for own in texts], pa.int64()), pa.array(wide, pa.binary())]
+            columns.append(pa.array([row.tobytes() for row in places], pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), *columns], ["rep", "words", "counts", "places"])
 
-    wanted = bodies.join(large.select("rep").distinct(), "rep", "left_semi")
-    return wanted.select("rep", "text").mapInArrow(count, "rep long, wide binary")
+    found = large.groupBy("rep").agg(F.collect_list(F.struct("sketch", "bucket")).alias("found"))
+    wanted = bodies.join(found, "rep").select("rep", "text", "found.sketch", "found.bucket")
+    return wanted.mapInArrow(count, "rep long, words long, counts binary, places binary")
 
 
 def in_meetings(large: DataFrame, similarity: float) -> DataFrame:
-    """``large`` (bucket, rep, class, words, counts, n) as (bucket, part, ..., leads), so that every two texts of a bucket
+    """``large`` (bucket, rep, class, words, counts, earlier, n) as (bucket, part, ..., leads), so that every two texts of a bucket
     that can be alike by their length meet in a part of ``TOGETHER`` texts, or in two of half as many.
 
     A larger bucket is cut into bands of length, so wide that texts that are alike are in one band or in two that adjoin. A
     band meets itself and the next one, part by part.
     """
-    base = ["rep", "class", "words", "counts"]
+    base = ["rep", "class", "words", "counts", "earlier"]
     whole = large.where(F.col("n") <= TOGETHER).select("bucket", F.lit(0).cast("long").alias("part"), *base, F.lit(True).alias("leads"))
     width = max(0.01, -math.log(max(similarity, 1e-9))) + 1e-6  # alike texts' lengths are no further apart, as logarithms
     band = F.when(F.col("words") > 0, F.floor(F.log("words") / width)).otherwise(-2)  # a text of no words is alike to none
@@ -296,27 +310,35 @@ def in_meetings(large: DataFrame, similarity: float) -> DataFrame:
 def all_members(members: DataFrame, texts: DataFrame, found: DataFrame, similarity: float, bodies: DataFrame | None = None) -> DataFrame:
     """Rows for ``compared``: every two texts of a bucket that can be alike by their length meet in one part at least.
 
-    ``found``: (rep, class); buckets of one class are left out. ``bodies`` (rep, text) gives those of large ones more counters.
+    ``found``: (rep, class); buckets of one class are left out. ``bodies`` (rep, text) gives those of large ones more counters,
+    and ``earlier``, their large buckets by the sketches before a bucket's own.
     """
-    columns = ["bucket", "part", "rep", "class", "words", "counts", "leads"]
-    placed = {"part": F.lit(0).cast("long"), "leads": F.lit(True)}
+    columns = ["bucket", "part", "rep", "class", "words", "counts", "leads", "earlier"]
+    placed = {"part": F.lit(0).cast("long"), "leads": F.lit(True), "earlier": none_earlier()}
     small = mixed_buckets(members.where(F.col("n") <= LARGE), found).join(texts, "rep").withColumns(placed).select(*columns)
     large = written(mixed_buckets(members.where(F.col("n") > LARGE), found), "near-large")
     if large.isEmpty():
         return small
-    counted = large.join(texts, "rep")
-    if bodies is not None:
-        wide = written(widely_counted(large, bodies), "near-counts")
-        counted = counted.drop("counts").join(wide.withColumnRenamed("wide", "counts"), "rep")
+    if bodies is None:
+        counted = large.join(texts, "rep").withColumn("earlier", none_earlier())
+    else:
+        counted = large.join(written(widely_counted(large, bodies), "near-counts"), "rep")
+        counted = counted.withColumn("earlier", F.col("places").substr(F.lit(1), 8 * F.col("sketch")))
     return small.unionByName(in_meetings(counted, similarity).select(*columns))
 
 
 def compared(members: DataFrame, texts: DataFrame, found: DataFrame | None, similarity: float, bodies: DataFrame | None = None) -> DataFrame:
+    """The different ones of ``met``."""
+    return met(members, texts, found, similarity, bodies).distinct()
+
+
+def met(members: DataFrame, texts: DataFrame, found: DataFrame | None, similarity: float, bodies: DataFrame | None = None) -> DataFrame:
     """Pairs (leader, member) of different classes in a bucket that can be alike, leader < member.
 
     Without ``found`` a text is paired with one text of a bucket at most: the first of those before it that it can be alike
     to, in a large bucket one of the bucket's first texts. With it (rep, class) every pair of different classes counts, in
-    buckets of whatever size. ``texts``: (rep, words, counts); ``bodies``: (rep, text), to tell more of large buckets' texts.
+    buckets of whatever size, once where it shares several large ones. ``texts``: (rep, words, counts); ``bodies``: (rep, text),
+    to tell more of large buckets' texts.
     """
     every = found is not None
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -327,6 +349,7 @@ def compared(members: DataFrame, texts: DataFrame, found: DataFrame | None, simi
         counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.uint8).reshape(len(rep), -1).astype(np.int16)
         few = counts.reshape(len(rep), -1, COUNTERS).sum(1, dtype=np.int16)
         leads = group.column("leads").to_numpy(zero_copy_only=False)
+        earlier = np.frombuffer(b"".join(group.column("earlier").to_pylist()), np.int64).reshape(len(rep), -1)
         free, out = np.ones(len(rep), bool), [np.zeros((2, 0), np.int64)]
         for i in np.flatnonzero(leads):
             if not every and not free[i]:
@@ -337,6 +360,8 @@ def compared(members: DataFrame, texts: DataFrame, found: DataFrame | None, simi
                     for looked in (few, counts):  # more counters for those that the first ones leave
                         near = np.append(chosen, i)
                         chosen = chosen[possible(words[near], looked[near], len(chosen), similarity)[:-1]]
+                    shared = (earlier[chosen] == earlier[i]) & (earlier[i] != 0)
+                    chosen = chosen[~shared.any(1)]  # those that share an earlier large bucket are paired there
             else:
                 fits = free & (rep != rep[i]) & possible(words, few, i, similarity)
                 free[i] = False
@@ -362,7 +387,7 @@ def compared(members: DataFrame, texts: DataFrame, found: DataFrame | None, simi
             yield pairs_of(pa.Table.from_batches(held))
 
     ordered = rows.repartition(n, "bucket", "part").sortWithinPartitions("bucket", "part", F.desc("leads"), "rep")
-    return ordered.mapInArrow(pair, "leader long, member long").distinct()
+    return ordered.mapInArrow(pair, "leader long, member long")
 
 
 def aligned(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
@@ -443,7 +468,7 @@ def classes(links: DataFrame, rough: DataFrame) -> DataFrame:
             break
     to = labels.select(F.col("rep").alias("class"), F.col("class").alias("to"))
     inside = rough.join(to, "class", "left").select("rep", F.coalesce("to", "class").alias("class"))
-    return inside.unionByName(labels.join(rough.select("rep"), "rep", "left_anti"))
+    return written(inside.unionByName(labels.join(rough.select("rep"), "rep", "left_anti")), "near-classes")
 
 
 def between(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -484,8 +509,9 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     Other columns are ignored; no documents give no rows.
     """
     # A text's number, in the order of its first document; texts of one doc_id have each their own.
-    texts = dense_ranks(written(sketched(docs), "near-sketches"), ["doc", "t1", "t2"]).withColumnRenamed("rank", "rep")
-    members = in_buckets(texts.select("rep", F.posexplode("keys").alias("sketch", "key")))
+    numbered = dense_ranks(written(sketched(docs), "near-sketches"), ["doc", "t1", "t2"]).withColumnRenamed("rank", "rep")
+    texts = written(numbered.drop("keys"), "near-numbered")  # plans that read this anew are short
+    members = in_buckets(numbered.select("rep", F.posexplode("keys").alias("sketch", "key")))
     involved = texts.select("rep", "doc", "t1", "t2").join(members.select("rep"), "rep", "left_semi")
     key = ["doc", "t1", "t2"]
     bodies = written(text_rows(docs).join(involved, key).dropDuplicates(key).select("rep", "text"), "near-texts")
@@ -495,10 +521,10 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     linked = classes(links, rough_classes(links))
     left = compared(members, seen, linked, similarity, bodies)
     found = joined(bodies, left.join(pairs, ["leader", "member"], "left_anti"), linked, similarity)
-    numbers = texts.select("rep", "doc")
-    of_text = texts.join(found, "rep", "left").select("t1", "t2", "rep", F.coalesce("class", "rep").alias("number"))
-    leaders = numbers.select(F.col("rep").alias("number"), F.col("doc").alias("class"))
-    rows = docs.select(*[c.alias(n) for n, c in identity().items()]).join(of_text, ["t1", "t2"])
-    sizes = rows.groupBy("number").agg(F.count(F.lit(1)).alias("copies")).join(leaders, "number")
+    of_text = texts.join(found, "rep", "left").select("t1", "t2", "rep", "rows", F.coalesce("class", "rep").alias("number"))
+    leaders = texts.select(F.col("rep").alias("number"), F.col("doc").alias("class"))
+    sizes = of_text.groupBy("number").agg(F.sum("rows").alias("copies")).join(leaders, "number")
+    classed = written(of_text.join(sizes, "number").select("t1", "t2", "rep", "number", "class", "copies"), "near-found")
+    rows = docs.select(*[c.alias(n) for n, c in identity().items()]).join(classed, ["t1", "t2"])
     leads = ((F.col("rep") == F.col("number")) & (F.col("doc") == F.col("class"))).alias("leads")
-    return rows.join(sizes, "number").select("doc", "t1", "t2", "class", "copies", leads)
+    return rows.select("doc", "t1", "t2", "class", "copies", leads)

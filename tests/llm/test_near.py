@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import orewash.llm.nearcopies as near
-from orewash.llm.nearcopies import alike, classes, compared, counters, in_buckets, near_classes, possible, rough_classes, sketched, sketches
+from orewash.llm.nearcopies import alike, classes, compared, counters, in_buckets, met, near_classes, possible, rough_classes, sketched, sketches
 from orewash.llm.substrings import Hashes
 
 SCHEMA = "doc_id long, text string"
@@ -145,3 +145,32 @@ def test_every_pair_of_a_large_bucket_is_looked_at(spark, monkeypatch, together)
     for given in ((), (bodies,)):
         pairs = {(r["leader"], r["member"]) for r in compared(members, seen, apart, 0.8, *given).collect()}
         assert set(alike_) <= pairs and len(pairs) < 300
+
+
+def test_pairs_of_several_large_buckets_are_met_once(spark, monkeypatch):
+    """A passage gathers the same texts in many buckets, of which some words more are the same: one row for each pair."""
+    monkeypatch.setattr(near, "LARGE", 20)
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(200)]
+    texts = [" ".join([*(f"o{rng.randrange(10**9)}" for _ in range(rng.randrange(10, 25))), *passage]) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    seen = sketched(docs).withColumn("rep", F.col("doc")).cache()
+    members = in_buckets(seen.select("rep", F.posexplode("keys").alias("sketch", "key")))
+    large = members.where("n > 20")
+    assert large.count() > 10 * 60
+    bodies = docs.select(F.col("doc_id").alias("rep"), F.encode("text", "UTF-8").alias("text"))
+    apart, plain = seen.select("rep", F.col("rep").alias("class")), seen.select("rep", "words", "counts")
+    rows = [tuple(r) for r in met(large, plain, apart, 0.8, bodies).collect()]
+    assert len(rows) == len(set(rows)) > 500
+    assert set(rows) == {tuple(r) for r in met(large, plain, apart, 0.8).collect()}
+    assert set(rows) <= {tuple(r) for r in compared(members, plain, apart, 0.8, bodies).collect()}
+
+
+def test_classes_and_numbers_are_tables_to_read(spark):
+    """What is read again and again is not worked out again and again: the plans that read it stay short."""
+    links = spark.createDataFrame([(1, 2), (2, 3), (7, 9), (3, 9)], "leader long, member long")
+    found = classes(links, rough_classes(spark.createDataFrame([(1, 2), (7, 9)], "leader long, member long")))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    docs = spark.createDataFrame([(i, f"a text of number {i % 4}") for i in range(8)], SCHEMA)
+    plan = near_classes(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("Aggregate") == 0
