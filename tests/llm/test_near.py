@@ -174,3 +174,60 @@ def test_classes_and_numbers_are_tables_to_read(spark):
     docs = spark.createDataFrame([(i, f"a text of number {i % 4}") for i in range(8)], SCHEMA)
     plan = near_classes(docs)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1 and plan.count("Aggregate") == 0
+
+
+def unlike_texts(rng, n):
+    """Texts of the same words in another order, behind a phrase that gathers them: counters tell none from another."""
+    phrase, own = ["is", "one"] * 50, [f"w{i}" for i in range(60)]
+    return [phrase + rng.sample(own, len(own)) for _ in range(n)]
+
+
+def test_rows_of_large_buckets_grow_with_texts_not_pairs(spark, monkeypatch):
+    """Texts that share buckets and words but are not alike, and a few that are: what leaves the tasks is fewer than texts."""
+    monkeypatch.setattr(near, "LARGE", 8)
+    rng = random.Random(13)
+    texts = unlike_texts(rng, 160)
+    texts[70] = [*texts[5][:-3], "x", "y", "z"]
+    texts[71] = [*texts[70][:-3], "a", "b", "c"]
+    handed = []
+    real = near.joined
+
+    def counted(bodies, pairs, found, similarity, links=None):
+        handed.append(pairs.count() + (0 if links is None else links.count()))
+        return real(bodies, pairs, found, similarity, *([] if links is None else [links]))
+
+    monkeypatch.setattr(near, "joined", counted)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], SCHEMA)
+    got = {r["doc"]: r["class"] for r in near_classes(docs).collect()}
+    assert got == {i: 5 if i in (70, 71) else i for i in range(160)}
+    assert sum(handed) < len(texts)
+
+
+@pytest.mark.parametrize(("together", "words"), [(4096, 1 << 23), (64, 1 << 23), (4096, 4000), (4096, 100)])
+def test_links_of_large_buckets_join_what_all_pairs_join(spark, monkeypatch, together, words):
+    """Whole, in parts, and in parts cut by their words: chains across lengths, in several buckets at once."""
+    monkeypatch.setattr(near, "LARGE", 20)
+    monkeypatch.setattr(near, "TOGETHER", together)
+    monkeypatch.setattr(near, "WORDS_TOGETHER", words)
+    rng = random.Random(14)
+    texts = unlike_texts(rng, 60)
+    texts += [t + [f"new{i}-{k}" for k in range(length)] for i, t in enumerate(texts[:20]) for length in (15, 40)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], SCHEMA)
+    seen = sketched(docs).withColumn("rep", F.col("doc")).cache()
+    members = in_buckets(seen.select("rep", F.posexplode("keys").alias("sketch", "key")))
+    large, plain = members.where("n > 20"), seen.select("rep", "words", "counts")
+    apart = seen.select("rep", F.col("rep").alias("class"))
+    bodies = docs.select(F.col("doc_id").alias("rep"), F.encode("text", "UTF-8").alias("text"))
+    links = near.links_in(near.in_large(large, plain, apart, 0.8, bodies), 0.8).collect()
+    pairs = near.aligned(bodies, met(large, plain, apart, 0.8).distinct(), 0.8).where("alike").collect()
+    assert {(r["leader"], r["member"]) for r in links} <= {(r["leader"], r["member"]) for r in pairs}
+
+    def joins(rows):
+        root = list(range(len(texts)))
+        for a, b in rows:
+            low, high = sorted((root[a], root[b]))
+            root = [low if r == high else r for r in root]
+        return root
+
+    want = joins([(r["leader"], r["member"]) for r in pairs])
+    assert joins([(r["leader"], r["member"]) for r in links]) == want and len(set(want)) < len(texts)
