@@ -326,8 +326,8 @@ def in_large(members: DataFrame, texts: DataFrame, found: DataFrame, similarity:
 
     With ``bodies`` (rep, text) the words come along, and ``places``, all large buckets of a text.
     """
-    large = mixed_buckets(members.where(F.col("n") > LARGE), found).join(texts.select("rep", "words"), "rep")
-    large = written(large, "near-large")
+    known = texts.select("rep", "words").join(found, "rep", "left")  # lengths come with the classes, not by a join of their own
+    large = written(mixed_buckets(members.where(F.col("n") > LARGE), known), "near-large")
     if large.isEmpty():
         return None
     if bodies is None:
